@@ -29,7 +29,7 @@ from .common import BLANKS, BLANKS_CLASS, HAS_WORD, checkpoint
 
 SYMBOLS = "#*$%&|<>"
 #: In thousandths: the least distance of a limit from the quartile, per ratio.
-SLACK = {"symbols": 30, "lines": 100, "repeats": 100, "length": 1500}
+SLACK = {"symbols": 30, "lines": 100, "repeats": 300, "length": 1500}
 SPREAD = 3
 LEAST = 50
 FINE = 128

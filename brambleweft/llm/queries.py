@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, sharding
+from . import bpe, langid, line_dedup, mixing, quality_cnn, quality_rules, sharding, topk
 from .common import table, word_count
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     drawn = mixing.systematic_copies(docs, "doc_id", "source", F.col("size"))
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.md5("text").alias("text_md5"))
@@ -24,16 +32,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = sharding.number_slots(sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return slots.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_shard_keys": op9_shard_keys,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -92,7 +112,7 @@ cg AS (SELECT 1 AS level, lang, source, ratio, bucket, count(*) AS n FROM b GROU
 r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS texts FROM cg),
 q AS (SELECT level, lang, source, ratio, min(bucket) FILTER (upto * 4 >= texts) AS q1, min(bucket) FILTER (upto * 4 >= texts * 3) AS q3, max(texts) AS texts FROM r GROUP BY ALL),
 e AS (SELECT *, q3 + greatest((q3 - q1) * 3, s) AS high, q1 - greatest((q3 - q1) * 3, s) AS low
-      FROM q JOIN (VALUES ('symbols', 30), ('lines', 100), ('repeats', 100), ('length', 1500)) AS k(ratio, s) USING (ratio)),
+      FROM q JOIN (VALUES ('symbols', 30), ('lines', 100), ('repeats', 300), ('length', 1500)) AS k(ratio, s) USING (ratio)),
 t AS (SELECT doc_id, bool_and(CASE WHEN g.texts >= 50 THEN b.x <= g.high AND (b.ratio <> 'length' OR b.x >= g.low)
         WHEN h.texts >= 50 THEN b.x <= h.high AND (b.ratio <> 'length' OR b.x >= h.low)
         ELSE b.x <= a.high AND (b.ratio <> 'length' OR b.x >= a.low) END) AS good
@@ -118,4 +138,12 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
   grown_shard::INT AS grown_shard FROM r JOIN a USING (rid)
 """
 
-ORACLE_SQL = {"op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}
+OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL = {"op10_exact_top_k": OP10, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}
