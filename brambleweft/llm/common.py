@@ -20,17 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where that
-    is unset, as in local tests, a temporary folder takes its place.
+    Only where that is unset, as in local tests, a temporary folder takes its place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, quality_cnn, quality_rules, sharding, topk
+from . import bpe, langid, line_dedup, mixing, quality_cnn, quality_rules, sharding, shingle_join, topk, url_filter
 from .common import table, word_count
 
 
@@ -28,10 +28,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingle_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query: the longest that fits decides.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -50,7 +63,9 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_shard_keys": op9_shard_keys,
     "op10_exact_top_k": op10_exact_top_k,
@@ -146,4 +161,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL = {"op10_exact_top_k": OP10, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] for i in range(1, len(w) - 2)]) END AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) + any_value(b.n) - count(*) AS n_union, count(*) AS n_both FROM t AS a JOIN t AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT u, v FROM p WHERE 100 * n_both >= 85 * n_union UNION ALL SELECT v, u FROM p WHERE 100 * n_both >= 85 * n_union),
+r AS (WITH RECURSIVE r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u) SELECT u, min(v) AS v FROM r GROUP BY u)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.v, s.doc_id)) AS component_id FROM s LEFT JOIN r ON r.u = s.doc_id
+"""
+
+ORACLE_SQL = {"op5_ngram_jaccard_join": OP5, "op10_exact_top_k": OP10, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}

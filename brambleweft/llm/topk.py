@@ -171,9 +171,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     for c in cells:
         gap = F.greatest(F.col("away")[c["cell"]] - c["high"], F.lit(c["low"]) - F.col("away")[c["cell"]], F.lit(0.0))
         reach = (F.col("square") + top - gap * gap) / 2 + 1e-6 * (F.col("square") + top + 1) >= F.col("first")
-        spots.append(F.when(reach, F.transform(F.sequence(F.lit(0), F.lit(-(-c["n"] // PART) - 1)), lambda p, cell=c["cell"]: F.struct(F.lit(cell).alias("cell"), p.alias("part"), F.col("away")[cell].alias("q_away")))).otherwise(F.array().cast("array<struct<cell:int,part:int,q_away:double>>")))
+        spots.append(F.when(reach, F.struct(F.lit(c["cell"]).alias("cell"), F.col("away")[c["cell"]].alias("q_away"))))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    sent = queries.withColumn("square", square).select("id", "v", "first", block, F.explode(F.concat(*spots)).alias("spot")).select("id", "v", "first", "block", "spot.*")
+    met = queries.withColumn("square", square).select("id", "v", "first", block, F.explode(F.array_compact(F.array(*spots))).alias("spot")).select("id", "v", "first", "block", "spot.*")
+    sent = met.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
