@@ -13,7 +13,7 @@ finds every pair of nodes with ``den * |A and B| >= num * |A or B|``:
 2. *Signature trees over ranges.* Within a key, rows carry a 64-bit bitmap of
    their range. Leaves are bitmaps, inner nodes hold the OR of their children
    and the least number of bits. A dual traversal prunes pairs of nodes that
-   must differ in more than three bits. Rows with the same bitmap are linked
+   must differ in more than r bits. Rows with the same bitmap are linked
    without comparing. What remains are candidate links; only those that join
    two parts of a task's forest are kept.
 3. *Clusters.* Connected components of the candidates hold all links. Their
@@ -47,14 +47,14 @@ from .common import HAS_WORD, checkpoint
 from .components import components
 
 #: Ratio of the borders of size classes.
-RATIO = 1.6
-#: Times that a range with a part of too few shingles is dealt anew.
-LEVELS = 6
+RATIO = 1.4
+#: The r above, at most; and how often a range with an empty part is dealt anew.
+DIFFER, LEVELS = 5, 16
 FANOUT = 8
 #: Bytes of text handled at a time, and rows of a task's key groups.
 SLICE, ROWS = 1 << 20, 1 << 17
 #: Shingles that a task of the exact comparison holds per block, about.
-TOKENS = 1 << 21
+TOKENS = 1 << 19
 #: Nodes that a task remembers in order to file equal sets once.
 REMEMBERED = 1 << 19
 #: Bits of the filter that spares fetching sets without a candidate link.
@@ -137,8 +137,8 @@ class Scheme:
         self.borders = np.array(borders)
         most = (self.borders[1:] - 1) * (den - num) // num
         # Equal sets are one node already, so classes without room to differ need no key.
-        self.ranges = np.where(most > 0, -(-(most + 1) // 4), 0)
-        self.least = np.where(self.borders[:-1] >= 16 * np.maximum(self.ranges, 1), 2, 1)
+        self.parts = np.where(most > 0, np.minimum(most, DIFFER) + 1, 0)
+        self.ranges = np.where(most > 0, -(-(most + 1) // np.maximum(self.parts, 1)), 0)
 
     def roles(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(texts, class): each text's own class, and the one below if a partner may be in it."""
@@ -162,35 +162,36 @@ def key_rows(scheme: Scheme, tokens: np.ndarray, counts: np.ndarray) -> tuple[np
         some = some[scheme.ranges[classes[some]] > 0]
         if not len(some):
             continue
-        level_class, ranges = classes[some], scheme.ranges[classes[some]]
-        n = counts[some]
-        at = np.repeat(firsts[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        own, n = classes[some], counts[some]
+        ranges, parts = scheme.ranges[own], scheme.parts[own]
+        at = np.repeat(firsts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         t, who = tokens[at], np.repeat(np.arange(len(some)), n)
-        h = mix(t + level_class.astype(U)[who] * U(0xD6E8FEB86659FD93))
-        base = np.concatenate(([0], np.cumsum(ranges)[:-1]))
-        total = int(ranges.sum())
-        place = base[who] + ((h >> U(32)) * ranges.astype(U)[who] >> U(32)).astype(np.int64)
+        h = mix(t + own.astype(U)[who] * U(0xD6E8FEB86659FD93))
+        base = np.cumsum(ranges) - ranges
         owner = np.repeat(np.arange(len(some)), ranges)
-        bitmap = np.zeros(total, U)
+        place = base[who] + ((h >> U(32)) * ranges.astype(U)[who] >> U(32)).astype(np.int64)
+        wide = parts[owner]  # parts of every range
+        start = np.cumsum(wide) - wide
+        range_of = np.repeat(np.arange(len(wide)), wide)
+        bitmap = np.zeros(len(wide), U)
         np.bitwise_or.at(bitmap, place, U(1) << (h & U(63)))
-        weight, active = mix(h), np.ones(total, bool)
-        least = scheme.least[level_class][owner]
+        weight, active = mix(h), np.ones(len(wide), bool)
+        number = np.arange(len(range_of)) - start[base[owner[range_of]]]
+        salt = number.astype(U) * U(LEVELS) + own.astype(U)[owner[range_of]] * U(0xC2B2AE3D27D4EB4F)
         for level in range(LEVELS):
-            part = place * 4 + (mix(h + _STEPS[level + 1]) >> U(62)).astype(np.int64)
-            held = np.bincount(part, minlength=4 * total)
-            sums = np.zeros(4 * total, U)
+            part = start[place] + ((mix(h + _STEPS[level + 1]) >> U(32)) * wide[place].astype(U) >> U(32)).astype(np.int64)
+            sums, empty = np.zeros(len(range_of), U), np.ones(len(range_of), bool)
             np.add.at(sums, part, weight)
-            light = held < np.repeat(least, 4)
-            sent = np.repeat(active, 4) & (~light if level + 1 < LEVELS else True)
-            p = np.flatnonzero(sent)
-            r = p >> 2
-            number = (p - 4 * base[owner[r]]).astype(U)
-            keys.append(mix(sums[p] + mix(number * U(LEVELS) + U(level) + level_class[owner[r]].astype(U) * U(0xC2B2AE3D27D4EB4F))))
+            empty[part] = False
+            p = np.flatnonzero(active[range_of] & (~empty if level + 1 < LEVELS else True))
+            r = range_of[p]
+            # The three low bits of a key tell how many bits may differ.
+            keys.append(mix(sums[p] + mix(salt[p] + U(level))) & ~U(7) | (wide[r] - 1).astype(U))
             texts.append(some[owner[r]])
             maps.append(bitmap[r])
-            active &= light.reshape(-1, 4).any(axis=1)
+            active &= np.logical_or.reduceat(empty, start)
             live = active[place]
-            if not live.any() and not active.any():
+            if not active.any():
                 break
             place, h, weight = place[live], h[live], weight[live]
     if not keys:
@@ -198,23 +199,23 @@ def key_rows(scheme: Scheme, tokens: np.ndarray, counts: np.ndarray) -> tuple[np
     return np.concatenate(keys), np.concatenate(texts), np.concatenate(maps)
 
 
-def near_bitmaps(maps: np.ndarray, starts: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def near_bitmaps(maps: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the same group (from ``starts``) whose bitmaps differ in at most ``most`` bits.
 
     One signature tree per group, all walked together, level by level.
     """
-    count = np.diff(np.append(starts, len(maps)))
-    levels = [(maps, np.bitwise_count(maps).astype(np.int64), None, None)]
-    first, size = starts, count
+    size = np.diff(np.append(starts, len(maps)))
+    levels = [(maps, np.bitwise_count(maps).astype(np.int64), most, None, None)]
+    first = starts
     while len(size) and size.max() > 1:
         up = -(-size // FANOUT)
-        up_first = np.concatenate(([0], np.cumsum(up)[:-1]))
+        up_first = np.cumsum(up) - up
         group = np.repeat(np.arange(len(size)), up)
         within = np.arange(up.sum()) - up_first[group]
         child = first[group] + within * FANOUT
         children = np.minimum(size[group] - within * FANOUT, FANOUT)
-        low_maps, low_bits = levels[-1][:2]
-        levels.append((np.bitwise_or.reduceat(low_maps, child), np.minimum.reduceat(low_bits, child), child, children))
+        low = levels[-1]
+        levels.append((np.bitwise_or.reduceat(low[0], child), np.minimum.reduceat(low[1], child), low[2][child], child, children))
         first, size = up_first, up
     roots = np.arange(len(levels[-1][0]))
     found, stack = [], [(len(levels) - 1, roots, roots)]
@@ -223,24 +224,30 @@ def near_bitmaps(maps: np.ndarray, starts: np.ndarray, most: int = 3) -> tuple[n
         if not depth:
             found.append((a, b))
             continue
-        _, _, child, children = levels[depth]
-        if len(a) > 1 and int((children[a] * children[b]).sum()) > 1 << 21:
-            half = len(a) // 2
-            stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
+        x, y = _children(*levels[depth][3:], a, b, stack, depth)
+        if x is None:
             continue
-        wide = children[a] * children[b]
-        pair = np.repeat(np.arange(len(a)), wide)
-        k = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-        x, y = child[a][pair] + k // children[b][pair], child[b][pair] + k % children[b][pair]
-        m, bits = levels[depth - 1][:2]
+        m, bits, limit = levels[depth - 1][:3]
         differ = bits[x] + bits[y] - 2 * np.bitwise_count(m[x] & m[y]).astype(np.int64)
-        good = (differ <= most) & ((x < y) if depth == 1 else (x <= y))
+        good = (differ <= limit[x]) & ((x < y) if depth == 1 else (x <= y))
         stack.append((depth - 1, x[good], y[good]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _children(child: np.ndarray, children: np.ndarray, a: np.ndarray, b: np.ndarray, stack: list, depth: int, most: int = 1 << 21) -> tuple:
+    """All pairs of children of node pairs; too many at once go back to the stack in halves."""
+    wide = children[a] * children[b]
+    if len(a) > 1 and int(wide.sum()) > most:
+        half = len(a) // 2
+        stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
+        return None, None
+    pair = np.repeat(np.arange(len(a)), wide)
+    k = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    return child[a][pair] + k // children[b][pair], child[b][pair] + k % children[b][pair]
+
+
 class Forest:
     """Union by a table of parents; keeps the links that joined two trees."""
 
@@ -283,7 +290,7 @@ def _candidates(key: np.ndarray, maps: np.ndarray, node: np.ndarray) -> np.ndarr
     size = np.diff(np.append(np.flatnonzero(new), len(key)))
     rows = np.flatnonzero(np.repeat(size > 1, size))
     size = size[size > 1]
-    a, b = near_bitmaps(maps[rows].view(U), np.cumsum(size) - size)
+    a, b = near_bitmaps(maps[rows].view(U), np.cumsum(size) - size, key[rows] & 7)
     return _distinct_pairs(node[rows[a]], node[rows[b]])
 
 
@@ -352,45 +359,36 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
             compare(a, b)
     if len(sets) <= 3:
         return links
-    words = min(64, max(4, -(-int(n.max()) * 2 // 64)))
-    maps = _wide_maps(sets, words)
-    bits = np.bitwise_count(maps).sum(1).astype(np.int64)
+    maps = _wide_maps(sets, min(64, max(4, -(-int(n.max()) * 2 // 64))))
     label = np.array([forest.find(i) for i in range(len(sets))])
     # Leaves of a component stand together, so that whole nodes can be skipped.
     order = np.lexsort((n, label))
-    m, size, spare = maps[order], n[order], (n - bits)[order]
-    levels = [(m, size, size, spare)]
+    size = n[order]
+    levels = [(maps[order], size, size, size - np.bitwise_count(maps).sum(1).astype(np.int64)[order], label[order], None, None)]
     while len(levels[-1][0]) > 1:
-        lm, lo, hi, sp = levels[-1]
+        lm, lo, hi, spare, one, _, _ = levels[-1]
         at = np.arange(0, len(lm), FANOUT)
-        levels.append((np.bitwise_or.reduceat(lm, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sp, at)))
-    stack = [(len(levels) - 1, 0, 0)]
-    roots = np.array([forest.find(i) for i in order.tolist()])
-
-    def one_component(depth: int, a: int, b: int) -> bool:
-        span = FANOUT**depth
-        ra, rb = roots[a * span : (a + 1) * span], roots[b * span : (b + 1) * span]
-        return ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all()
-
+        low, high = np.minimum.reduceat(one, at), np.maximum.reduceat(one, at)
+        low = np.where((low == high) & (low >= 0), low, -1)
+        levels.append((np.bitwise_or.reduceat(lm, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(spare, at), low, at, np.minimum(len(lm) - at, FANOUT)))
+    root = np.zeros(1, np.int64)
+    stack = [(len(levels) - 1, root, root)]
     while stack:
         depth, a, b = stack.pop()
-        lm, lo, hi, sp = levels[depth]
-        if one_component(depth, a, b):
-            continue
-        if a != b:
-            shared = min(int(np.bitwise_count(lm[a] & lm[b]).sum()) + min(sp[a], sp[b]), hi[a], hi[b])
-            if hi[a] * den < lo[b] * num or hi[b] * den < lo[a] * num or shared * (num + den) < num * (lo[a] + lo[b]):
-                continue
         if not depth:
-            before = len(links)
-            i, j = int(order[a]), int(order[b])
-            compare(i, j)
-            if len(links) > before:
-                roots = np.array([forest.find(x) for x in order.tolist()])
+            for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True):
+                compare(i, j)
             continue
-        below = len(levels[depth - 1][0])
-        xs, ys = range(a * FANOUT, min((a + 1) * FANOUT, below)), range(b * FANOUT, min((b + 1) * FANOUT, below))
-        stack += [(depth - 1, x, y) for x in xs for y in ys if a != b or x < y or (x == y and depth > 1)]
+        x, y = _children(*levels[depth][5:], a, b, stack, depth, 1 << 15)
+        if x is None:
+            continue
+        lm, lo, hi, spare, one = levels[depth - 1][:5]
+        good = ((one[x] != one[y]) | (one[x] < 0)) & ((x < y) if depth == 1 else (x <= y)) & (hi[x] * den >= lo[y] * num) & (hi[y] * den >= lo[x] * num)
+        x, y = x[good], y[good]
+        shared = np.minimum(np.bitwise_count(lm[x] & lm[y]).sum(1, dtype=np.int64) + np.minimum(spare[x], spare[y]), np.minimum(hi[x], hi[y]))
+        # The largest possible overlap must reach what the smallest sizes need.
+        good = (shared * (num + den) >= num * (lo[x] + lo[y])) | ((x == y) & (depth > 1))
+        stack.append((depth - 1, x[good], y[good]))
     return links
 
 
