@@ -2,7 +2,9 @@
 
 Texts are cut into matches of the vocabulary's pattern and every match is
 encoded on its own; the library works on characters that stand for bytes and
-maps them back to character offsets in the text. Decoding looks up the bytes
+maps them back to character offsets in the text. Where offsets are not asked
+for, a match that a worker has seen lately is looked up instead of encoded
+again (at most ``REMEMBERED`` of them). Decoding looks up the bytes
 of every id in the rank table and joins them: a token may end inside a
 character, so bytes are joined before they are read as UTF-8, and ``pieces``
 carries an unfinished character over to the next token.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 1 << 18
+REMEMBERED = 200_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -41,6 +44,12 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def byte_table() -> dict[str, int]:
     """The printable stand-in of every byte: itself, or the next character from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -51,7 +60,8 @@ def byte_table() -> dict[str, int]:
 class Codec:
     """One vocabulary; made from the contents of its two files."""
 
-    def __init__(self, model: str, ranks: bytes) -> None:
+    def __init__(self, model: str, ranks: bytes, pattern: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -62,16 +72,27 @@ class Codec:
         if any(same.get(word) != i for i, word in self.bytes.items()):
             raise ValueError("the two vocabulary files differ")
         self.decimal = {i: str(i) for i in self.bytes}
+        self.matches = regex.compile(pattern).findall
+        self.model = self.tokenizer.model
+        self.stand_in = {b: c for c, b in table.items()}
+        self.known: dict[str, list[int]] = {}
 
-    def encode(self, texts: list[str], offsets: bool = True) -> Iterator:
+    def encode(self, texts: list[str]) -> list:
         """An encoding (``ids``, ``offsets``) of every text, in order."""
-        encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        start = held = 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= SLICE or i + 1 == len(texts):
-                yield from encode(texts[start : i + 1], add_special_tokens=False)
-                start, held = i + 1, 0
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def ids(self, text: str) -> list[int]:
+        """The ids alone."""
+        out: list[int] = []
+        for match in self.matches(text):
+            found = self.known.get(match)
+            if found is None:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                standing = match.encode("utf-8", "replace").decode("latin-1").translate(self.stand_in)
+                found = self.known[match] = [token.id for token in self.model.tokenize(standing)]
+            out += found
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -89,11 +110,11 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _on_workers(docs: DataFrame, paths: tuple[str, str] | None):
+def _on_workers(docs: DataFrame, paths: tuple[str, str] | None, pattern: str | None = None):
     """A function that gives workers their codec, made once per process."""
     model, ranks = paths or default_paths()
     with open(model, encoding="utf-8") as m, open(ranks, "rb") as r:
-        shared = docs.sparkSession.sparkContext.broadcast((m.read(), r.read()))
+        shared = docs.sparkSession.sparkContext.broadcast((m.read(), r.read(), pattern or default_pattern()))
     name = uuid.uuid4().hex
 
     def codec() -> Codec:
@@ -118,7 +139,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                done = list(codec().encode(part.column("text").to_pylist()))
+                done = codec().encode(part.column("text").to_pylist())
                 ids = pa.array([e.ids for e in done], pa.list_(pa.int32()))
                 starts, ends = (pa.array([[o[k] for o in e.offsets] for e in done], pa.list_(pa.int32())) for k in (0, 1))
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(e.ids) for e in done], pa.int64()), ids, starts, ends], names=["doc_id", "n_tokens", "ids", "starts", "ends"])
@@ -159,7 +180,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                ids = [e.ids for e in codec().encode(part.column("text").to_pylist(), offsets=False)]
+                ids = list(map(codec().ids, part.column("text").to_pylist()))
                 n, listed, decoded = zip(*map(codec().digests, ids), strict=True)
                 columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(listed), "decoded_sha256": pa.array(decoded)}
                 if keep_ids:
