@@ -56,22 +56,29 @@ def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in whole chunks, with at least a window of zeros after each; first chunks."""
+    """Chunks of all texts, each with the first bytes of the text's next one; first chunks.
+
+    At least a window of zeros follows each text, and nothing of another text.
+    """
     chunks = np.array([-(-(len(t) + WIDTH) // CHUNK) for t in texts])
-    firsts = np.concatenate(([0], np.cumsum(chunks)[:-1]))
-    laid = np.zeros(chunks.sum() * CHUNK + WIDTH, np.uint8)
+    firsts = np.cumsum(chunks) - chunks
+    flat = np.zeros(chunks.sum() * CHUNK, np.uint8)
     for t, c in zip(texts, firsts, strict=True):
-        laid[c * CHUNK : c * CHUNK + len(t)] = np.frombuffer(t, np.uint8)
+        flat[c * CHUNK : c * CHUNK + len(t)] = np.frombuffer(t, np.uint8)
+    laid = np.zeros((chunks.sum(), CHUNK + WIDTH), np.uint8)
+    laid[:, :CHUNK] = flat.reshape(-1, CHUNK)
+    laid[:-1, CHUNK:] = laid[1:, :WIDTH]
+    laid[firsts + chunks - 1, CHUNK:] = 0
     return laid, firsts
 
 
-def _answers(w: dict[str, np.ndarray], laid: np.ndarray, chunks: slice) -> np.ndarray:
-    """(chunks, windows of a chunk, filters) of the filters' answers."""
-    count, per = chunks.stop - chunks.start, CHUNK // STRIDE
-    part = np.take(w["bytes"], laid[chunks.start * CHUNK : chunks.stop * CHUNK + WIDTH], axis=0)
-    step = part.strides[0]
-    windows = np.lib.stride_tricks.as_strided(part, (count * per, WIDTH * EMBEDDING), (STRIDE * step, part.strides[1]), writeable=False)
-    return (np.ascontiguousarray(windows) @ w["filters"]).reshape(count, per, FILTERS)
+def _answers(w: dict[str, np.ndarray], laid: np.ndarray) -> np.ndarray:
+    """(chunks, windows of a chunk, filters) of the filters' answers, without bias."""
+    count, per = len(laid), CHUNK // STRIDE
+    part = np.take(w["bytes"], laid, axis=0)
+    row, step, one = part.strides
+    windows = np.lib.stride_tricks.as_strided(part, (count, per, WIDTH * EMBEDDING), (row, STRIDE * step, one), writeable=False)
+    return (np.ascontiguousarray(windows).reshape(count * per, -1) @ w["filters"]).reshape(count, per, FILTERS)
 
 
 def _peaks(answers: np.ndarray) -> np.ndarray:
@@ -90,18 +97,17 @@ def _head(w: dict[str, np.ndarray], peaks: np.ndarray) -> tuple[np.ndarray, np.n
 
 def score_texts(w: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     laid, firsts = _lay_out(texts)
-    total = (len(laid) - WIDTH) // CHUNK
     # A few hundred chunks at a time bound the memory of the windows.
-    peaks = np.concatenate([_peaks(_answers(w, laid, slice(i, min(i + 256, total)))) for i in range(0, total, 256)]) + w["bias"]
+    peaks = np.concatenate([_peaks(_answers(w, laid[i : i + 256])) for i in range(0, len(laid), 256)]) + w["bias"]
     return _head(w, np.hstack([np.maximum.reduceat(peaks, firsts), np.minimum.reduceat(peaks, firsts)]))[2]
 
 
 def _gradients(w: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     laid, firsts = _lay_out(texts)
-    total, n, cols = (len(laid) - WIDTH) // CHUNK, len(texts), np.arange(FILTERS)
-    answers = _answers(w, laid, slice(0, total))
+    n, cols = len(texts), np.arange(FILTERS)
+    answers = _answers(w, laid)
     peaks = _peaks(answers)
-    ends = np.append(firsts[1:], total)
+    ends = np.append(firsts[1:], len(laid))
     high = np.array([peaks[a:b].argmax(axis=0) + a for a, b in zip(firsts, ends, strict=True)])
     low = np.array([peaks[a:b].argmin(axis=0) + a for a, b in zip(firsts, ends, strict=True)])
     pooled = np.hstack([peaks[high, cols] + w["bias"], peaks[low, cols] + w["bias"]])
@@ -110,8 +116,8 @@ def _gradients(w: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray)
     d_hidden = d_out @ w["out"].T * (1 - hidden**2)
     d_peaks = d_hidden @ w["hidden"].T * (1 - active**2)
     won = np.hstack([high, low])
-    at = won * CHUNK + answers[won, :, np.tile(cols, 2)].argmax(axis=2) * STRIDE
-    window = laid[at[:, :, None] + np.arange(WIDTH)]  # texts, 2 x filters, width
+    at = answers[won, :, np.tile(cols, 2)].argmax(axis=2) * STRIDE
+    window = laid[won[:, :, None], at[:, :, None] + np.arange(WIDTH)]  # texts, 2 x filters, width
     seen = w["bytes"][window].reshape(n, 2, FILTERS, WIDTH * EMBEDDING)
     by_filter = d_peaks.reshape(n, 2, FILTERS)
     g = {"out": hidden.T @ d_out, "out_bias": d_out.sum(0), "hidden": active.T @ d_hidden, "hidden_bias": d_hidden.sum(0), "bias": by_filter.sum((0, 1))}
