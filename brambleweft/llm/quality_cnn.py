@@ -34,8 +34,8 @@ from .common import held_out
 
 WIDTH, STRIDE, CHUNK = 12, 2, 256
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
-SAMPLE, LONGEST = 1200, 1 << 15
-EPOCHS, STEP, BATCH = 14, 4e-3, 48
+SAMPLE, LONGEST = 2000, 1 << 15
+EPOCHS, STEP, BATCH = 16, 4e-3, 48
 KEEP_FROM = 0.3
 SEED = 7
 BLOCK = 1 << 19
