@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans import pattern as P
 from ..plans.graph import Graph
+from ..session import checkpoint
 
 
 def clamp(value: int, low: int, high: int | None = None) -> int:
@@ -36,7 +37,8 @@ def impact(g: Graph, seeds: DataFrame, depth: int = 3, types: tuple[str, ...] =
     """(direction, node_id, depth): transitive callees (out) and callers (in) of the same label."""
     depth = clamp(depth, 1, 6)
     keep = g.nodes(label).select("node_id")
-    found = [P.reach(seeds, g.edges(*types), depth, d, keep).select(F.lit(d).alias("direction"), "node_id", "depth") for d in ("out", "in")]
+    edges, seeds = checkpoint(g.edges(*types)), checkpoint(seeds)
+    found = [P.reach(seeds, edges, depth, d, keep).select(F.lit(d).alias("direction"), "node_id", "depth") for d in ("out", "in")]
     return found[0].unionByName(found[1])
 
 
@@ -68,8 +70,9 @@ def explore(g: Graph, seeds: DataFrame, types: tuple[str, ...], depth: int = 2)
     """
     depth = clamp(depth, 1, 4)
     named = g.nodes().where("qualified_name <> ''").select("node_id")
-    found = P.reach(seeds, g.edges(*types), depth, "any", named)
-    scored = P.counted(found, "node_id", P.both_ways(g.edges(*types)), "src", "degree")
+    edges = checkpoint(g.edges(*types))
+    found = P.reach(checkpoint(seeds), edges, depth, "any", named)
+    scored = P.counted(found, "node_id", P.both_ways(edges), "src", "degree")
     flag = lambda rows, kind: rows.join(g.edges(kind).select(F.col("dst").alias("node_id"), F.lit(1).alias(kind)).distinct(), "node_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
     scored = flag(flag(scored, "NOTES"), "MENTIONS")
     return scored.select("node_id", "depth", "degree", F.col("NOTES").alias("has_notes"), F.col("MENTIONS").alias("has_mentions"), F.expr("degree + 4 * NOTES + 2 * MENTIONS - 5 * depth").alias("score"))

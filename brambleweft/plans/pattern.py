@@ -53,13 +53,15 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out"
     """(node_id, depth) of the nodes found from ``seeds`` (node_id) within ``depth`` hops.
 
     The depth is that of the first discovery; cycles are cut and the seeds are
-    not reported. ``keep`` (node_id) restricts which nodes may be found. Every
-    hop is one shuffle of the frontier and its edges, written to the shared
-    folder so that the plan does not grow with the depth.
+    not reported. ``keep`` (node_id) restricts which nodes may be found. The
+    distinct pairs are written once to the shared folder, as every hop reads
+    them, and so is each hop's frontier, so that the plan does not grow.
     """
     pairs = {"out": edges, "in": turned(edges), "any": both_ways(edges)}[direction].select("src", "dst").distinct()
     if keep is not None:
         pairs = pairs.join(keep.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    if depth > 1:
+        pairs = checkpoint(pairs)
     found = seeds.select("node_id", F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
         frontier = found.where(F.col("depth") == d - 1).select(F.col("node_id").alias("src"))
