@@ -7,12 +7,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Fixed values of 64-bit FNV-1a.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a_64(data: pd.Series) -> pd.Series:
     """64-bit FNV-1a of a string's UTF-8 bytes, as a signed number."""
 

@@ -58,7 +58,11 @@ class Store:
         fs, where = self._file("_CURRENT")
         if not fs.exists(where):
             return {}
-        return json.loads("".join(r["value"] for r in self.spark.read.text(str(where)).collect()))
+        stream = fs.open(where)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.current()[table]}")
