@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,13 +171,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """(doc_id, score), or (row, score) with the input's row where ``keep_row``."""
-    first = F.struct("*").alias("row") if keep_row else F.col(id_col).alias("doc_id")
-    slim = docs.select(first, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # A row that is kept whole holds its text already.
+    slim = docs.select(F.struct("*").alias("row")) if keep_row else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     name, kind = slim.columns[0], slim.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, scores, held, start = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], [], 0, 0
+            column = pa.compute.struct_field(batch.column("row"), text_col) if keep_row else batch.column("text")
+            texts, scores, held, start = [(t or "").encode("utf-8", "replace") for t in column.to_pylist()], [], 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
                 if held >= BLOCK or i + 1 == len(texts):
