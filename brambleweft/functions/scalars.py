@@ -56,12 +56,12 @@ def module_prefix(package: Column, path: Column) -> Column:
 
 def first_line(body: Column) -> Column:
     """A signature: the first line, trimmed, with escaped pipes; a dash where there is none."""
-    line = F.regexp_replace(F.trim(F.split(F.coalesce(body, F.lit("")), "\n")[0]), r"\|", r"\\\\|")
+    line = F.replace(F.trim(F.split(F.coalesce(body, F.lit("")), "\n")[0]), F.lit("|"), F.lit("\\|"))
     return F.when(line == "", "—").otherwise(line)
 
 
 def markdown_cell(value: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\|", r"\\\\|"), r"[\r\n\t]", " ")
+    text = F.regexp_replace(F.replace(value.cast("string"), F.lit("|"), F.lit("\\|")), r"[\r\n\t]", " ")
     return F.coalesce(text, F.lit("—"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html import escape
 
 from pyspark.sql import DataFrame
 
@@ -35,3 +36,42 @@ def dot(nodes: DataFrame, edges: DataFrame) -> str:
     lines = [f"  {r['slug']} [label={json.dumps(r['node_id'])}];" for r in nodes.orderBy("slug").collect()]
     lines += [f"  {r['src_slug']} -> {r['dst_slug']} [label={json.dumps(r['type'])}];" for r in edges.orderBy("src_slug", "dst_slug").collect()]
     return "\n".join(["digraph g {", *lines, "}"])
+
+
+def notes(rows: DataFrame, limit: int = 50) -> str:
+    """Notes (node_id, title, author, created_at, markdown) as sections, newest first."""
+    parts = []
+    for r in rows.orderBy("created_at", "node_id", ascending=[False, True]).limit(limit).collect():
+        parts.append(f"### {_cell(r['title'] or r['node_id'])}\n\n_{_cell(r['author'])}, {_cell(r['created_at'])}_\n\n{r['markdown'] or ''}".rstrip())
+    return "\n\n".join(parts) or "_no notes_"
+
+
+def roadmap(rows: DataFrame, limit: int = 1000) -> str:
+    """Items (area, status, item) in the order of ``worklog.roadmap`` as nested headings and bullets."""
+    lines, area, status = ["# Roadmap"], None, None
+    for r in rows.limit(limit).collect():
+        if r["area"] != area:
+            lines, area, status = [*lines, "", f"## {r['area']}"], r["area"], None
+        if r["status"] != status:
+            lines, status = [*lines, "", f"### {r['status']}", ""], r["status"]
+        lines.append(f"- {r['item']}")
+    return "\n".join(lines) + "\n"
+
+
+def html(nodes: DataFrame, edges: DataFrame, title: str = "graph", limit: int = 5000) -> str:
+    """One page with the nodes (node_id, kind) and edges (src, dst, type) as embedded JSON and a table.
+
+    Text goes in escaped, so no value can close the script element.
+    """
+    data = {
+        "nodes": [{"id": r["node_id"], "kind": r["kind"]} for r in nodes.orderBy("node_id").limit(limit).collect()],
+        "edges": [{"source": r["src"], "target": r["dst"], "type": r["type"]} for r in edges.orderBy("src", "dst", "type").limit(limit).collect()],
+    }
+    embedded = json.dumps(data, ensure_ascii=False).replace("<", "\\u003c")
+    rows = "".join(f"<tr><td>{escape(e['source'])}</td><td>{escape(e['type'])}</td><td>{escape(e['target'])}</td></tr>" for e in data["edges"])
+    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><script type="application/json" id="graph">{embedded}</script><table>{rows}</table>'
+
+
+def envelope(text: str, failed: bool = False) -> dict:
+    """A tool's reply as a JSON-RPC result."""
+    return {"content": [{"type": "text", "text": text}], "isError": failed}

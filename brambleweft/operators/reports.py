@@ -212,3 +212,32 @@ def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str)
     each = cut.withColumn("_n", F.explode(F.sequence(F.size("_parts"), F.lit(1), F.lit(-1)))).withColumn(prefix, F.array_join(F.expr("slice(_parts, 1, _n)"), "/"))
     best = each.join(prefixes.select(prefix).distinct(), prefix).groupBy(path).agg(F.max_by(prefix, "_n").alias(prefix))
     return rows.join(best, path, "left")
+
+
+def added_since(g: Graph, first_seen: DataFrame, base: str, head: str) -> DataFrame:
+    """(node_id, hash): nodes first seen (node_id, hash) in a commit after ``base`` up to ``head``."""
+    return P.where_exists(first_seen, "hash", diff_since(g, base, head), "hash")
+
+
+def dead_code_counts(g: Graph, by: str = "kind") -> DataFrame:
+    """(by, functions, dead): how many functions of each kind there are and nothing calls."""
+    fn = g.nodes("Function").where("not is_test")
+    called = g.edges("CALLS").select(F.col("dst").alias("node_id"), F.lit(1).alias("called")).distinct()
+    rows = fn.select("node_id", by).join(called, "node_id", "left")
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("functions"), F.count_if(F.col("called").isNull()).alias("dead"))
+
+
+def internal_packages(packages: DataFrame) -> DataFrame:
+    """(name, path) of packages that are not external and have both."""
+    return packages.where("not is_external and name <> '' and path <> ''").select("name", "path")
+
+
+def dependencies(depends: DataFrame, internal: DataFrame) -> DataFrame:
+    """Distinct (a, b, kind) whose depending side is an internal package."""
+    return P.where_exists(depends, "a", internal, "name").select("a", "b", "kind").distinct()
+
+
+def list_watches(watched: DataFrame, limit: int = 200) -> DataFrame:
+    """Newest watches, with the first eight characters of their commit."""
+    newest = watched.orderBy(F.desc("set_at"), "node_id").limit(clamp(limit, 1))
+    return newest.select("node_id", "set_at", F.substring("commit", 1, 8).alias("commit"))

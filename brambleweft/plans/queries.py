@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linkers, mutate, reports, worklog
+from ..functions import scalars
+from ..operators import annotations, bdd, linkers, mutate, reports, worklog
 from . import pattern as P
 from .projection import project, read
 
@@ -424,3 +425,150 @@ def watch_triggers(spark, d):
     fn = project(spark, d).nodes("Function")
     watched = fn.select("node_id", F.col("kind").alias("body"), F.when(F.col("line_start") > 25, "Brand#11").otherwise(F.col("kind")).alias("watch_baseline_body"))
     return linkers.watch_triggers(watched).select("node_id")
+
+
+@query("count_distinct", "SELECT kind, count(DISTINCT name) AS names, count(DISTINCT line_start) AS sizes FROM fn GROUP BY kind")
+def count_distinct(spark, d):
+    return project(spark, d).nodes("Function").groupBy("kind").agg(F.countDistinct("name").alias("names"), F.countDistinct("line_start").alias("sizes"))
+
+
+@query("merge_nodes", "SELECT id AS node_id FROM fn WHERE is_test UNION SELECT src FROM calls")
+def merge_nodes(spark, d):
+    g = project(spark, d)
+    return mutate.merge_rows(g.nodes("Function", "Test").select("node_id"), g.edges("CALLS").select(F.col("src").alias("node_id")), ["node_id"])
+
+
+@query("keyed_cross_product", "SELECT f.id AS node_id, n_name AS package FROM fn f, nation WHERE f.id = 'part::12' AND n_nationkey < 3")
+def keyed_cross_product(spark, d):
+    g = project(spark, d)
+    one = g.nodes("Function").where("qualified_name = 'part::12'").select("node_id")
+    return one.crossJoin(g.nodes("Package").where("node_id in ('package::0', 'package::1', 'package::2')").select(F.col("name").alias("package")))
+
+
+@query("callers_of", "SELECT DISTINCT src AS node_id FROM calls WHERE dst IN (SELECT id FROM seed)")
+def callers_of(spark, d):
+    g = project(spark, d)
+    return P.expand(seed(g), "node_id", g.edges("CALLS").drop("type"), "caller", "in").select(F.col("caller").alias("node_id")).distinct()
+
+
+@query("dead_code_counts", "SELECT kind, count(*) AS functions, count(*) FILTER (id NOT IN (SELECT dst FROM calls)) AS dead FROM fn WHERE NOT is_test GROUP BY kind")
+def dead_code_counts(spark, d):
+    return reports.dead_code_counts(project(spark, d))
+
+
+FIRST = """+ born AS (SELECT 'part::' || l_partkey AS node_id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
+
+
+def _born(spark, d) -> DataFrame:
+    """(node_id, hash): the earliest order that a part is in."""
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey")
+    first = rows.groupBy("l_partkey").agg(F.min("at").alias("at"))
+    return first.select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("node_id"), F.col("at.o_orderkey").cast("string").alias("hash"))
+
+
+@query("diff_added", f"{FIRST} SELECT node_id, k::VARCHAR AS hash FROM born WHERE k IN (SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT o_orderdate FROM orders WHERE o_orderkey = 8) AND o_orderdate <= (SELECT o_orderdate FROM orders WHERE o_orderkey = 20))")
+def diff_added(spark, d):
+    return reports.added_since(project(spark, d), _born(spark, d), "8", "20")
+
+
+@query("first_and_last_seen", f"{FIRST} SELECT id AS node_id, coalesce(k::VARCHAR, 'head') AS first_seen_commit, 'head' AS last_seen_commit FROM fn LEFT JOIN born ON node_id = id")
+def first_and_last_seen(spark, d):
+    return linkers.first_and_last_seen(project(spark, d).nodes("Function").select("node_id"), _born(spark, d).withColumnRenamed("hash", "first_seen_commit"), "head", "node_id")
+
+
+@query("concept_list", "SELECT n_name AS name, n_name || ' files' AS description, '2000' AS created_at, count(s_suppkey) AS members FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name")
+def concept_list(spark, d):
+    nation = read(spark, d, "nation")
+    concepts = nation.select(F.col("n_name").alias("name"), F.concat("n_name", F.lit(" files")).alias("description"), F.lit("2000").alias("created_at"))
+    rich = read(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("dst"))
+    return annotations.list_concepts(concepts, rich.join(nation, "n_nationkey").select(F.col("n_name").alias("src"), "dst"))
+
+
+@query("notes_for_targets", "SELECT 'note::' || doc_id AS node_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY 1 DESC LIMIT 50")
+def notes_for_targets(spark, d):
+    g = project(spark, d)
+    notes = g.nodes("Note").select("node_id", "quality", F.col("node_id").alias("created_at"))
+    return annotations.list_notes(notes, g.edges("NOTES"), g.nodes("DocSection").where("kind = 'en'")).select("node_id", "quality")
+
+
+@query("list_watches", "SELECT 'commit::' || o_orderkey AS node_id, o_orderdate AS set_at, substr(o_orderpriority, 1, 8) AS \"commit\" FROM orders ORDER BY o_orderdate DESC, 1 LIMIT 200")
+def list_watches(spark, d):
+    commits = project(spark, d).nodes("GitCommit")
+    return reports.list_watches(commits.select("node_id", F.col("timestamp").alias("set_at"), F.col("message").alias("commit")))
+
+
+@query("internal_packages", "SELECT n_name AS name, 'region/' || n_regionkey AS path FROM nation WHERE n_regionkey <> 0 AND n_name <> ''")
+def internal_packages(spark, d):
+    return reports.internal_packages(_packages(spark, d))
+
+
+def _packages(spark, d) -> DataFrame:
+    """Nations as packages; those of region 0 count as external."""
+    return read(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("region/"), F.col("n_regionkey").cast("string")).alias("path"), (F.col("n_regionkey") == 0).alias("is_external"), "n_nationkey")
+
+
+@query("manifest_dependencies", """SELECT DISTINCT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'Normal' ELSE 'Dev' END AS kind FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+ JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_regionkey <> 0""")
+def manifest_dependencies(spark, d):
+    t = lambda name: read(spark, d, name)
+    packages = _packages(spark, d)
+    # The bag of lines shrinks to pairs of nations in the partial aggregation before its shuffle.
+    pairs = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    pairs = pairs.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey").select("s_nationkey", "c_nationkey").distinct()
+    side = lambda key, name: packages.select(F.col("n_nationkey").alias(key), F.col("name").alias(name), F.col("path").alias(f"{name}_path"))
+    depends = pairs.join(side("s_nationkey", "a"), "s_nationkey").join(side("c_nationkey", "b"), "c_nationkey").withColumn("kind", F.when(F.col("a_path") == F.col("b_path"), "Normal").otherwise("Dev"))
+    return reports.dependencies(depends, reports.internal_packages(packages))
+
+
+TALK = """t AS (SELECT role AS package, 'feature::' || conv_id AS feature, 'scenario::' || conv_id || '#' || role AS scenario, 'step::' || conv_id || '#' || turn AS step,
+ CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'starts' END AS function FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL)"""
+
+
+def _talk(spark, d) -> DataFrame:
+    """Conversations as features: a scenario per role, a step per turn."""
+    text = lambda c: F.col(c).cast("string")
+    rows = read(spark, d, "conversations").where("role is not null and text is not null")
+    return rows.select(
+        bdd.package_of(F.lit(None).cast("string"), F.concat(F.lit("crates/"), "role", F.lit("/x.feature"))).alias("package"),
+        F.concat(F.lit("feature::"), text("conv_id")).alias("feature"),
+        F.concat(F.lit("scenario::"), text("conv_id"), F.lit("#"), "role").alias("scenario"),
+        F.concat(F.lit("step::"), text("conv_id"), F.lit("#"), text("turn")).alias("step"),
+        F.when(F.col("text").rlike("^[A-Z]"), "starts").alias("function"),
+    )
+
+
+@query("bdd_graph_nodes", f"WITH {TALK} SELECT DISTINCT * FROM (SELECT 'Package' AS kind, package AS node_id FROM t UNION ALL SELECT 'Feature', feature FROM t UNION ALL SELECT 'Scenario', scenario FROM t UNION ALL SELECT 'Step', step FROM t UNION ALL SELECT 'Function', function FROM t) WHERE node_id IS NOT NULL", ctes="")
+def bdd_graph_nodes(spark, d):
+    return bdd.bdd_graph(_talk(spark, d))[0]
+
+
+@query("bdd_graph_edges", f"WITH {TALK} SELECT DISTINCT * FROM (SELECT package AS src, feature AS dst, 'PACKAGE_FEATURE' AS type FROM t UNION ALL SELECT feature, scenario, 'FEATURE_SCENARIO' FROM t UNION ALL SELECT scenario, step, 'SCENARIO_STEP' FROM t UNION ALL SELECT step, function, 'STEP_FUNCTION' FROM t) WHERE src IS NOT NULL AND dst IS NOT NULL", ctes="")
+def bdd_graph_edges(spark, d):
+    return bdd.bdd_graph(_talk(spark, d))[1]
+
+
+@query("unimplemented_steps", f"WITH {TALK} SELECT scenario, count(*) AS missing FROM t WHERE step NOT IN (SELECT step FROM t WHERE function IS NOT NULL AND step IS NOT NULL) GROUP BY scenario", ctes="")
+def unimplemented_steps(spark, d):
+    steps = _talk(spark, d).withColumnRenamed("step", "step_id")
+    return bdd.unimplemented_steps(steps, steps.where("function is not null"))
+
+
+@query("longest_prefix", """WITH p AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), x AS (SELECT DISTINCT regexp_extract(url, '^[^/]*//[^/]*(/[^/]+)?', 0) AS pre FROM p)
+ SELECT url, arg_max(pre, length(pre)) AS pre FROM p LEFT JOIN x ON pre <> '' AND (url = pre OR starts_with(url, pre || '/')) GROUP BY url""", ctes="")
+def longest_prefix(spark, d):
+    urls = read(spark, d, "pages").where("url is not null").select("url").distinct()
+    return reports.longest_prefix(urls, "url", urls.select(F.regexp_extract("url", "^[^/]*//[^/]*(/[^/]+)?", 0).alias("pre")).where("pre <> ''"), "pre")
+
+
+@query("scalar_functions", """SELECT p_partkey AS k, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', '-', 'g'), '-') AS slug, 'pkg::' || replace(p_name, ' ', '::') AS module,
+ strftime(make_timestamp(946684800123456 + p_partkey), '%Y-%m-%dT%H:%M:%S.%fZ') AS iso FROM part""", ctes="")
+def scalar_functions(spark, d):
+    path = F.concat(F.lit("crates/pkg/src/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), F.lit(".rs"))
+    micros = F.lit(946684800123456) + F.col("p_partkey")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), scalars.slug(F.col("p_name")).alias("slug"), scalars.module_prefix(F.lit("pkg"), path).alias("module"), scalars.iso_micros(micros).alias("iso"))
+
+
+@query("first_lines", "SELECT doc_id, CASE WHEN trim(split_part(coalesce(text, ''), chr(10), 1)) = '' THEN '—' ELSE replace(trim(split_part(text, chr(10), 1)), '|', '\\|') END AS signature FROM documents", ctes="")
+def first_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", scalars.first_line(F.col("text")).alias("signature"))

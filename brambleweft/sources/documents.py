@@ -98,3 +98,45 @@ def git_log(rows: DataFrame) -> DataFrame:
     part = F.split("record", "\x1f")
     names = ("hash", "short_hash", "parents", "author", "email", "timestamp", "message")
     return rows.where(F.size(part) >= len(names)).select(*[part[i].alias(n) for i, n in enumerate(names)]).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != ""))
+
+
+def openapi_schemas(files: DataFrame) -> DataFrame:
+    """(path, schema, position, field, type) of OpenAPI documents in JSON.
+
+    Schemas are those under ``components.schemas``, else ``definitions``. A field's
+    type is its own, else the last part of its reference, else ``any``; a schema
+    without properties gives one row without a field.
+    """
+    schema = "map<string, struct<properties: map<string, struct<type: string, `$ref`: string>>>>"
+    parsed = files.select("path", F.from_json("text", f"components struct<schemas: {schema}>, definitions {schema}").alias("doc"))
+    named = parsed.select("path", F.explode(F.coalesce("doc.components.schemas", "doc.definitions")).alias("schema", "body"))
+    fields = named.select("path", "schema", F.posexplode_outer("body.properties").alias("position", "field", "value"))
+    kind = F.coalesce("value.type", F.element_at(F.split(F.col("value").getField("$ref"), "/"), -1), F.lit("any"))
+    return fields.select("path", "schema", "position", "field", F.when(F.col("field").isNotNull(), kind).alias("type"))
+
+
+def openapi_references(files: DataFrame) -> DataFrame:
+    """(path, route, method, schema): schemas that an endpoint refers to, at any depth of its definition."""
+    routes = files.select("path", F.explode(F.from_json("text", "paths map<string, map<string, string>>").getField("paths")).alias("route", "methods"))
+    each = routes.select("path", "route", F.explode("methods").alias("method", "body")).where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
+    found = each.select("path", "route", "method", F.explode(F.regexp_extract_all("body", F.lit(r'"\$ref"\s*:\s*"(?:[^"]*/)?([^"/]+)"'), 1)).alias("schema"))
+    return found.distinct()
+
+
+def step_patterns(files: DataFrame) -> DataFrame:
+    """(path, kind, pattern, function) of step attributes on top-level functions of Rust sources."""
+    mark = r'(?m)^#\[(given|when|then)\(\s*(?:\w+\s*=\s*)?r?#*"((?:[^"\\]|\\.)*)"#*\s*\)\]\s*(?:#\[[^\]\n]*\]\s*)*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+(\w+)'
+    each = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(mark), 0)).alias("found"))
+    part = [F.regexp_extract("found", mark, i) for i in (1, 2, 3)]
+    return each.select("path", F.initcap(part[0]).alias("kind"), part[1].alias("pattern"), part[2].alias("function"))
+
+
+def review_comments(files: DataFrame) -> DataFrame:
+    """(path, comment, author, body, url) of JSON arrays of comments; ``comment`` counts from 0."""
+    parsed = files.select("path", F.from_json("text", "array<struct<author: string, body: string, url: string>>").alias("all"))
+    return parsed.select("path", F.posexplode("all").alias("comment", "c")).select("path", "comment", "c.author", "c.body", "c.url")
+
+
+def dirty_files(status: DataFrame) -> DataFrame:
+    """(path) of the lines (column ``record``) of a short git status."""
+    return status.select(F.trim(F.regexp_replace("record", r"^\s*\S+\s", "")).alias("path")).where("path <> ''")

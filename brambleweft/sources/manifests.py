@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COLUMNS = ["path", "package", "version", "dependency", "kind"]
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
@@ -82,3 +83,51 @@ def manifests(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "text").where("path is not null and text is not null").mapInPandas(run, SCHEMA)
+
+
+#: The manifests that tell a project's kind, the first found wins.
+KINDS = (("Rust", ("Cargo.toml",)), ("Node", ("package.json",)), ("Python", ("pyproject.toml", "requirements.txt", "setup.py")), ("Go", ("go.mod",)))
+
+
+def project_kind(names: set[str]) -> str:
+    """The kind of a project by the names of the files in its root; Rust where none tells."""
+    return next((kind for kind, files in KINDS if names & set(files)), KINDS[0][0])
+
+
+def _declared(path: str, text: str) -> list[str]:
+    """Members that a workspace's manifest names."""
+    if path.endswith("Cargo.toml"):
+        return tomllib.loads(text).get("workspace", {}).get("members", [])
+    found = json.loads(text).get("workspaces", [])
+    return found.get("packages", []) if isinstance(found, dict) else found
+
+
+def workspace_members(files: DataFrame) -> DataFrame:
+    """(root, member): manifests (paths) that another manifest of the same name declares as members.
+
+    A member is a folder relative to the root, or, for ``package.json``, every
+    folder one level below a name that ends in ``/*``. Members that aren't
+    there, and broken manifests, give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                folder, name = path.rpartition("/")[::2]
+                try:
+                    declared = [x for x in _declared(path, text) if isinstance(x, str)]
+                except (ValueError, AttributeError):
+                    continue
+                for member in declared:
+                    below = name == "package.json" and member.endswith("/*")
+                    where = (f"{folder}/" if folder else "") + member.removesuffix("/*" if below else "/").removeprefix("./")
+                    rows.append((path, name, where, below))
+            yield pd.DataFrame(rows, columns=["root", "name", "folder", "below"])
+
+    known = files.select("path", "text").where("path is not null and text is not null")
+    known = known.where(F.element_at(F.split("path", "/"), -1).isin("Cargo.toml", "package.json"))
+    declared = known.mapInPandas(run, "root string, name string, folder string, below boolean")
+    own = known.select(F.col("path").alias("member"), F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_replace("path", "/?[^/]*$", "").alias("inside"))
+    places = own.select("member", "name", F.explode(F.array(F.struct(F.col("inside").alias("folder"), F.lit(False).alias("below")), F.struct(F.regexp_replace("inside", "/?[^/]*$", "").alias("folder"), F.lit(True).alias("below")))).alias("p")).select("member", "name", "p.*")
+    return declared.join(places, ["name", "folder", "below"]).where("root <> member").select("root", "member").distinct()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brambleweft.functions import scalars
-from brambleweft.operators import annotations, mutate, render, reports
+from brambleweft.operators import annotations, bdd, mutate, render, reports
 from brambleweft.sources import code, documents, manifests
 from brambleweft.streaming import live
 
@@ -99,3 +99,55 @@ def test_entry_module_lists_queries_with_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 50
+
+
+def test_escaped_pipes(spark):
+    row = spark.createDataFrame([(" a|b \nc", "x|y\nz")], "body string, cell string")
+    assert tuple(row.select(scalars.first_line(F.col("body")), scalars.markdown_cell(F.col("cell"))).first()) == ("a\\|b", "x\\|y z")
+
+
+def test_more_extractors(spark):
+    spec = json.dumps({
+        "paths": {"/a": {"get": {"responses": {"200": {"schema": {"$ref": "#/components/schemas/A"}}}}, "x-y": {}}},
+        "components": {"schemas": {"A": {"properties": {"n": {"type": "integer"}, "b": {"$ref": "#/components/schemas/B"}, "c": {}}}, "B": {}}},
+    })
+    f = files(spark, a_json=spec)
+    assert [tuple(r)[1:] for r in documents.openapi_schemas(f).orderBy("schema", "position").collect()] == [("A", 0, "n", "integer"), ("A", 1, "b", "B"), ("A", 2, "c", "any"), ("B", None, None, None)]
+    assert [tuple(r)[1:] for r in documents.openapi_references(f).collect()] == [("/a", "get", "A")]
+    rust = '#[given(regex = r"^a (\\d+)$")]\nasync fn one() {}\n#[when("b")]\n#[allow(x)]\npub fn two() {}\nmod m {\n    #[then("no")]\n    fn three() {}\n}\n'
+    assert [tuple(r)[1:] for r in documents.step_patterns(files(spark, s_rs=rust)).collect()] == [("Given", "^a (\\d+)$", "one"), ("When", "b", "two")]
+    said = documents.review_comments(files(spark, c_json='[{"author": "x", "body": "b", "url": null}, {"body": "d"}]'))
+    assert [tuple(r)[1:4] for r in said.orderBy("comment").collect()] == [(0, "x", "b"), (1, None, "d")]
+    status = spark.createDataFrame([(" M a b.rs",), ("?? c.rs",), ("",)], "record string")
+    assert sorted(r["path"] for r in documents.dirty_files(status).collect()) == ["a b.rs", "c.rs"]
+
+
+def test_workspaces(spark):
+    rows = [
+        ("Cargo.toml", '[workspace]\nmembers = ["crates/a", "crates/none"]'),
+        ("crates/a/Cargo.toml", '[package]\nname = "a"'),
+        ("web/package.json", '{"workspaces": ["packages/*", "app"]}'),
+        ("web/packages/x/package.json", "{}"),
+        ("web/packages/x/deep/package.json", "{}"),
+        ("web/app/package.json", '{"workspaces": {"packages": []}}'),
+        ("bad/package.json", "[1"),
+        ("list/package.json", "[]"),
+    ]
+    got = manifests.workspace_members(spark.createDataFrame(rows, "path string, text string"))
+    assert {tuple(r) for r in got.collect()} == {("Cargo.toml", "crates/a/Cargo.toml"), ("web/package.json", "web/packages/x/package.json"), ("web/package.json", "web/app/package.json")}
+    assert manifests.project_kind({"go.mod", "setup.py"}) == "Python" and manifests.project_kind(set()) == "Rust"
+
+
+def test_bdd_and_pages(spark):
+    steps = spark.createDataFrame([("p", "f", "s", "1", None), ("p", "f", "s", "2", "fn"), (None, "g", "t", "3", None)], "package string, feature string, scenario string, step string, function string")
+    nodes, edges = bdd.bdd_graph(steps)
+    assert nodes.count() == 9 and {(r["src"], r["dst"]) for r in edges.collect()} == {("p", "f"), ("f", "s"), ("s", "1"), ("s", "2"), ("2", "fn"), ("g", "t"), ("t", "3")}
+    named = steps.withColumnRenamed("step", "step_id")
+    assert [tuple(r) for r in bdd.unimplemented_steps(named, named.where("function is not null")).collect()] == [("s", 1), ("t", 1)]
+    page = render.html(nodes.limit(0).union(spark.createDataFrame([("X", "</script>")], "a string, b string")), edges)
+    assert page.count("</script>") == 1 and "<td>f</td>" in page
+    note = spark.createDataFrame([("n1", None, "me", "1", "old"), ("n2", "T", "me", "2", "new")], "node_id string, title string, author string, created_at string, markdown string")
+    assert render.notes(note).startswith("### T\n\n_me, 2_\n\nnew\n\n### n1") and render.notes(note.limit(0)) == "_no notes_"
+    items = spark.createDataFrame([("A", "pending", "i"), ("A", "pending", "j"), ("B", "done", "k")], "area string, status string, item string").coalesce(1)
+    assert render.roadmap(items) == "# Roadmap\n\n## A\n\n### pending\n\n- i\n- j\n\n## B\n\n### done\n\n- k\n"
+    assert render.envelope("x", True)["isError"]
