@@ -7,7 +7,7 @@ documents -> DocSection, labels -> Note, benchmark passages -> MENTIONS.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph
@@ -48,6 +48,41 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(_id("part", "l_partkey").alias("src"), _id("part", "dst").alias("dst")).distinct()
 
 
+#: Words of the run by which a passage and the texts that hold it are joined.
+RUN = 8
+
+
+def _run(words: Column, start: Column) -> Column:
+    return F.xxhash64(*[F.get(words, start + k) for k in range(RUN)])
+
+
+def _runs(words: Column) -> Column:
+    """Hashes of all runs of RUN consecutive words, each once; none where there are fewer words.
+
+    The words are bound to a variable, so they are split once and not once a run.
+    """
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - RUN, F.lit(0))), lambda i: i + RUN <= F.size(w))
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(starts(w), lambda i: _run(w, i))))[0]
+
+
+def mentions(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id): texts that contain a passage.
+
+    The inner words of a passage stand between blanks in any text that holds it,
+    so its second to ninth word are a run of the text too: an equality join on
+    the run's hash proposes pairs, and only those are compared. Passages of
+    fewer than RUN + 2 words have no such run and are looked for in every text.
+    """
+    words = F.split("passage", " ")
+    long = F.size(words) >= RUN + 2
+    keyed = items.where(long).select("item_id", "passage", _run(words, F.lit(1)).alias("run"))
+    runs = docs.select("doc_id", F.explode(_runs(F.split("text", " "))).alias("run"))
+    pairs = runs.join(keyed, "run").select("doc_id", "item_id", "passage").distinct()
+    holds = F.col("text").contains(F.col("passage"))
+    found = docs.join(pairs, "doc_id").where(holds).select("doc_id", "item_id")
+    return found.unionByName(docs.join(items.where(~long), holds).select("doc_id", "item_id"))
+
+
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: read(spark, sf_dir, name)
     commit = t("orders").select(
@@ -74,8 +109,7 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
     tests = call.join(fn.where("is_test").select(F.col("node_id").alias("src")), "src", "left_semi").join(fn.where("not is_test").select(F.col("node_id").alias("dst")), "dst", "left_semi")
     line = t("lineitem").select("l_partkey", "l_suppkey")
     following = Window.partitionBy("o_custkey").orderBy("timestamp", "o_orderkey")
-    # Passages are looked for in every text; the passages are the small side.
-    mention = t("documents").select("doc_id", "text").join(t("benchmark").select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage")))
+    mention = mentions(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("passage")))
     edges = {
         "CALLS": call,
         "TESTS": tests.select("src", "dst"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brambleweft.functions import scalars
 from brambleweft.operators import annotations, bdd, mutate, render, reports
+from brambleweft.plans import projection
 from brambleweft.sources import code, documents, manifests
 from brambleweft.streaming import live
 
@@ -151,3 +152,14 @@ def test_bdd_and_pages(spark):
     items = spark.createDataFrame([("A", "pending", "i"), ("A", "pending", "j"), ("B", "done", "k")], "area string, status string, item string").coalesce(1)
     assert render.roadmap(items) == "# Roadmap\n\n## A\n\n### pending\n\n- i\n- j\n\n## B\n\n### done\n\n- k\n"
     assert render.envelope("x", True)["isError"]
+
+
+def test_mentions_find_every_passage(spark):
+    words = [f"w{i}" for i in range(30)]
+    passages = {0: " ".join(words[2:14]), 1: "w5", 2: " ".join(words[0:10]), 3: " ".join(words[3:12]) + " other", 4: "4 w5 w6 w7 w8 w9 w10 w11 w12 w1"}
+    texts = {1: " ".join(words), 2: "x" + " ".join(words[0:10]) + "y", 3: "", 4: None, 5: " ".join(words[0:15]) + "\n" + " ".join(words[0:15])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(passages.items()), "item_id long, passage string")
+    want = {(d, i) for d, t in texts.items() for i, p in passages.items() if t is not None and p in t}
+    got = [tuple(r) for r in projection.mentions(docs, items).collect()]
+    assert set(got) == want and len(got) == len(want) and (1, 4) in want
