@@ -397,6 +397,13 @@ def mention_resolution(spark, d):
     return linkers.resolve_mentions(tokens, project(spark, d).nodes("Function"))
 
 
+@query("mention_resolution_all", "+ short AS (SELECT name, min(id) AS id FROM fn GROUP BY name), tok AS (SELECT 'part::' || l_partkey AS token, l_orderkey AS k FROM lineitem UNION ALL SELECT p_name, p_partkey FROM part) SELECT token, k, coalesce(f.id, s.id) AS target FROM tok LEFT JOIN fn f ON f.id = token LEFT JOIN short s ON s.name = token WHERE coalesce(f.id, s.id) IS NOT NULL")
+def mention_resolution_all(spark, d):
+    tokens = read(spark, d, "lineitem").select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("token"), F.col("l_orderkey").alias("k"))
+    tokens = tokens.unionByName(read(spark, d, "part").select(F.col("p_name").alias("token"), F.col("p_partkey").alias("k")))
+    return linkers.resolve_mentions(tokens, project(spark, d).nodes("Function"))
+
+
 @query("link_extraction", "SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) WHERE NOT regexp_matches(href, '^(#|https?:|mailto:)')", ctes="")
 def link_extraction(spark, d):
     from ..sources.documents import local_links

@@ -163,3 +163,15 @@ def test_mentions_find_every_passage(spark):
     want = {(d, i) for d, t in texts.items() for i, p in passages.items() if t is not None and p in t}
     got = [tuple(r) for r in projection.mentions(docs, items).collect()]
     assert set(got) == want and len(got) == len(want) and (1, 4) in want
+
+
+def test_every_mention_is_resolved(spark):
+    from brambleweft.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    part, line = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    got = queries.QUERIES["mention_resolution_all"](spark, sf)
+    known = line.join(part, line["l_partkey"] == part["p_partkey"], "left_semi")
+    assert got.where("token like 'part::%'").count() == known.count() > 5000
+    assert got.where("token not like 'part::%'").count() == part.count()
+    assert got.where("token like 'part::%' and token <> target").count() == 0
