@@ -158,8 +158,12 @@ def diff_since(g: Graph, base: str, head: str, mode: str = "timestamp") -> DataF
         return commits.join(F.broadcast(ends), (F.col("timestamp") > F.col("t0")) & (F.col("timestamp") <= F.col("t1"))).select("hash", "timestamp")
     if mode != "dag":
         raise ValueError(f"unknown mode {mode}")
-    after = P.reach(start, g.edges("PARENT_OF"), 64).select("node_id")
-    return commits.join(after, "node_id", "left_semi").join(P.reach(end, g.edges("PARENT_OF"), 64, "in").select("node_id").unionByName(end.select("node_id")), "node_id", "left_semi").select("hash", "timestamp")
+    after = P.reach_all(start, g.edges("PARENT_OF"))
+    # What leads from there to the head has only such commits on its way.
+    within = P.where_exists(P.where_exists(g.edges("PARENT_OF"), "src", after, "node_id"), "dst", after, "node_id")
+    last = P.where_exists(end.select("node_id"), "node_id", after, "node_id")
+    upto = P.reach_all(last, within, "in").unionByName(last)
+    return P.where_exists(commits, "node_id", upto, "node_id").select("hash", "timestamp")
 
 
 def concept_functions(g: Graph, members: DataFrame) -> DataFrame:

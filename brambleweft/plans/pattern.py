@@ -73,6 +73,27 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out"
     return found.where("depth > 0")
 
 
+def reach_all(seeds: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
+    """(node_id) of all nodes found from ``seeds`` (node_id), however many hops away; the seeds are not reported.
+
+    Jumps double: after round k, ``found`` has all within 2**k - 1 hops and
+    ``jumps`` the pairs 2**k hops apart, so a chain of n nodes takes about
+    log2(n) rounds. It ends when a round finds nothing new. ``jumps`` has at
+    most one row per node where each node has one successor, as in a chain;
+    elsewhere one per pair that is that far apart. Both are written each round.
+    """
+    jumps = checkpoint({"out": edges, "in": turned(edges), "any": both_ways(edges)}[direction].select("src", "dst").distinct())
+    first = found = checkpoint(seeds.select("node_id").distinct())
+    while True:
+        new = found.join(jumps, found["node_id"] == jumps["src"]).select(F.col("dst").alias("node_id")).distinct().join(found, "node_id", "left_anti")
+        new = checkpoint(new)
+        if new.isEmpty():
+            return found.join(first, "node_id", "left_anti")
+        found = checkpoint(found.unionByName(new))
+        onward = jumps.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jumps = checkpoint(jumps.join(onward, "dst").select("src", F.col("end").alias("dst")).distinct())
+
+
 def ordered(*columns: str | Column) -> list[Column]:
     """Ascending order keys with nulls last; a leading ``-`` means descending, nulls first."""
     out = []

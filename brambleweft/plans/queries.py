@@ -291,9 +291,12 @@ def diff_commits(spark, d):
 head AS (SELECT arg_max(id, d) AS id FROM a) SELECT o_orderkey::VARCHAR AS hash, o_orderdate AS timestamp FROM orders WHERE 'commit::' || o_orderkey IN (SELECT id FROM a WHERE d > 0)""")
 def diff_dag(spark, d):
     g = project(spark, d)
-    commits = g.nodes("GitCommit").select("node_id", "hash", "timestamp")
-    after = P.reach(commits.where("hash = '10'"), g.edges("PARENT_OF"), 64)
-    return P.where_exists(commits, "node_id", after, "node_id").select("hash", "timestamp")
+    # The head is the last commit of the author's chain.
+    authored = g.edges("AUTHORED")
+    own = P.where_exists(authored, "src", authored.where("dst = 'commit::10'"), "src")
+    tips = P.where_missing(own.select(F.col("dst").alias("node_id")), "node_id", g.edges("PARENT_OF"), "src")
+    head = P.where_exists(g.nodes("GitCommit"), "node_id", tips, "node_id").first()
+    return reports.diff_since(g, "10", head["hash"] if head else "10", "dag")
 
 
 @query("concept_functions", "SELECT id AS node_id FROM fn WHERE kind = 'Brand#11' UNION SELECT dst FROM mentions m JOIN documents ON src = 'doc::' || doc_id WHERE lang = 'en' AND dst IN (SELECT id FROM fn)")

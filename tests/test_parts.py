@@ -175,3 +175,34 @@ def test_every_mention_is_resolved(spark):
     assert got.where("token like 'part::%'").count() == known.count() > 5000
     assert got.where("token not like 'part::%'").count() == part.count()
     assert got.where("token like 'part::%' and token <> target").count() == 0
+
+
+def test_diff_along_a_long_chain(spark, tmp_path):
+    import os
+
+    from brambleweft.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if name != "orders.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    hot = F.when(F.col("o_orderkey") % 3 == 1, 1).otherwise(F.col("o_custkey")).cast("long").alias("o_custkey")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.select(*[hot if c == "o_custkey" else F.col(c) for c in orders.columns]).write.parquet(str(tmp_path / "orders.parquet"))
+    chain = sorted((r["o_orderdate"], r["o_orderkey"]) for r in spark.read.parquet(str(tmp_path / "orders.parquet")).where("o_custkey = 1").collect())
+    keys = [str(k) for _, k in chain]
+    later = keys[keys.index("10") + 1 :]
+    assert len(later) > 64
+    assert sorted(r["hash"] for r in queries.QUERIES["diff_dag"](spark, str(tmp_path)).collect()) == sorted(later)
+    g = projection.project(spark, str(tmp_path))
+    assert sorted(r["hash"] for r in reports.diff_since(g, "10", later[-3], "dag").collect()) == sorted(later[:-2])
+    assert reports.diff_since(g, later[0], "10", "dag").collect() == []
+
+
+def test_reach_without_bound(spark):
+    from brambleweft.plans import pattern
+
+    steps = [(i, i + 1) for i in range(100)] + [(10, 50), (50, 10), (200, 201), (7, 7)]
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in steps], "src string, dst string")
+    reached = lambda at, way: {int(r["node_id"]) for r in pattern.reach_all(spark.createDataFrame([(at,)], "node_id string"), edges, way).collect()}
+    assert reached("20", "out") == set(range(10, 101)) - {20} and reached("3", "in") == {0, 1, 2} and reached("100", "out") == set()
