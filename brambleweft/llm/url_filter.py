@@ -10,8 +10,10 @@ Both models come from the table itself. Word counts take what is delimited by
 hyphens or stands in paths, and whole labels that several hosts use; other
 labels are what Viterbi has to split. Urls with a word of ``SEEDS`` are the
 first block examples, all others the allow examples; naive Bayes learns from
-both which other words go with them. Vocabularies hold the ``VOCABULARY`` most
-frequent words, a documented bound of the models; counts are over all rows.
+both which other words go with them. All words and tokens count. Memory holds
+only the ``VOCABULARY`` most frequent ones; the others stay DataFrames and are
+joined, rare words to the names that hold them and rare tokens to the urls that
+have them. So results do not depend on that number.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 fits no rule, and is allowed (no tokens, nothing speaks against it); repeated
@@ -23,15 +25,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Fixed words that mark a url as a first example for blocking.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "casino", "gambling", "loan", "loans", "malware", "pill", "pills", "porn", "poker", "sex", "spam", "tracker", "viagra", "warez", "xxx")
+#: Words, and tokens, that are held in memory; the others are joined.
 VOCABULARY = 50_000
+#: Rows of one host are dealt to so many places when names with rare words are joined.
+SALTS = 32
 #: Longest word of the unigram model.
 LONGEST = 24
 
@@ -56,8 +64,9 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 class Words:
     """Unigram Viterbi segmentation of names."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], rest: int = 0) -> None:
+        """``rest`` is the count of all words that ``counts`` leaves out."""
+        self.total = sum(counts.values()) + rest + 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
         self.known: dict[str, list[str]] = {}
 
@@ -66,89 +75,158 @@ class Words:
         return math.log(self.total) - math.log(10) + n * math.log(10)
 
     def split(self, name: str) -> list[str]:
-        if name in self.known:
-            return self.known[name]
+        if name not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[name] = self.best(name, {})
+        return self.known[name]
+
+    def best(self, name: str, rare: dict[str, int]) -> list[str]:
+        """The likeliest words of a name, with the counts of words of it that are not held in memory."""
+        cost = ChainMap({w: -math.log(n / self.total) for w, n in rare.items()}, self.cost) if rare else self.cost
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
             for start in range(max(0, end - LONGEST), end):
-                cost = best[start] + self.cost.get(name[start:end], self._unknown(end - start))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
+                total = best[start] + cost.get(name[start:end], self._unknown(end - start))
+                if total < best[end]:
+                    best[end], back[end] = total, start
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
             end = back[end]
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[name] = out[::-1]
-        return self.known[name]
+        return out[::-1]
+
+    @staticmethod
+    def runs(host: str) -> list[str]:
+        """Names and numbers of a host."""
+        return [run for label in host.split(":")[0].split(".") for run in re.findall(r"[^\W\d_]+|\d+", label)]
 
-    def tokens(self, host: str, path: str) -> list[str]:
+    def tokens(self, host: str, path: str, rare: dict[str, list[str]] | None = None) -> list[str]:
+        """``rare`` has the words of names that rare words split otherwise."""
         out = []
-        for label in host.split(":")[0].split("."):
-            for run in re.findall(r"[^\W\d_]+|\d+", label):
-                out += ["<digits>"] if run[0].isdigit() else self.split(run)
+        for run in self.runs(host):
+            out += ["<digits>"] if run[0].isdigit() else (rare or {}).get(run) or self.split(run)
         for run in re.findall(r"[^\W\d_]+|\d+", path.lower()):
             out.append("/<digits>" if run[0].isdigit() else f"/{run}")
         return out
 
 
-def learn_words(urls: DataFrame, vocabulary: int = VOCABULARY) -> Words:
-    """Word counts of (host, path) rows, over all rows."""
+def learn_words(urls: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Words, DataFrame | None]:
+    """The most frequent words of (host, path) rows, and (word, n) of all others, if there are any."""
     labels = urls.select("host", F.explode(F.split(F.regexp_replace("host", ":.*", ""), r"\.")).alias("label"))
     split = labels.where(F.col("label").contains("-")).select(F.explode(F.split("label", "[^\\p{L}]+")).alias("word"))
     paths = urls.select(F.explode(F.split(F.lower("path"), "[^\\p{L}]+")).alias("word"))
     seen = split.unionByName(paths).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # A whole label counts where several hosts use it.
     shared = labels.where(~F.col("label").contains("-")).groupBy("label", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")).where("hosts >= 3").select(F.col("label").alias("word"), "n")
-    counts = seen.unionByName(shared).where((F.col("word") != "") & (F.length("word") <= LONGEST)).groupBy("word").agg(F.sum("n").alias("n"))
-    top = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
-    least = max(1, sum(top.values()) // 10_000)
-    return Words(top | {w: max(top.get(w, 0), least) for w in SEEDS})
+    counts = checkpoint(seen.unionByName(shared).where((F.col("word") != "") & (F.length("word") <= LONGEST)).groupBy("word").agg(F.sum("n").alias("n")))
+    kinds, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    seeds = {r["word"]: r["n"] for r in counts.where(F.col("word").isin(*SEEDS)).collect()}
+    top = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()} | seeds
+    rest = total - sum(top.values())
+    least = max(1, total // 10_000)
+    words = Words(top | {w: max(top.get(w, 0), least) for w in SEEDS}, rest)
+    if kinds == len(top):
+        return words, None
+    held = counts.sparkSession.createDataFrame([(w,) for w in top], "word string")
+    return words, counts.join(held, "word", "left_anti")
+
+
+def rare_names(urls: DataFrame, words: Words, rare: DataFrame) -> DataFrame:
+    """(host, names): names of hosts that are split otherwise with the rare words, as {name: words}."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(h, run) for h in b.column("host").to_pylist() for run in dict.fromkeys(words.runs(h)) if not run[0].isdigit()]
+            yield pa.record_batch([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["host", "name"])
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                found = {name[i:k] for i in range(len(name)) for k in range(i + 1, min(len(name), i + LONGEST) + 1)}
+                found = sorted(w for w in found if w not in words.cost)
+                yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], names=["name", "word"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [(name, words.best(name, {x["word"]: x["n"] for x in found})) for name, found in zip(b.column("name").to_pylist(), b.column("found").to_pylist(), strict=True)]
+            split = [(name, pieces) for name, pieces in split if pieces != words.split(name)]
+            yield pa.record_batch([pa.array([x[0] for x in split], pa.string()), pa.array([x[1] for x in split], pa.list_(pa.string()))], names=["name", "pieces"])
+
+    named = urls.select("host").distinct().mapInArrow(names, "host string, name string")
+    within = named.select("name").distinct().mapInArrow(inner, "name string, word string")
+    found = within.join(rare, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    split = checkpoint(found.mapInArrow(again, "name string, pieces array<string>"))
+    # A name that many hosts have is dealt with the hosts' hashes.
+    salted = split.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = named.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")).join(salted, ["name", "salt"])
+    return met.groupBy("host").agg(F.collect_list(F.struct("name", "pieces")).alias("names"))
 
 
-def tokenized(urls: DataFrame, words: Words) -> DataFrame:
+def tokenized(urls: DataFrame, words: Words, rare: DataFrame | None = None) -> DataFrame:
     """Add ``tokens`` to (page_id, host, path)."""
     kind = urls.schema["page_id"].dataType.simpleString()
+    rows = urls.select("page_id", "host", "path")
+    if rare is not None:
+        named = rare_names(urls, words, rare).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("salt", salt).join(named, ["host", "salt"], "left").select("page_id", "host", "path", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = [words.tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            names = b.column("names").to_pylist() if "names" in b.schema.names else [None] * b.num_rows
+            tokens = [words.tokens(h, p, {x["name"]: x["pieces"] for x in n or []}) for h, p, n in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), names, strict=True)]
             yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), pa.array(tokens, pa.list_(pa.string()))], names=["page_id", "host", "path", "tokens"])
 
-    return urls.select("page_id", "host", "path").mapInArrow(run, f"page_id {kind}, host string, path string, tokens array<string>")
+    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, tokens array<string>")
 
 
-def learn_bayes(tokens: DataFrame, vocabulary: int = VOCABULARY) -> tuple[float, dict[str, float], float]:
-    """(prior log odds for blocking, log odds per token, log odds of a token never seen)."""
+def learn_bayes(tokens: DataFrame, vocabulary: int = VOCABULARY) -> tuple[float, dict[str, float], DataFrame | None]:
+    """(prior log odds for blocking, log odds of the most frequent tokens, (token, odds) of all others, if there are any)."""
     seeded = tokens.select(F.arrays_overlap("tokens", F.array(*map(F.lit, SEEDS))).alias("block"), "tokens")
     urls = seeded.agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")).first()
-    each = seeded.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow"))
+    each = checkpoint(seeded.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")))
     totals = each.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
     kinds = (totals["kinds"] or 0) + 1
     block, allow = (totals["block"] or 0) + kinds, (totals["allow"] or 0) + kinds
     top = each.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(vocabulary).collect()
     odds = {r["token"]: math.log((r["block"] + 1) / block) - math.log((r["allow"] + 1) / allow) for r in top}
-    return math.log((urls["block"] + 1) / (urls["allow"] + 1)), odds, math.log(allow / block)
+    prior = math.log((urls["block"] + 1) / (urls["allow"] + 1))
+    if len(odds) + 1 == kinds:
+        return prior, odds, None
+    held = each.sparkSession.createDataFrame([(t,) for t in odds], "token string")
+    rest = each.join(held, "token", "left_anti")
+    return prior, odds, rest.select("token", (F.log((F.col("block") + 1) / block) - F.log((F.col("allow") + 1) / allow)).alias("odds"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, log_odds) of every row."""
-    host, path = parts(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    words = learn_words(urls)
-    tokens = tokenized(urls, words)
-    prior, odds, unseen = learn_bayes(tokens)
-    kind = urls.schema["page_id"].dataType.simpleString()
+def scored(tokens: DataFrame, prior: float, odds: dict[str, float], rare: DataFrame | None) -> DataFrame:
+    """(page_id, host, path, log_odds) of every row of ``tokens``."""
+    kind = tokens.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = []
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                found = words.tokens(h, p)
-                scores.append(prior + sum(odds.get(t, unseen) for t in found))
-            yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "log_odds"])
-
-    scored = urls.mapInArrow(run, f"page_id {kind}, host string, path string, log_odds double")
-    ruled = scored.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+            found = b.column("tokens").to_pylist()
+            scores = pa.array([prior + sum(odds.get(t, 0.0) for t in each) for each in found], pa.float64())
+            rest = pa.array([[t for t in each if t not in odds] for each in found], pa.list_(pa.string()))
+            yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), scores, rest], names=["page_id", "host", "path", "log_odds", "rest"])
+
+    rows = tokens.mapInArrow(run, f"page_id {kind}, host string, path string, log_odds double, rest array<string>")
+    if rare is None:
+        return rows.drop("rest")
+    # A rare token makes its urls rare, so no join here has a common key.
+    has = F.size("rest") > 0
+    sums = rows.where(has).select("host", "path", "rest").dropDuplicates(["host", "path"]).select("host", "path", F.explode("rest").alias("token")).join(rare, "token")
+    # Added in order, so that a sum is the same each time.
+    sums = sums.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda a, x: a + x).alias("more"))
+    summed = rows.where(has).join(sums, ["host", "path"]).select("page_id", "host", "path", (F.col("log_odds") + F.col("more")).alias("log_odds"))
+    return rows.where(~has).drop("rest").unionByName(summed)
+
+
+def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", vocabulary: int = VOCABULARY) -> DataFrame:
+    """(page_id, host, path, rule, verdict, log_odds) of every row."""
+    host, path = parts(F.col(url_col))
+    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    words, rare = learn_words(urls, vocabulary)
+    tokens = checkpoint(tokenized(urls, words, rare))
+    ruled = scored(tokens, *learn_bayes(tokens, vocabulary)).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")

@@ -193,6 +193,33 @@ def test_url_filter(spark):
     assert url_filter.judge(rows.limit(0), rules).collect() == []
 
 
+def test_url_filter_counts_words_beyond_the_vocabulary(spark):
+    word = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    n = 7_500
+    urls = ["http://example.com/" + "/".join(word(8 * i + k) for k in range(8)) for i in range(n)] * 8 + [f"http://casino{i}.example.com/win" for i in range(2400)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), {"x.org/": "block"})
+    assert 8 * n > url_filter.VOCABULARY
+    counts = got.groupBy("verdict", F.expr("path = '/win'").alias("win")).count().collect()
+    assert {(r["verdict"], r["win"]): r["count"] for r in counts} == {("allow", False): 8 * n, ("block", True): 2400}
+
+
+def test_url_filter_is_the_same_with_few_words_in_memory(spark):
+    rng = random.Random(4)
+    stock = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    urls = [None, "", "mailto:x", "http://casino.example.com/win"] * 3
+    for i in range(600):
+        path = "/".join(rng.choices(stock, k=rng.randrange(4)) + ["pills"] * (i % 9 == 0))
+        urls.append(f"http://{rng.choice(stock)}{rng.choice(stock)}.{'ads' if i % 10 == 0 else rng.choice(stock)}-{rng.choice(stock)}.example.com/{path}")
+    rows = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls + urls[:50])], "page_id long, url string")
+    one, few = (sorted(map(tuple, url_filter.judge(rows, {"x.com/": "block"}, **more).collect()), key=str) for more in ({}, {"vocabulary": 5}))
+    key = lambda r: str(r[:3])
+    assert len(one) == len(few) == len(urls) + 50 and len({r[4] for r in one}) == 2
+    for a, b in zip(sorted(one, key=key), sorted(few, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
+    words, rare = url_filter.learn_words(rows.select(*[c.alias(k) for k, c in zip(("host", "path"), url_filter.parts(F.col("url")), strict=True)]), 5)
+    assert rare.count() > 20 and url_filter.rare_names(rows.select(url_filter.parts(F.col("url"))[0].alias("host")), words, rare).count() > 100
+
+
 def test_segmentation():
     assert url_filter.Words({"cheap": 5, "pills": 5, "the": 50}).split("cheappills") == ["cheap", "pills"]
 
