@@ -8,8 +8,11 @@ implicit grouping, ORDER BY (nulls last ascending, first descending), SKIP and
 LIMIT. Parameters are typed values, never text. A node variable binds its id;
 of its properties only those that the query names are read.
 
-Within one MATCH no edge is bound twice. Edges are told apart by source, type
-and destination; pattern predicates must be conjuncts of WHERE.
+Within one MATCH no edge is bound twice; parallel edges are different ones. A
+path of several hops binds the pairs of its ends, each once, and is searched
+from what is bound at its start. Pattern predicates must be conjuncts of WHERE.
+Statements that write are not part of it: ``operators.mutate`` has them as
+functions over frames.
 """
 
 from __future__ import annotations
@@ -69,6 +72,8 @@ class Query:
         for a, dot, b in zip(self.toks, self.toks[1:], self.toks[2:], strict=False):
             if dot == "." and re.match(r"[A-Za-z_`]", a):
                 self.used.setdefault(a, set()).add(b)
+            if a.lower() == "properties" and dot == "(":
+                self.used.setdefault(b, set()).add("*")
         self.fresh, self.rows, self.kinds = 0, None, {}
 
     # --- tokens
@@ -164,39 +169,46 @@ class Query:
     def scan(self, n: Node, props: list[str]) -> DataFrame:
         frame = self.graph.nodes(*n.labels) if n.labels else self.graph.nodes()
         get = lambda p: F.col(p) if p in frame.columns else F.lit(None)
+        if "*" in props:
+            props = sorted({*props, *frame.columns} - {"*", "node_id"})
         for p, value in n.props:
             frame = frame.where(get(p) == value)
         return frame.select(F.col("node_id").alias(n.name), F.col("labels").alias(f"{n.name}__labels"), *[get(p).alias(f"{n.name}__{p}") for p in props if p != "labels"])
 
-    def pairs(self, e: Edge) -> DataFrame:
-        edges = self.graph.edges(*e.types)
-        if e.hops:
-            one = edges.select("src", "dst").distinct()
-            step, found = one, [one] if e.hops[0] <= 1 else []
-            for d in range(2, e.hops[1] + 1):
-                step = step.join(one.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst").select("src", F.col("_next").alias("dst")).distinct()
-                if d >= e.hops[0]:
-                    found.append(step)
-            edges = reduce(DataFrame.unionByName, found).distinct().withColumn("type", F.lit(None).cast("string"))
-        edges = edges.withColumns({"from": F.col("src"), "to": F.col("dst")})
-        if e.direction == "in":
-            return edges.withColumns({"from": F.col("dst"), "to": F.col("src")})
-        if e.direction == "any":
-            return edges.unionByName(edges.where("src <> dst").withColumns({"from": F.col("dst"), "to": F.col("src")}))
-        return edges
+    def pairs(self, e: Edge, starts: DataFrame, apart: bool) -> DataFrame:
+        """(from, to, edge, type) of one step; ``starts`` (from) bounds a path of several hops."""
+        edges = self.graph.told_apart(*e.types) if apart else self.graph.edges(*e.types)
+        named = edges.select("src", "dst", "type", F.struct(*edges.columns).alias("edge"))  # the same from both ends
+        one = {"out": named, "in": P.turned(named), "any": P.both_ways(named)}[e.direction].select(F.col("src").alias("from"), F.col("dst").alias("to"), "edge", "type")
+        if not e.hops:
+            return one
+        one = one.select("from", "to").distinct()
+        step = starts.select("from", F.col("from").alias("to")).distinct()
+        found = [step] if e.hops[0] == 0 else []
+        for d in range(1, e.hops[1] + 1):
+            step = step.select("from", F.col("to").alias("_at")).join(one.select(F.col("from").alias("_at"), "to"), "_at").select("from", "to").distinct()
+            if d >= e.hops[0]:
+                found.append(step)
+        return reduce(DataFrame.unionByName, found).distinct().select("*", F.lit(None).cast("string").alias("edge"), F.lit(None).cast("string").alias("type"))
 
     def match(self, rows: DataFrame | None, paths: list[list], bound: set[str]) -> DataFrame:
         seen: list[tuple[str, Edge]] = []
+        single = [e for parts in paths for e in parts[1::2] if not e.hops]
+        alike = lambda e, o: not e.types or not o.types or set(e.types) & set(o.types)
+        apart_of = {id(e): any(o is not e and alike(e, o) for o in single) for e in single}
         for parts in paths:
             # Start from a node that is bound already, if there is one.
             if parts[0].name not in bound and parts[-1].name in bound:
                 flip = {"out": "in", "in": "out", "any": "any"}
-                parts = [Edge(x.name, x.types, flip[x.direction], x.hops) if isinstance(x, Edge) else x for x in reversed(parts)]
+                for x in parts[1::2]:
+                    x.direction = flip[x.direction]
+                parts = parts[::-1]
             rows = self.bind_node(rows, parts[0], bound)
             here = parts[0].name
             for e, n in zip(parts[1::2], parts[2::2], strict=True):
                 r = e.name or self.new()
-                p = self.pairs(e).select(F.col("from").alias(here), F.col("to").alias("_to"), F.struct("src", "type", "dst").alias(f"{r}__edge"), F.col("type").alias(f"{r}__type"))
+                p = self.pairs(e, rows.select(F.col(here).alias("from")), apart_of.get(id(e), False))
+                p = p.select(F.col("from").alias(here), F.col("to").alias("_to"), F.col("edge").alias(f"{r}__edge"), F.col("type").alias(f"{r}__type"))
                 self.kinds[r] = "edge"
                 rows = rows.join(p, here)
                 if n.name in bound:
@@ -205,7 +217,7 @@ class Query:
                 else:
                     rows = self.bind_node(rows.withColumnRenamed("_to", n.name), n, bound)
                 for other, o in seen:
-                    if not (e.hops or o.hops) and (not e.types or not o.types or set(e.types) & set(o.types)):
+                    if not (e.hops or o.hops) and alike(e, o):
                         rows = rows.where(F.col(f"{r}__edge") != F.col(f"{other}__edge"))
                 seen.append((r, e))
                 here = n.name
@@ -296,6 +308,8 @@ class Query:
             self.at += 1
             return F.lit({"TRUE": True, "FALSE": False, "NULL": None}[t.upper()])
         name = self.word()
+        if name.lower() == "count" and self.peek("{"):
+            raise CypherError("count{} is not part of the subset: use OPTIONAL MATCH and count(), or pattern.counted")
         if self.take("("):
             return self.call(name.lower())
         if self.take("."):

@@ -3,7 +3,8 @@
 A node belongs to one primary label and may carry more (``labels``); edges are
 a bag. Nodes and edges are kept per label and per type, so a pattern reads only
 what it names. Columns of every node frame: ``node_id``, ``labels`` and any
-properties; of every edge frame: ``src`` and ``dst``.
+properties; of every edge frame: ``src`` and ``dst``, and ``edge_id`` where
+parallel edges have names of their own.
 """
 
 from __future__ import annotations
@@ -11,13 +12,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Properties that the uniform node view shows.
-SHOWN = ("qualified_name", "name", "path", "kind")
-
-
 @dataclass
 class Graph:
     """Node frames by primary label and edge frames by type."""
@@ -26,24 +23,44 @@ class Graph:
     edge_frames: dict[str, DataFrame] = field(default_factory=dict)
 
     def nodes(self, label: str | None = None, *more: str) -> DataFrame:
-        """Nodes with all given labels; a uniform view of all nodes without any."""
+        """Nodes with all given labels, or all nodes; properties that a node lacks are null.
+
+        Only frames of a primary label are read alone. Elsewhere all frames are
+        put together with all their properties, of which a plan reads those it
+        names; a property that has several types is shown as text.
+        """
         if label in self.node_frames:
             frame = self.node_frames[label]
         else:
-            parts = [self._uniform(f) for f in self.node_frames.values()]
-            frame = reduce(DataFrame.unionByName, parts)
+            frame = self._together()
             if label:
                 frame = frame.where(F.array_contains("labels", label))
         for x in more:
             frame = frame.where(F.array_contains("labels", x))
         return frame
 
-    @staticmethod
-    def _uniform(frame: DataFrame) -> DataFrame:
-        have = set(frame.columns)
-        return frame.select("node_id", "labels", *[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in SHOWN])
+    def _together(self) -> DataFrame:
+        kinds: dict[str, set[str]] = {}
+        for f in self.node_frames.values():
+            for name, kind in f.dtypes:
+                kinds.setdefault(name, set()).add(kind)
+        shown = lambda f: f.select(*[F.col(c).cast("string").alias(c) if len(kinds[c]) > 1 else c for c in f.columns])
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(shown, self.node_frames.values()))
 
     def edges(self, *types: str) -> DataFrame:
         """(src, dst, type) of the given types, or of all."""
         chosen = types or tuple(self.edge_frames)
         return reduce(DataFrame.unionByName, [self.edge_frames[t].select("src", "dst", F.lit(t).alias("type")) for t in chosen])
+
+    def told_apart(self, *types: str) -> DataFrame:
+        """(src, dst, type, nth): edges with what tells parallel ones apart.
+
+        That is their ``edge_id``, else their number among edges that are alike
+        in all else: which of these gets which number makes no difference.
+        """
+        parts, among = [], Window.partitionBy("src", "dst").orderBy("src")
+        for t in types or tuple(self.edge_frames):
+            frame = self.edge_frames[t]
+            nth = F.col("edge_id").cast("string") if "edge_id" in frame.columns else F.row_number().over(among).cast("string")
+            parts.append(frame.select("src", "dst", F.lit(t).alias("type"), nth.alias("nth")))
+        return reduce(DataFrame.unionByName, parts)
