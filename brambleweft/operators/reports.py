@@ -33,32 +33,47 @@ def degrees(g: Graph, *types: str) -> DataFrame:
     return P.both_ways(g.edges(*types)).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
+#: Seeds that are named in a filter; more of them are joined.
+FEW = 1000
+
+
+def edges_into(g: Graph, seeds: DataFrame, kind: str) -> DataFrame:
+    """Edges of a type that end at ``seeds`` (node_id).
+
+    The ids of few seeds become a filter that reaches what the edges are made from.
+    """
+    ids = [r["node_id"] for r in seeds.select("node_id").distinct().limit(FEW + 1).collect()]
+    if len(ids) <= FEW:
+        return g.edges(kind).where(F.col("dst").isin(ids))
+    return P.where_exists(g.edges(kind), "dst", seeds, "node_id")
+
+
 def impact(g: Graph, seeds: DataFrame, depth: int = 3, types: tuple[str, ...] = ("CALLS",), label: str = "Function") -> DataFrame:
     """(direction, node_id, depth): transitive callees (out) and callers (in) of the same label."""
-    depth = clamp(depth, 1, 6)
-    keep = g.nodes(label).select("node_id")
-    edges, seeds = checkpoint(g.edges(*types)), checkpoint(seeds)
-    found = [P.reach(seeds, edges, depth, d, keep).select(F.lit(d).alias("direction"), "node_id", "depth") for d in ("out", "in")]
-    return found[0].unionByName(found[1])
+    return P.reach_ways(checkpoint(seeds), g.edges(*types), clamp(depth, 1, 6), ("out", "in"), g.nodes(label))
 
 
 def impact_summary(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Blast radius: sizes of callees, callers, mentions and test edges, and their sum."""
+    seeds = checkpoint(seeds)
     near = impact(g, seeds, depth).groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
-    seed = seeds.select(F.col("node_id").alias("dst"))
-    into = lambda kind: g.edges(kind).join(seed, "dst", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind.lower()).alias("direction"), "n")
+    into = lambda kind: edges_into(g, seeds, kind).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind.lower()).alias("direction"), "n")
     parts = near.unionByName(into("MENTIONS")).unionByName(into("TESTS"))
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("direction") == k, F.col("n"))), F.lit(0)).cast("long")
     return parts.agg(pick("out").alias("callees"), pick("in").alias("callers"), pick("mentions").alias("mentions"), pick("tests").alias("tests")).withColumn("radius", F.expr("callees + callers + mentions + tests"))
 
 
 def node_dossier(g: Graph, seeds: DataFrame, limit: int = 25) -> DataFrame:
-    """Neighbours per direction and type, by total degree then id, cut to ``limit`` a group."""
+    """Neighbours per direction and type, by total degree then id, cut to ``limit`` a group.
+
+    Edges are written once; only those of the neighbours are counted.
+    """
     limit = clamp(limit, 1)
-    edges = g.edges()
-    rows = [P.expand(seeds.select(F.col("node_id").alias("seed")), "seed", edges, "node_id", d).withColumn("direction", F.lit(d)) for d in ("out", "in")]
-    near = rows[0].unionByName(rows[1]).select("direction", "type", "node_id").distinct()
-    ranked = near.join(degrees(g), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    edges, seeds = checkpoint(g.edges()), checkpoint(seeds)
+    step = lambda d, a, b: edges.select(F.lit(d).alias("direction"), "type", F.col(a).alias("seed"), F.col(b).alias("node_id"))
+    near = checkpoint(P.where_exists(step("out", "src", "dst").unionByName(step("in", "dst", "src")), "seed", seeds, "node_id").select("direction", "type", "node_id").distinct())
+    incident = P.where_exists(P.both_ways(edges), "src", near, "node_id")
+    ranked = P.counted(near, "node_id", incident, "src", "degree")
     group = Window.partitionBy("direction", "type")
     return ranked.select("*", F.row_number().over(group.orderBy(F.desc("degree"), "node_id")).alias("rank"), F.count(F.lit(1)).over(group).alias("total")).where(F.col("rank") <= limit)
 
@@ -73,7 +88,12 @@ def explore(g: Graph, seeds: DataFrame, types: tuple[str, ...], depth: int = 2)
     edges = checkpoint(g.edges(*types))
     found = P.reach(checkpoint(seeds), edges, depth, "any", named)
     scored = P.counted(found, "node_id", P.both_ways(edges), "src", "degree")
-    flag = lambda rows, kind: rows.join(g.edges(kind).select(F.col("dst").alias("node_id"), F.lit(1).alias(kind)).distinct(), "node_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
+
+    def flag(rows: DataFrame, kind: str) -> DataFrame:
+        into = edges.where(F.col("type") == kind) if kind in types else g.edges(kind)
+        into = into.select(F.col("dst").alias("node_id"), F.lit(1).alias(kind)).distinct()
+        return rows.join(into, "node_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
+
     scored = flag(flag(scored, "NOTES"), "MENTIONS")
     return scored.select("node_id", "depth", "degree", F.col("NOTES").alias("has_notes"), F.col("MENTIONS").alias("has_mentions"), F.expr("degree + 4 * NOTES + 2 * MENTIONS - 5 * depth").alias("score"))
 
@@ -81,10 +101,11 @@ def explore(g: Graph, seeds: DataFrame, types: tuple[str, ...], depth: int = 2)
 def budget_fill(rows: DataFrame, line: Column, order: list[Column], budget: int = 8000, header: int = 0, reserve: int = 160) -> DataFrame:
     """The longest prefix in ``order`` whose lines stay within a byte budget.
 
-    The running length only grows, so the filter stops where a loop would.
-    Ranking and dossiers come first: the rows are those of one seed.
+    The running length only grows, so the filter stops where a loop would. Every
+    line takes a byte at least, so no more rows than the budget has bytes are
+    sorted and summed up in one task, however many there are.
     """
-    sized = rows.withColumn("bytes", F.octet_length(line).cast("long"))
+    sized = rows.orderBy(*order).limit(max(budget, 500)).withColumn("bytes", F.octet_length(line).cast("long"))
     before = F.coalesce(F.sum(F.col("bytes") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return sized.withColumn("before", before).where(F.lit(header) + F.col("before") + F.col("bytes") + reserve < max(budget, 500)).drop("before")
 
@@ -154,7 +175,8 @@ def diff_since(g: Graph, base: str, head: str, mode: str = "timestamp") -> DataF
     commits = g.nodes("GitCommit").select("node_id", "hash", "timestamp")
     start, end = commits.where(F.col("hash") == base), commits.where(F.col("hash") == head)
     if mode == "timestamp":
-        ends = start.select(F.col("timestamp").alias("t0")).crossJoin(end.select(F.col("timestamp").alias("t1")))  # one row
+        # Aggregates without a key: one row, whatever the table holds.
+        ends = start.agg(F.min("timestamp").alias("t0")).crossJoin(end.agg(F.max("timestamp").alias("t1")))
         return commits.join(F.broadcast(ends), (F.col("timestamp") > F.col("t0")) & (F.col("timestamp") <= F.col("t1"))).select("hash", "timestamp")
     if mode != "dag":
         raise ValueError(f"unknown mode {mode}")

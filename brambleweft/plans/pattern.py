@@ -53,21 +53,30 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out"
     """(node_id, depth) of the nodes found from ``seeds`` (node_id) within ``depth`` hops.
 
     The depth is that of the first discovery; cycles are cut and the seeds are
-    not reported. ``keep`` (node_id) restricts which nodes may be found. The
-    distinct pairs are written once to the shared folder, as every hop reads
+    not reported. ``keep`` (node_id) restricts which nodes may be found.
+    """
+    return reach_ways(seeds, edges, depth, (direction,), keep).select("node_id", "depth")
+
+
+def reach_ways(seeds: DataFrame, edges: DataFrame, depth: int, directions: tuple[str, ...], keep: DataFrame | None = None) -> DataFrame:
+    """(direction, node_id, depth): ``reach`` in several directions, all in one search.
+
+    The distinct steps are written once to the shared folder, as every hop reads
     them, and so is each hop's frontier, so that the plan does not grow.
     """
-    pairs = {"out": edges, "in": turned(edges), "any": both_ways(edges)}[direction].select("src", "dst").distinct()
+    step = lambda d, a, b: F.struct(F.lit(d).alias("direction"), F.col(a).alias("at"), F.col(b).alias("node_id"))
+    kinds = {"out": [step("out", "src", "dst")], "in": [step("in", "dst", "src")], "any": [step("any", "src", "dst"), step("any", "dst", "src")]}
+    steps = edges.select(F.explode(F.array(*[x for d in directions for x in kinds[d]])).alias("x")).select("x.*").distinct()
     if keep is not None:
-        pairs = pairs.join(keep.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+        steps = steps.join(keep.select("node_id"), "node_id", "left_semi")
     if depth > 1:
-        pairs = checkpoint(pairs)
-    found = seeds.select("node_id", F.lit(0).alias("depth")).distinct()
+        steps = checkpoint(steps)
+    found = seeds.select("node_id").distinct().select(F.explode(F.array(*map(F.lit, directions))).alias("direction"), "node_id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        frontier = found.where(F.col("depth") == d - 1).select(F.col("node_id").alias("src"))
-        new = frontier.join(pairs, "src").select(F.col("dst").alias("node_id")).distinct().join(found, "node_id", "left_anti")
+        frontier = found.where(F.col("depth") == d - 1).select("direction", F.col("node_id").alias("at"))
+        new = frontier.join(steps, ["direction", "at"]).select("direction", "node_id").distinct().join(found, ["direction", "node_id"], "left_anti")
         new = checkpoint(new.withColumn("depth", F.lit(d)))
-        if new.isEmpty():
+        if d < depth and new.isEmpty():
             break
         found = found.unionByName(new)
     return found.where("depth > 0")
