@@ -287,8 +287,8 @@ def diff_commits(spark, d):
     return reports.diff_since(project(spark, d), "10", "20")
 
 
-@query("diff_dag", """+ a(id, d) AS (SELECT 'commit::10', 0 UNION SELECT dst, d + 1 FROM a JOIN parent_of ON src = id WHERE d < 64),
-head AS (SELECT arg_max(id, d) AS id FROM a) SELECT o_orderkey::VARCHAR AS hash, o_orderdate AS timestamp FROM orders WHERE 'commit::' || o_orderkey IN (SELECT id FROM a WHERE d > 0)""")
+@query("diff_dag", """+ a(id) AS (SELECT 'commit::10' UNION SELECT dst FROM a JOIN parent_of ON src = id)
+SELECT o_orderkey::VARCHAR AS hash, o_orderdate AS timestamp FROM orders WHERE 'commit::' || o_orderkey IN (SELECT id FROM a WHERE id <> 'commit::10')""")
 def diff_dag(spark, d):
     g = project(spark, d)
     # The head is the last commit of the author's chain.
@@ -393,11 +393,9 @@ def regex_first_match(spark, d):
     return linkers.first_regex_match(steps, patterns)
 
 
-@query("mention_resolution", "+ short AS (SELECT name, min(id) AS id FROM fn GROUP BY name), tok AS (SELECT 'part::' || l_partkey AS token, l_orderkey AS k FROM lineitem WHERE l_orderkey < 50 UNION ALL SELECT p_name, p_partkey FROM part WHERE p_partkey < 50) SELECT token, k, coalesce(f.id, s.id) AS target FROM tok LEFT JOIN fn f ON f.id = token LEFT JOIN short s ON s.name = token WHERE coalesce(f.id, s.id) IS NOT NULL")
+@query("mention_resolution", "+ short AS (SELECT name, min(id) AS id FROM fn GROUP BY name), tok AS (SELECT 'part::' || l_partkey AS token, l_orderkey AS k FROM lineitem UNION ALL SELECT p_name, p_partkey FROM part) SELECT token, k, coalesce(f.id, s.id) AS target FROM tok LEFT JOIN fn f ON f.id = token LEFT JOIN short s ON s.name = token WHERE coalesce(f.id, s.id) IS NOT NULL")
 def mention_resolution(spark, d):
-    tokens = read(spark, d, "lineitem").where("l_orderkey < 50").select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("token"), F.col("l_orderkey").alias("k"))
-    tokens = tokens.unionByName(read(spark, d, "part").where("p_partkey < 50").select(F.col("p_name").alias("token"), F.col("p_partkey").alias("k")))
-    return linkers.resolve_mentions(tokens, project(spark, d).nodes("Function"))
+    return mention_resolution_all(spark, d)
 
 
 @query("mention_resolution_all", "+ short AS (SELECT name, min(id) AS id FROM fn GROUP BY name), tok AS (SELECT 'part::' || l_partkey AS token, l_orderkey AS k FROM lineitem UNION ALL SELECT p_name, p_partkey FROM part) SELECT token, k, coalesce(f.id, s.id) AS target FROM tok LEFT JOIN fn f ON f.id = token LEFT JOIN short s ON s.name = token WHERE coalesce(f.id, s.id) IS NOT NULL")
