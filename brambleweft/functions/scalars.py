@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,17 +16,22 @@ FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 @F.pandas_udf(LongType())
 def fnv1a_64(data: pd.Series) -> pd.Series:
-    """64-bit FNV-1a of a string's UTF-8 bytes, as a signed number."""
-
-    def one(x) -> int | None:
-        if x is None:
-            return None
-        h = FNV_BASIS
-        for b in x.encode() if isinstance(x, str) else bytes(x):
-            h = (h ^ b) * FNV_PRIME & (1 << 64) - 1
-        return h - (1 << 64) if h >> 63 else h
-
-    return data.map(one)
+    """64-bit FNV-1a of a string's UTF-8 bytes, as a signed number.
+
+    All texts of a batch are hashed together, one byte of each at a time. Where
+    this very hash is not asked for, ``xxhash64`` needs no Python.
+    """
+    raw = [None if x is None else x.encode() if isinstance(x, str) else bytes(x) for x in data]
+    there = sorted((i for i, x in enumerate(raw) if x is not None), key=lambda i: -len(raw[i]))
+    sizes = np.array([len(raw[i]) for i in there], np.int64)
+    flat = np.frombuffer(b"".join(raw[i] for i in there), np.uint8).astype(np.uint64)
+    starts, h = np.cumsum(sizes) - sizes, np.full(len(there), FNV_BASIS, np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        n = np.searchsorted(-sizes, -k, side="left")  # texts of more than k bytes stand first
+        h[:n] = (h[:n] ^ flat[starts[:n] + k]) * np.uint64(FNV_PRIME)
+    out = pd.Series([None] * len(raw), dtype="Int64")
+    out.iloc[there] = h.view(np.int64)
+    return out
 
 
 def slug(heading: Column) -> Column:
@@ -87,3 +93,30 @@ def format_bytes(n: int) -> str:
     while value >= 1024 and len(units) > 1:
         value, units = value / 1024, units[1:]
     return f"{n} B" if units[0] == "B" else f"{value:.1f} {units[0]}"
+
+
+def escaped(value: Column) -> Column:
+    """A text between single quotes, as query languages read it: quotes, backslashes and control characters escaped."""
+    text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    for plain, letter in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        text = F.replace(text, F.lit(plain), F.lit(f"\\{letter}"))
+    for code in sorted({*range(32)} - {9, 10, 13}):
+        text = F.replace(text, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit("'"), text, F.lit("'"))
+
+
+def rust_functions(text: Column) -> Column:
+    """Names after ``fn``, ``pub fn`` or ``pub(crate) fn`` at the start of a line."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^(?:pub(?:\(crate\))? )?fn ([A-Za-z_][A-Za-z0-9_]*)"), 1)
+
+
+def truncated(value: Column, most: int) -> Column:
+    """At most ``most`` characters, the last of them an ellipsis where some are cut."""
+    return F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most - 1)), F.lit("…"))).otherwise(value)
+
+
+def recovered_json(reply: Column) -> Column:
+    """The JSON in a text: a fenced block, else what is between the first and the last brace, else null."""
+    fenced = F.nullif(F.regexp_extract(reply, r"(?is)```json\s*(.*?)\s*```", 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.trim(F.coalesce(fenced, braces))

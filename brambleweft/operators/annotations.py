@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backtick_tokens, safe_name
@@ -13,7 +13,7 @@ from .mutate import merge_rows, set_where
 _numbers = itertools.count()
 
 
-def write_note(targets: DataFrame, markdown: str, now: str, title: str | None = None, author: str = "claude", tags: str | None = None) -> tuple[DataFrame, DataFrame]:
+def write_note(targets: DataFrame, markdown: str, now: str, title: str | None = None, author: str = "unknown", tags: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(note, NOTES edges) for every target (node_id); no target is an error. Ids never repeat."""
     if targets.isEmpty():
         raise ValueError("the match binds no node")
@@ -54,3 +54,32 @@ def import_comments(comments: DataFrame, functions: DataFrame) -> DataFrame:
     named = comments.select("comment", F.explode(backtick_tokens(F.col("body"))).alias("token")).distinct()
     hits = [named.join(functions.select(F.col(c).alias("token"), "node_id"), "token") for c in ("name", "qualified_name")]
     return hits[0].unionByName(hits[1]).select("comment", "node_id").distinct()
+
+
+def save_view(views: DataFrame, name: str, text: str, now: str, description: str | None = None) -> DataFrame:
+    """Upsert a view (name, text, description, created_at, updated_at, last_run_at) by name; its created_at stays."""
+    if not safe_name(name):
+        raise ValueError(f"bad name {name!r}")
+    row = views.sparkSession.createDataFrame([(name, text, description, now, now, None)], "name string, text string, description string, created_at string, updated_at string, last_run_at string")
+    kept = merge_rows(views, row, ["name"])
+    return set_where(kept, F.col("name") == name, {"text": F.lit(text), "description": F.coalesce(F.lit(description), "description"), "updated_at": F.lit(now)})
+
+
+def list_views(views: DataFrame) -> DataFrame:
+    return views.select("name", "description", "created_at", "last_run_at").orderBy("name")
+
+
+def notes_from_comments(comments: DataFrame, functions: DataFrame, now: str, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(notes, NOTES edges): one note for every comment that names a function.
+
+    Of the functions that one name hits, the first ``most`` by id are noted, as
+    a common name tells little.
+    """
+    named = comments.select("comment", F.explode(backtick_tokens(F.col("body"))).alias("token")).distinct()
+    hits = [named.join(functions.select(F.col(c).alias("token"), "node_id"), "token").withColumn("by", F.lit(c)) for c in ("name", "qualified_name")]
+    met = hits[0].unionByName(hits[1])
+    first = Window.partitionBy("comment", "token", "by").orderBy("node_id")
+    kept = met.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= most).select("comment", "node_id").distinct()
+    key = F.concat(F.lit(f"note-{now}-"), F.col("comment").cast("string"))
+    notes = comments.join(kept.select("comment").distinct(), "comment", "left_semi").select(key.alias("node_id"), F.lit(now).alias("created_at"), F.col("body").alias("markdown"))
+    return notes, kept.select(key.alias("src"), F.col("node_id").alias("dst"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: How a test function is marked in its source.
 TEST_MARKS = ("#[test]", "#[tokio::test]")
+#: Tasks that the steps of one kind are dealt to.
+SALTS = 32
 
 
 def is_test(body: Column) -> Column:
@@ -19,12 +21,27 @@ def tests_from_calls(calls: DataFrame, tests: DataFrame) -> DataFrame:
     return calls.join(named.select(F.col("node_id").alias("src")), "src", "left_semi").join(named.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", "dst").distinct()
 
 
+#: Patterns that are tried in one expression; more of them are joined.
+FEW_PATTERNS = 200
+
+
 def first_regex_match(steps: DataFrame, patterns: DataFrame, kind: str = "kind", text: str = "text") -> DataFrame:
     """Each step with the first pattern (by ``ord``) of its kind that is found in its text.
 
-    Candidates are joined by kind, so steps meet only patterns of their kind.
+    Kinds are few, so a join by kind would send all steps of one to one task.
+    Patterns are what a project defines: up to ``FEW_PATTERNS`` are read and
+    tried in order where the steps are. More are joined by kind and by a part
+    of the step's id, so that no kind is one task's.
     """
-    met = steps.join(patterns.withColumnRenamed(kind, "_kind"), F.col(kind) == F.col("_kind")).where(F.expr(f"{text} rlike pattern"))
+    ahead = patterns.select(F.col(kind).alias("k"), "ord", "pattern", "function").orderBy("ord").limit(FEW_PATTERNS + 1).collect()
+    if len(ahead) <= FEW_PATTERNS:
+        found = F.lit(None).cast("string")
+        for p in reversed(ahead):
+            found = F.when((F.col(kind) == p["k"]) & F.col(text).rlike(p["pattern"]), F.lit(p["function"])).otherwise(found)
+        return steps.select("step_id", found.alias("function")).where("function is not null")
+    salt = F.pmod(F.xxhash64("step_id"), F.lit(SALTS)).cast("int")
+    spread = patterns.withColumnRenamed(kind, "_kind").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = steps.withColumn("_at", salt).join(spread, (F.col(kind) == F.col("_kind")) & (F.col("_at") == F.col("_salt"))).where(F.expr(f"{text} rlike pattern"))
     return met.groupBy("step_id").agg(F.min_by("function", "ord").alias("function"))
 
 

@@ -27,8 +27,21 @@ def remove_label(table: DataFrame, condition: Column, label: str) -> DataFrame:
     return set_where(table, condition, {"labels": F.array_remove("labels", label)})
 
 
+def remove_properties(table: DataFrame, condition: Column, *names: str) -> DataFrame:
+    """Set properties to null; names that the table lacks are left out."""
+    return set_where(table, condition, {c: F.lit(None).cast(table.schema[c].dataType) for c in names if c in table.columns})
+
+
+def create_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add rows without looking for what is there."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
+    """Edges without the ``gone``: told by ``edge_id`` where both have it, else by ends (and type)."""
+    both = [c for c in edges.columns if c in gone.columns]
+    keys = ["edge_id"] if "edge_id" in both else [c for c in ("src", "dst", "type") if c in both]
+    return edges.join(gone.select(*keys), keys, "left_anti")
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,8 +55,9 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
 class Store:
     """Tables as snapshots under a folder that all executors share.
 
-    A commit writes a new folder per changed table and then swaps the pointer
-    file; a failure before the swap leaves the old state. One writer at a time.
+    A commit writes a new folder per changed table and then renames a new pointer
+    file over the old one, in one step where the file system can do that; a
+    failure before leaves the old state. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -96,5 +110,7 @@ class Store:
         out = fs.create(fresh, True)
         out.write(json.dumps(state).encode())
         out.close()
-        fs.delete(where, False)
-        fs.rename(fresh, where)
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+        overwrite[0] = getattr(jvm, "Options$Rename").OVERWRITE
+        jvm.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(where), overwrite)
