@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Directories that hold no sources of their own, and extensions.
-SKIPPED = ("target", "node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", "vendor")
+#: Directories that hold no sources of their own, by their whole name or its end, and extensions.
+SKIPPED = (
+    "node_modules", ".git", "dist", "build", "target", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "egg-info", ".eggs", "vendor",
+)
 EXTENSIONS = ("rs", "py", "ts", "tsx", "js", "go")
 HEADS = {
     "rs": r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+(\w+)",
@@ -24,7 +26,9 @@ SCHEMA = "path string, name string, line_start int, line_end int, body string, c
 
 def source_files(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
-    skipped = F.arrays_overlap(F.expr("slice(split(path, '/'), 1, size(split(path, '/')) - 1)"), F.array(*map(F.lit, SKIPPED)))
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ends = "(" + "|".join(re.escape(x) for x in SKIPPED) + ")$"
+    skipped = F.exists(folders, lambda x: x.rlike(ends))
     return files.where(F.element_at(F.split(F.element_at(parts, -1), r"\."), -1).isin(*EXTENSIONS) & ~skipped)
 
 
@@ -65,13 +69,26 @@ def functions(files: DataFrame) -> DataFrame:
                 kind = path.rsplit(".", 1)[-1]
                 try:
                     rows += [(path, *r) for r in (_python(text) if kind == "py" else _pattern(text, HEADS.get(kind, HEADS["ts"])))]
-                except SyntaxError:
+                except (SyntaxError, ValueError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return source_files(files).select("path", "text").where("text is not null").mapInPandas(run, SCHEMA)
 
 
+#: How declarations of other things than functions start, and what kind of symbol each word makes.
+DECLARED = r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))?[ \t]+|export[ \t]+(?:default[ \t]+)?|abstract[ \t]+)*(struct|enum|trait|interface|class|type|const|static)[ \t]+(?:mut[ \t]+)?([A-Za-z_]\w*)"
+SYMBOL_KINDS = {"struct": "Struct", "class": "Struct", "enum": "Enum", "trait": "Trait", "interface": "Trait", "type": "TypeAlias", "const": "Const", "static": "Static"}
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(path, name, kind, line) of types, constants and statics of (path, text) files, all by patterns in the JVM."""
+    each = source_files(files).select("path", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    kinds = F.create_map(*[F.lit(x) for kv in SYMBOL_KINDS.items() for x in kv])
+    word = F.regexp_extract("text", DECLARED, 1)
+    return each.where(word != "").select("path", F.regexp_extract("text", DECLARED, 2).alias("name"), F.element_at(kinds, word).alias("kind"), (F.col("line") + 1).alias("line"))
+
+
 def calls(found: DataFrame) -> DataFrame:
     """(src, dst): by the callee's bare name, so namesakes all get an edge."""
     each = found.select(F.concat_ws("::", "path", "name").alias("src"), F.explode("callees").alias("name"))

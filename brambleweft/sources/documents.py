@@ -31,10 +31,14 @@ def local_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
-    """(path, line, level, heading, slug): ATX headings outside fences; repeated slugs get a number."""
+    """(path, line, level, heading, slug): headings outside fences, with marks before or a rule below; repeated slugs get a number."""
     fenced = lines(files).withColumn("fence", F.sum(F.col("text").rlike("^\\s*(```|~~~)").cast("int")).over(_upto()))
-    heads = fenced.where((F.col("fence") % 2 == 0) & F.col("text").rlike("^#{1,6}\\s"))
-    parts = heads.select("path", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("text", "^#+\\s*|\\s*#*$", "")).alias("heading"))
+    below = F.lead("text").over(Window.partitionBy("path").orderBy("line"))
+    plain = F.col("text").rlike("^ {0,3}[^\\s#>*+-]") & ~F.col("text").rlike("^\\s*(```|~~~)")
+    ruled = F.when(plain & below.rlike("^ {0,3}=+\\s*$"), 1).when(plain & below.rlike("^ {0,3}-+\\s*$"), 2)
+    heads = fenced.withColumn("ruled", ruled).where((F.col("fence") % 2 == 0) & (F.col("text").rlike("^#{1,6}\\s") | F.col("ruled").isNotNull()))
+    marked = F.trim(F.regexp_replace("text", "^#+\\s*|\\s*#*$", ""))
+    parts = heads.select("path", "line", F.coalesce("ruled", F.length(F.regexp_extract("text", "^(#+)", 1))).alias("level"), F.when(F.col("ruled").isNotNull(), F.trim("text")).otherwise(marked).alias("heading"))
     named = parts.withColumn("base", slug(F.col("heading")))
     turn = F.row_number().over(Window.partitionBy("path", "base").orderBy("line")) - 1
     return named.withColumn("turn", turn).select("path", "line", "level", "heading", F.when(F.col("turn") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("turn").cast("string"))).alias("slug"))
@@ -71,16 +75,16 @@ def gherkin_steps(files: DataFrame) -> DataFrame:
 
 def graphql_types(files: DataFrame) -> DataFrame:
     """(path, kind, name) of top-level definitions."""
-    return _declared(files, "type|input|enum|interface|union|scalar")
+    return _declared(files, "type|input|enum|interface|union|scalar", "")
 
 
 def proto_items(files: DataFrame) -> DataFrame:
-    """(path, kind, name) of services, calls, messages and enums."""
-    return _declared(files, "service|rpc|message|enum")
+    """(path, kind, name) of services, calls, messages and enums, nested ones too."""
+    return _declared(files, "service|rpc|message|enum", "\\s*")
 
 
-def _declared(files: DataFrame, words: str) -> DataFrame:
-    found = f"^\\s*({words})\\s+([A-Za-z_][A-Za-z0-9_]*)"
+def _declared(files: DataFrame, words: str, before: str) -> DataFrame:
+    found = f"^{before}({words})\\s+([A-Za-z_][A-Za-z0-9_]*)"
     rows = lines(files).select("path", F.regexp_extract("text", found, 1).alias("kind"), F.regexp_extract("text", found, 2).alias("name"))
     return rows.where("kind <> ''")
 

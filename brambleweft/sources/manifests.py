@@ -65,11 +65,13 @@ def _requirements(text: str) -> Iterator[tuple]:
             yield "", None, re.match(r"[\w-]*", line.strip())[0], "Normal"
 
 
+#: What a manifest of another shape than expected ends in: one bad file is no reason to stop a job.
+UNREADABLE = (ValueError, TypeError, AttributeError, RecursionError)
 READERS = {"Cargo.toml": _cargo, "package.json": _npm, "go.mod": _go, "pyproject.toml": _python, "requirements.txt": _requirements}
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """Rows of all manifests among (path, text) files; broken ones give none."""
+    """Rows of all manifests among (path, text) files; broken ones, and ones of another shape, give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,8 +79,9 @@ def manifests(files: DataFrame) -> DataFrame:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 reader = READERS.get(path.rsplit("/", 1)[-1])
                 try:
-                    rows += [(path, *r) for r in reader(text)] if reader else []
-                except ValueError:
+                    found = [(path, *r) for r in reader(text)] if reader else []
+                    rows += [tuple(x if x is None else str(x) for x in r) for r in found]
+                except UNREADABLE:
                     continue
             yield pd.DataFrame(rows, columns=COLUMNS)
 
@@ -117,7 +120,7 @@ def workspace_members(files: DataFrame) -> DataFrame:
                 folder, name = path.rpartition("/")[::2]
                 try:
                     declared = [x for x in _declared(path, text) if isinstance(x, str)]
-                except (ValueError, AttributeError):
+                except UNREADABLE:
                     continue
                 for member in declared:
                     below = name == "package.json" and member.endswith("/*")
