@@ -71,6 +71,11 @@ def markdown_cell(value: Column) -> Column:
     return F.coalesce(text, F.lit("—"))
 
 
+def first_label(labels: Column) -> Column:
+    """The first of a node's labels, or null."""
+    return F.get(labels, F.lit(0))
+
+
 def shortened(value: Column, most: int = 40) -> Column:
     return F.when(F.length(value) > most, F.concat(F.lit("…"), F.right(value, F.lit(most - 1)))).otherwise(value)
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backtick_tokens, safe_name
+from ..plans import cypher
+from ..plans.graph import Graph
 from .mutate import merge_rows, set_where
 
 _numbers = itertools.count()
@@ -22,6 +25,16 @@ def write_note(targets: DataFrame, markdown: str, now: str, title: str | None =
     return note, targets.select(F.lit(key).alias("src"), F.col("node_id").alias("dst")).distinct()
 
 
+def targets(g: Graph, match: str, **params) -> DataFrame:
+    """(node_id) that a MATCH of the user binds to ``t``; a match that does not bind it is an error."""
+    if not re.match(r"\s*MATCH\b", match, re.I):
+        raise ValueError("a match starts with MATCH")
+    rows = cypher.run(g, f"{match} RETURN DISTINCT t", **params)
+    if dict(rows.dtypes).get("t") != "string":
+        raise ValueError("t is not a node")
+    return rows.select(F.col("t").alias("node_id")).where("node_id is not null")
+
+
 def define_concept(concepts: DataFrame, edges: DataFrame, name: str, members: DataFrame, now: str, description: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Upsert a concept (its first created_at stays) and its DESCRIBES edges."""
     if not safe_name(name):

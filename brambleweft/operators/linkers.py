@@ -86,6 +86,15 @@ def commit_references(commits: DataFrame, refs: Column, items: DataFrame) -> Dat
     return named.join(items.select("item"), "item", "left_semi").distinct()
 
 
+def exposes(endpoints: DataFrame, packages: DataFrame) -> DataFrame:
+    """(package, path, route, method): endpoints (path, route, method) of the package (name, path) whose folder holds their file."""
+    from .reports import longest_prefix
+
+    homes = longest_prefix(endpoints.select("path").distinct(), "path", packages.select(F.col("path").alias("home")), "home")
+    named = homes.join(packages.select(F.col("name").alias("package"), F.col("path").alias("home")), "home")
+    return endpoints.join(named, "path").select("package", "path", "route", "method").distinct()
+
+
 def parents(commits: DataFrame, author: str, order: list[str], key: str) -> DataFrame:
     """Successive commits of an author, as (src, dst)."""
     w = Window.partitionBy(author).orderBy(*order)

@@ -152,15 +152,28 @@ def dead_code(g: Graph, exclude_tests: bool = True, ignore_test_callers: bool =
     return P.attach(placed, "file_id", g.nodes("File"), "path", how="left").select("node_id", "qualified_name", "path", "line_start")
 
 
-def find_symbol(g: Graph, query: str, limit: int = 25) -> DataFrame:
-    """Fuzzy search by rank: exact, name prefix, qualified prefix, name infix, qualified infix."""
+def find_symbol(g: Graph, query: str, limit: int = 25, kind: str | None = None, labels: tuple[str, ...] = ("Function", "Symbol")) -> DataFrame:
+    """Fuzzy search by rank: exact, name prefix, qualified prefix, name infix, qualified infix.
+
+    Of the labels, those that the graph has; hits come with their kind and the
+    path of their file (one, the smallest, where several define them).
+    """
     needle = query.strip().lower()
     if not needle:
         raise ValueError("query is empty")
     name, qn, n = F.lower("name"), F.lower("qualified_name"), F.lit(needle)
     rank = F.when((name == n) | (qn == n), 0).when(F.startswith(name, n), 1).when(F.startswith(qn, n), 2).when(F.contains(name, n), 3).when(F.contains(qn, n), 4)
-    hits = g.nodes("Function").withColumn("rank", rank).where("rank is not null")
-    return hits.orderBy("rank", F.octet_length("name"), "qualified_name").limit(clamp(limit, 1)).select("qualified_name", "name", "rank")
+    found = [g.nodes(x).select("node_id", "qualified_name", "name", "kind") for x in labels if x in g.node_frames]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    hits = rows.withColumn("rank", rank).where("rank is not null")
+    if kind is not None:
+        hits = hits.where(F.col("kind") == kind)
+    first = hits.orderBy("rank", F.octet_length("name"), "qualified_name").limit(clamp(limit, 1))
+    homes = P.where_exists(g.edges("DEFINED_IN").select(F.col("src").alias("node_id"), F.col("dst").alias("file")), "node_id", first, "node_id")
+    paths = P.attach(homes, "file", g.nodes("File"), "path").groupBy("node_id").agg(F.min("path").alias("path"))
+    return first.join(paths, "node_id", "left").select("qualified_name", "name", "rank", "kind", "path")
 
 
 def history(g: Graph, limit: int = 50) -> DataFrame:
@@ -170,6 +183,12 @@ def history(g: Graph, limit: int = 50) -> DataFrame:
     return named.orderBy(F.desc("timestamp"), "hash").limit(clamp(limit, 1)).select("hash", "timestamp", "message", F.col("name").alias("author"))
 
 
+def resolve_commit(commits: DataFrame, key: str) -> DataFrame:
+    """The commit with this hash, else one with this short hash, the newest; none where neither is there."""
+    rank = F.when(F.col("hash") == key, 0).when(F.col("short_hash") == key, 1)
+    return commits.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", F.desc("timestamp"), "hash").limit(1).drop("_rank")
+
+
 def diff_since(g: Graph, base: str, head: str, mode: str = "timestamp") -> DataFrame:
     """Commits after ``base`` up to ``head``: by time, or (mode 'dag') along PARENT_OF."""
     commits = g.nodes("GitCommit").select("node_id", "hash", "timestamp")

@@ -271,8 +271,9 @@ def dead_code_ignoring_tests(spark, d):
     return reports.dead_code(project(spark, d), ignore_test_callers=True)
 
 
-@query("find_symbol", """SELECT id AS qualified_name, name, CASE WHEN lower(name) = 'part::1' OR lower(id) = 'part::1' THEN 0 WHEN starts_with(lower(name), 'part::1') THEN 1 WHEN starts_with(lower(id), 'part::1') THEN 2
- WHEN contains(lower(name), 'part::1') THEN 3 ELSE 4 END AS rank FROM fn WHERE contains(lower(name), 'part::1') OR contains(lower(id), 'part::1') ORDER BY rank, strlen(name), id LIMIT 25""")
+@query("find_symbol", """+ q AS (SELECT id AS qualified_name, name, CASE WHEN lower(name) = 'part::1' OR lower(id) = 'part::1' THEN 0 WHEN starts_with(lower(name), 'part::1') THEN 1 WHEN starts_with(lower(id), 'part::1') THEN 2
+ WHEN contains(lower(name), 'part::1') THEN 3 ELSE 4 END AS rank, kind FROM fn WHERE contains(lower(name), 'part::1') OR contains(lower(id), 'part::1') ORDER BY rank, strlen(name), id LIMIT 25)
+SELECT q.*, s_name AS path FROM q LEFT JOIN defined_in ON src = qualified_name LEFT JOIN supplier ON dst = 'file::' || s_suppkey""")
 def find_symbol(spark, d):
     return reports.find_symbol(project(spark, d), " PART::1 ")
 
@@ -287,6 +288,13 @@ def diff_commits(spark, d):
     return reports.diff_since(project(spark, d), "10", "20")
 
 
+@query("commit_lookup", "SELECT o_orderkey::VARCHAR AS hash FROM orders WHERE o_orderkey IN (12, 13)", ctes="")
+def commit_lookup(spark, d):
+    commits = project(spark, d).nodes("GitCommit").withColumn("short_hash", F.concat(F.lit("s"), "hash"))
+    found = [reports.resolve_commit(commits, key) for key in ("12", "s13", "none")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("hash")
+
+
 @query("diff_dag", """+ a(id) AS (SELECT 'commit::10' UNION SELECT dst FROM a JOIN parent_of ON src = id)
 SELECT o_orderkey::VARCHAR AS hash, o_orderdate AS timestamp FROM orders WHERE 'commit::' || o_orderkey IN (SELECT id FROM a WHERE id <> 'commit::10')""")
 def diff_dag(spark, d):

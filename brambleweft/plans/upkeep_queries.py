@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import annotations, incremental, mutate, worklog
+from ..operators import annotations, incremental, linkers, mutate, worklog
 from .projection import project, read
 from .queries import LOG, _log, query
 
@@ -268,3 +268,22 @@ def index_status(spark, d):
  '''' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '''' AS quoted FROM documents""", ctes="")
 def text_scalars(spark, d):
     return read(spark, d, "documents").select("doc_id", scalars.truncated(F.col("text"), 40).alias("short"), scalars.escaped(F.col("text")).alias("quoted"))
+
+
+@query("note_targets", "SELECT id AS node_id FROM fn WHERE is_test AND line_start > 25")
+def note_targets(spark, d):
+    return annotations.targets(project(spark, d), "MATCH (t:Test) WHERE t.line_start > $least", least=25)
+
+
+@query("exposed_endpoints", "SELECT DISTINCT n_name AS package, 'r' || n_regionkey || '/' || n_nationkey || '/api.json' AS path, '/' || s_suppkey AS route, 'get' AS method FROM supplier JOIN nation ON s_nationkey = n_nationkey", ctes="")
+def exposed_endpoints(spark, d):
+    nation = read(spark, d, "nation")
+    folder = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_nationkey").cast("string"))
+    routes = read(spark, d, "supplier").join(nation.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    routes = routes.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("s_nationkey").cast("string"), F.lit("/api.json")).alias("path"), F.concat(F.lit("/"), F.col("s_suppkey").cast("string")).alias("route"), F.lit("get").alias("method"))
+    return linkers.exposes(routes, nation.select(F.col("n_name").alias("name"), folder.alias("path")))
+
+
+@query("first_labels", "SELECT label, count(*) AS n FROM (SELECT 'Function' AS label FROM part UNION ALL SELECT 'File' FROM supplier UNION ALL SELECT 'Package' FROM nation UNION ALL SELECT 'Workspace' FROM region UNION ALL SELECT 'GitCommit' FROM orders UNION ALL SELECT 'Author' FROM customer UNION ALL SELECT 'DocSection' FROM documents UNION ALL SELECT 'Note' FROM labels) GROUP BY label", ctes="")
+def first_labels(spark, d):
+    return project(spark, d).nodes().groupBy(scalars.first_label(F.col("labels")).alias("label")).agg(F.count(F.lit(1)).alias("n"))

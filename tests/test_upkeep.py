@@ -4,7 +4,7 @@ import json
 
 import pytest
 from brambleweft.functions import scalars
-from brambleweft.operators import annotations, incremental, linkers, mutate, render, reports, worklog
+from brambleweft.operators import annotations, architecture, incremental, linkers, mutate, render, reports, worklog
 from brambleweft.plans import cypher, pattern
 from brambleweft.plans.graph import Graph
 from brambleweft.sources import code, documents, manifests
@@ -235,3 +235,36 @@ def test_address_of_notes(spark):
     again = spark.createDataFrame([("9", ["File"], "p", None)], "node_id string, labels array<string>, path string, qualified_name string")
     attached, orphans = incremental.reattach_notes(kept, again)
     assert rows(attached) == [("n", "9")] and rows(orphans) == [("m",)]
+
+
+def test_targets_of_a_match(graph):
+    assert rows(annotations.targets(graph, "MATCH (t:Function) WHERE t.line_start > $n", n=1)) == [("b",), ("t",)]
+    for bad in ("MATCH (x:Function)", "RETURN 1 AS t", "MATCH (a)-[t:CALLS]->(b)"):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            annotations.targets(graph, bad).collect()
+
+
+def test_commits_by_hash_or_short_hash(spark):
+    commits = spark.createDataFrame([("aa1", "aa", "1"), ("aa2", "aa", "2"), ("aa", "zz", "0")], "hash string, short_hash string, timestamp string")
+    assert [rows(reports.resolve_commit(commits, k).select("hash")) for k in ("aa1", "aa", "zz", "none")] == [[("aa1",)], [("aa",)], [("aa",)], []]
+
+
+def test_architecture_is_all_or_nothing(spark):
+    names = "node_id string, labels array<string>"
+    fn = spark.createDataFrame([("a", ["Function"]), ("b", ["Function"])], names)
+    ends = lambda *x: spark.createDataFrame(list(x), "src string, dst string")
+    g = Graph({"Function": fn}, {"CALLS": ends(("a", "b")), "DEFINED_IN": ends(("a", "f"), ("b", "h")), "CONTAINS": ends(("p", "f"), ("q", "h"))})
+    packages = spark.createDataFrame([("p", "x/p", False), ("q", "x/q", False), ("ext", "", True)], "name string, path string, is_external boolean")
+    told = []
+
+    def planner(text):
+        told.append(json.loads(text))
+        return 'Plan:\n{"modules": [{"name": "core", "packages": ["p", "gone"], "layer_hint": 1}, {"name": "edge", "packages": ["q"]}], "uses": [{"from": "edge", "to": "core"}]}\nDone'
+
+    modules, contains, uses = architecture.overlay(g, packages, planner)
+    assert rows(modules.select("name", "layer_hint")) == [("core", 1), ("edge", 0)]
+    assert rows(contains) == [("core", "p"), ("edge", "q")] and rows(uses) == [("edge", "core", "")]
+    assert [p["name"] for p in told[0]["packages"]] == ["p", "q"] and told[0]["calls"] == [{"a": "p", "b": "q", "calls": 1}]
+    for reply in ("no plan", "[1]", '{"modules": [{"name": ""}]}', '{"modules": [{"name": "a"}, {"name": "a"}]}', '{"modules": [{"name": "a"}], "uses": [{"from": "a", "to": "b"}]}'):
+        with pytest.raises(ValueError):
+            architecture.overlay(g, packages, lambda _, reply=reply: reply)
