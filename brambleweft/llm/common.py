@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place in local mode; on a
+    cluster it is an error, as a machine's own folder would be lost data there.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
@@ -54,3 +62,13 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the fold of rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
+
+
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes]]]:
+    """The texts of an Arrow column as UTF-8, about ``most`` bytes at a time; null is empty."""
+    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0), np.int64)
+    full = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(sizes)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end > start:
+            yield slice(start, end), [t or b"" for t in column[start:end].cast(pa.binary()).to_pylist()]

@@ -9,16 +9,18 @@ usual pattern is missing shows in the weakest). One hidden layer combines the
 peaks into one probability.
 
 The network is trained by Adam on a bounded, balanced sample: at most
-``SAMPLE`` labelled texts per class, chosen by hash, of at most ``LONGEST``
-bytes each (a bound on the driver's memory; scoring has no bound on length).
-Gradients flow only through the windows that won a pooling, so a step costs
-little more than scoring.
+``SAMPLE`` labelled texts per class, chosen by hash. A sampled text of more
+than ``LONGEST`` bytes gives one window of it, at a place chosen by hash, so
+long texts teach like others and the driver's memory is bounded; scoring reads
+whole texts. Gradients flow only through the windows that won a pooling, so a
+step costs little more than scoring.
 
 Defined results: a null text is scored as the empty text, which is one chunk
 of padding; where labels of one class only (or none) are there, every score is
-that class's share (0.5 without labels); repeated rows are scored alike; an
-empty table gives an empty result. Only the named columns are read, so extra
-columns cannot clash.
+that class's share (0.5 without labels); repeated rows are scored alike; of
+several texts of one id the one with the smallest hash teaches, and an id with
+both labels teaches both; an empty table gives an empty result. Only the named columns are
+read, so extra columns cannot clash; ``keep_good`` returns the input's columns.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, text_slices
 
 WIDTH, STRIDE, CHUNK = 12, 2, 256
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
@@ -152,55 +153,47 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights, or a constant score where there are not two classes."""
     draw = F.xxhash64(F.col("id"))
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    size = F.octet_length("text")
     chosen = None
     for label in (0, 1):
         # At most ``sample`` ids per class: safe to broadcast.
         part = ids.where(F.col("label") == label).groupBy("id").agg(F.min("label").alias("label")).orderBy(draw, "id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (size <= LONGEST)).join(F.broadcast(chosen), "id")
-    got = {}
-    for r in rows.toLocalIterator():
-        got[(r["id"], r["label"])] = r["text"].encode("utf-8", "replace")
-    order = sorted(got)
-    y = [label for _, label in order]
+    text, whole = F.col(text_col), F.octet_length(text_col) <= LONGEST
+    wide = LONGEST // 4  # characters of a window
+    window = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.length("text") / wide))
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), whole.alias("whole")).join(F.broadcast(chosen), "id")
+    rows = rows.select("id", "label", F.xxhash64("text").alias("h"), F.when(F.col("whole"), F.col("text")).otherwise(F.substring("text", (window * wide + 1).cast("int"), F.lit(wide))).alias("text"))
+    # At most two texts' windows per sampled id and task: repeated ids shrink before the shuffle.
+    got = rows.groupBy("id", "label").agg(F.min(F.struct("h", "text")).alias("one")).select("id", "label", "one.text").orderBy("id", "label").collect()
+    y = [r["label"] for r in got]
     if not 0 < sum(y) < len(y):
         return sum(y) / len(y) if y else 0.5
-    return train([got[k] for k in order], y)
+    return train([r["text"].encode("utf-8", "replace") for r in got], y)
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | float, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
-    """(doc_id, score), or (row, score) with the input's row where ``keep_row``."""
-    # A row that is kept whole holds its text already.
-    slim = docs.select(F.struct("*").alias("row")) if keep_row else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    name, kind = slim.columns[0], slim.schema[0].dataType
+def score(text: Column, model: dict[str, np.ndarray] | float) -> Column:
+    """The score of every text, as a column. Only texts go to the workers, and a bounded part of a batch is laid out at once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = pa.compute.struct_field(batch.column("row"), text_col) if keep_row else batch.column("text")
-            texts, scores, held, start = [(t or "").encode("utf-8", "replace") for t in column.to_pylist()], [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= BLOCK or i + 1 == len(texts):
-                    part = texts[start : i + 1]
-                    scores.append(np.full(len(part), model) if isinstance(model, float) else score_texts(model, part))
-                    start, held = i + 1, 0
-            if scores:
-                yield pa.record_batch([batch.column(name), pa.array(np.concatenate(scores).astype(np.float64))], names=[name, "score"])
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [np.full(len(t), model) if isinstance(model, float) else score_texts(model, t) for _, t in text_slices(column, BLOCK)]
+            yield pa.array(np.concatenate(parts).astype(np.float64) if parts else [], pa.float64())
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    return scores(text)
 
-    return slim.mapInArrow(run, StructType([StructField(name, kind), StructField("score", DoubleType())]))
 
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), learned from rows that are not held out."""
-    model = learn(docs, labels.where(~held_out(F.col(id_col))), id_col)
-    scored = score(docs, model, id_col)
+    model = learn(docs, labels.where(~held_out(F.col(id_col))), id_col, text_col)
+    scored = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col), model).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are not rejected, with the input's columns."""
-    model = learn(docs, labels.where(~held_out(F.col(id_col))), id_col)
-    return score(docs, model, id_col, keep_row=True).where(F.col("score") >= KEEP_FROM).select("row.*")
+    model = learn(docs, labels.where(~held_out(F.col(id_col))), id_col, text_col)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, score(F.col(text_col), model)).where(F.col(name) >= KEEP_FROM).drop(name)
