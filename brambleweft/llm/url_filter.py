@@ -8,12 +8,17 @@ words of the path; digits become one token.
 
 Both models come from the table itself. Word counts take what is delimited by
 hyphens or stands in paths, and whole labels that several hosts use; other
-labels are what Viterbi has to split. Urls with a word of ``SEEDS`` are the
-first block examples, all others the allow examples; naive Bayes learns from
-both which other words go with them. All words and tokens count. Memory holds
-only the ``VOCABULARY`` most frequent ones; the others stay DataFrames and are
-joined, rare words to the names that hold them and rare tokens to the urls that
-have them. So results do not depend on that number.
+labels are what Viterbi has to split. Nobody labels urls, so naive Bayes is
+learned by expectation maximisation: a short list of words gives a first guess
+of how likely each url is one to block, and fixed odds that stay; then
+``ROUNDS`` times all tokens are counted anew, each url shared between the two
+classes as the last model has it. What other words go with them, and which
+words of the list do not deserve it, is left to the data. (Verdicts of the
+rules are no examples: a rule takes a whole domain or path, so that all other
+pages of the same hosts would follow it.) All words and tokens count. Memory
+holds only the ``VOCABULARY`` most frequent ones; the others stay DataFrames
+and are joined, rare words to the names that hold them and rare tokens to the
+urls that have them. So results do not depend on that number.
 
 Defined results: a null url or one without ``://`` has empty host and path,
 fits no rule, and is allowed (no tokens, nothing speaks against it); repeated
@@ -34,8 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Fixed words that mark a url as a first example for blocking.
+#: Fixed words that raise the first guess for a url; the odds of each are so many times what the urls say.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "casino", "gambling", "loan", "loans", "malware", "pill", "pills", "porn", "poker", "sex", "spam", "tracker", "viagra", "warez", "xxx")
+SEED_ODDS = 20
+#: First guesses in thousandths, with and without such a word; how often they are learned anew.
+WITH, WITHOUT, ROUNDS = 900, 10, 2
 #: Words, and tokens, that are held in memory; the others are joined.
 VOCABULARY = 50_000
 #: Rows of one host are dealt to so many places when names with rare words are joined.
@@ -181,36 +189,46 @@ def tokenized(urls: DataFrame, words: Words, rare: DataFrame | None = None) -> D
     return rows.mapInArrow(run, f"page_id {kind}, host string, path string, tokens array<string>")
 
 
-def learn_bayes(tokens: DataFrame, vocabulary: int = VOCABULARY) -> tuple[float, dict[str, float], DataFrame | None]:
-    """(prior log odds for blocking, log odds of the most frequent tokens, (token, odds) of all others, if there are any)."""
-    seeded = tokens.select(F.arrays_overlap("tokens", F.array(*map(F.lit, SEEDS))).alias("block"), "tokens")
-    urls = seeded.agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")).first()
-    each = checkpoint(seeded.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")))
+def first_guess(tokens: Column) -> Column:
+    """How likely a url is one to block, in thousandths, before anything is learned."""
+    return F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, SEEDS))), WITH).otherwise(WITHOUT).cast("long")
+
+
+def learn_bayes(guessed: DataFrame, vocabulary: int = VOCABULARY) -> tuple[float, dict[str, float], DataFrame | None]:
+    """(prior log odds for blocking, log odds of the most frequent tokens, (token, odds) of all others, if there are any).
+
+    Rows are (tokens, block), the latter in thousandths: whole numbers, so that sums do not depend on their order.
+    """
+    urls = guessed.agg(F.sum("block").alias("block"), F.sum(1000 - F.col("block")).alias("allow")).first()
+    seen = guessed.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("block").alias("block"), F.sum(1000 - F.col("block")).alias("allow"))
+    each = checkpoint(seen)
     totals = each.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
     kinds = (totals["kinds"] or 0) + 1
-    block, allow = (totals["block"] or 0) + kinds, (totals["allow"] or 0) + kinds
+    block, allow = (totals["block"] or 0) + 1000 * kinds, (totals["allow"] or 0) + 1000 * kinds
     top = each.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(vocabulary).collect()
-    odds = {r["token"]: math.log((r["block"] + 1) / block) - math.log((r["allow"] + 1) / allow) for r in top}
-    prior = math.log((urls["block"] + 1) / (urls["allow"] + 1))
+    more = {token: math.log(SEED_ODDS) for token in SEEDS}
+    odds = {r["token"]: math.log((r["block"] + 1000) / block) - math.log((r["allow"] + 1000) / allow) + more.get(r["token"], 0) for r in top}
+    prior = math.log(((urls["block"] or 0) + 1000) / ((urls["allow"] or 0) + 1000))
     if len(odds) + 1 == kinds:
         return prior, odds, None
     held = each.sparkSession.createDataFrame([(t,) for t in odds], "token string")
     rest = each.join(held, "token", "left_anti")
-    return prior, odds, rest.select("token", (F.log((F.col("block") + 1) / block) - F.log((F.col("allow") + 1) / allow)).alias("odds"))
+    fixed = F.when(F.col("token").isin(*SEEDS), math.log(SEED_ODDS)).otherwise(0.0)
+    return prior, odds, rest.select("token", (F.log((F.col("block") + 1000) / block) - F.log((F.col("allow") + 1000) / allow) + fixed).alias("odds"))
 
 
 def scored(tokens: DataFrame, prior: float, odds: dict[str, float], rare: DataFrame | None) -> DataFrame:
-    """(page_id, host, path, log_odds) of every row of ``tokens``."""
-    kind = tokens.schema["page_id"].dataType.simpleString()
+    """Add ``log_odds`` to every row of ``tokens``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b.column("tokens").to_pylist()
-            scores = pa.array([prior + sum(odds.get(t, 0.0) for t in each) for each in found], pa.float64())
+    @F.arrow_udf("log_odds double, rest array<string>")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = column.to_pylist()
+            sums = pa.array([prior + sum(odds.get(t, 0.0) for t in each) for each in found], pa.float64())
             rest = pa.array([[t for t in each if t not in odds] for each in found], pa.list_(pa.string()))
-            yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), scores, rest], names=["page_id", "host", "path", "log_odds", "rest"])
+            yield pa.StructArray.from_arrays([sums, rest], ["log_odds", "rest"])
 
-    rows = tokens.mapInArrow(run, f"page_id {kind}, host string, path string, log_odds double, rest array<string>")
+    rows = tokens.withColumn("known", known("tokens")).select(*tokens.columns, "known.log_odds", "known.rest")
     if rare is None:
         return rows.drop("rest")
     # A rare token makes its urls rare, so no join here has a common key.
@@ -218,15 +236,20 @@ def scored(tokens: DataFrame, prior: float, odds: dict[str, float], rare: DataFr
     sums = rows.where(has).select("host", "path", "rest").dropDuplicates(["host", "path"]).select("host", "path", F.explode("rest").alias("token")).join(rare, "token")
     # Added in order, so that a sum is the same each time.
     sums = sums.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda a, x: a + x).alias("more"))
-    summed = rows.where(has).join(sums, ["host", "path"]).select("page_id", "host", "path", (F.col("log_odds") + F.col("more")).alias("log_odds"))
+    summed = rows.where(has).join(sums, ["host", "path"]).select(*tokens.columns, (F.col("log_odds") + F.col("more")).alias("log_odds"))
     return rows.where(~has).drop("rest").unionByName(summed)
 
 
-def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", vocabulary: int = VOCABULARY) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) of every row."""
     host, path = parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     words, rare = learn_words(urls, vocabulary)
     tokens = checkpoint(tokenized(urls, words, rare))
-    ruled = scored(tokens, *learn_bayes(tokens, vocabulary)).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")
+    model = learn_bayes(tokens.select("tokens", first_guess(F.col("tokens")).alias("block")), vocabulary)
+    for _ in range(rounds):
+        share = F.round(1000 / (1 + F.exp(-F.col("log_odds")))).cast("long")
+        model = learn_bayes(scored(tokens, *model).select("tokens", share.alias("block")), vocabulary)
+    ruled = scored(tokens, *model).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    against = (F.col("log_odds") > 0) & (F.size("tokens") > 0)
+    return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(against, "block").otherwise("allow")).alias("verdict"), "log_odds")
