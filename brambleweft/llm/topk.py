@@ -15,15 +15,17 @@ rounding, so the results are exact.
 Pivots are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. Cells
 are split into parts of about ``PART`` vectors and queries into blocks of about
 ``QUERIES``, so a task's memory is bounded whatever a cell or a common vector
-holds. Shipping each part to each query block is the stated work: a query set
-that grows with the table against all rows.
+holds. Blocks hold queries of one nearest pivot, and a part is sent only to the
+blocks of which some query's bound reaches its cell. What is left is the stated
+work: a query set that grows with the table against all rows.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part; shorter vectors are padded with zeros;
 ties go to the smaller id; a row with the query's id is the query's own;
-repeated queries count once; an empty table gives an empty result; scores
-beyond a 64-bit integer are cut off. Only the id and vector columns are read,
-so extra columns cannot clash.
+repeated queries count once, and different vectors under one query's id share
+one list, the best scores of them all; an empty table gives an empty result;
+scores are exact up to 2^53, rounded beyond, and cut off at a 64-bit integer.
+Only the id and vector columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -143,7 +145,6 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     sampled = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     sample, sample_ids = _matrix(sampled.column("v"), dim), np.asarray(sampled.column("id"), dtype=np.int64)
     pivots = fit_pivots(_lift(sample, top))
-    blocks = -(-stats["queries"] // QUERIES)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,17 +165,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     # One row per pivot.
     cells = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()
     parts = F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c["cell"], -(-c["n"] // PART))]), F.col("cell"))
-    dealt = index.select("*", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = vectors.where(is_query).dropDuplicates().mapInArrow(asked, "id long, v array<double>, first double, away array<double>")
+    # By place in the scanned files too, which a task that is run again sees alike: repeated rows are dealt out.
+    placed = index.select("*", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts).cast("int").alias("part"))
+    asking = vectors.where(is_query).dropDuplicates().mapInArrow(asked, "id long, v array<double>, first double, away array<double>")
+    pivot = F.array_position("away", F.array_min("away")).cast("int")
+    queries = asking.withColumn("pivot", pivot)
+    # One row per pivot.
+    asked_of = {r["pivot"]: -(-r["n"] // QUERIES) for r in queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = F.element_at(F.create_map(*[F.lit(x) for kv in asked_of.items() for x in kv]), F.col("pivot"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     spots = []
     for c in cells:
         gap = F.greatest(F.col("away")[c["cell"]] - c["high"], F.lit(c["low"]) - F.col("away")[c["cell"]], F.lit(0.0))
         reach = (F.col("square") + top - gap * gap) / 2 + 1e-6 * (F.col("square") + top + 1) >= F.col("first")
         spots.append(F.when(reach, F.struct(F.lit(c["cell"]).alias("cell"), F.col("away")[c["cell"]].alias("q_away"))))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    block = (F.col("pivot") + F.lit(PIVOTS + 1) * F.pmod(F.xxhash64("id", "v"), blocks)).cast("long").alias("block")
     met = queries.withColumn("square", square).select("id", "v", "first", block, F.explode(F.array_compact(F.array(*spots))).alias("spot")).select("id", "v", "first", "block", "spot.*")
     sent = met.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    reached = sent.select(*[F.col(c).alias(c) for c in ("cell", "part", "block")]).distinct()
+    dealt = placed.join(reached, ["cell", "part"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
