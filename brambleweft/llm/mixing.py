@@ -12,8 +12,9 @@ so a source with a third of all rows is spread over many tasks.
 
 Defined results: null and blank texts have size 0 and are drawn like others
 (they add no words); a null source is a source of its own, sorted last; a null
-id sorts first; equal rows are interchangeable; an empty table gives an empty
-result. The input's columns travel in one struct and cannot clash.
+id sorts first, and such rows are told apart by a hash of their columns; equal
+rows are interchangeable; an empty table gives an empty result. The input's
+columns travel in one struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -59,10 +60,12 @@ def systematic_copies(rows: DataFrame, id_col: str, source_col: str, size: "F.Co
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         F.col(id_col).alias("id"),
         size.alias("size"),
+        # Maps cannot be hashed.
+        F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map<" not in kind]).alias("h"),
     ).select(
         "*",
         F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 4)).alias("class"),
-        F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, SALT_DIGITS).alias("salt"),
+        F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.col("h").cast("string"))), 1, SALT_DIGITS).alias("salt"),
     )
     key = ["no_source", "source", "class", "salt"]
     groups = laid.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
@@ -71,7 +74,7 @@ def systematic_copies(rows: DataFrame, id_col: str, source_col: str, size: "F.Co
     starts = groups.select(*key, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")).join(targets, ["no_source", "source"])
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("source"))), 1, 3), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4096.0)
     starts = starts.select("*", offset.alias("offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("expected"))
-    inside = Window.partitionBy(*key).orderBy("size", "id")
+    inside = Window.partitionBy(*key).orderBy("size", "id", "h")
     ranked = laid.withColumn("rank", F.row_number().over(inside)).join(starts, key)
     upto = F.floor(F.col("offset") + (F.col("start") + F.col("rank")) * F.col("expected"))
     earlier = F.floor(F.col("offset") + (F.col("start") + F.col("rank") - 1) * F.col("expected"))
