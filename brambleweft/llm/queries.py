@@ -14,7 +14,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # The text's hash tells rows without an id apart.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     drawn = mixing.systematic_copies(docs, "doc_id", "source", F.col("size"))
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -96,7 +97,7 @@ OP4 = rf"""
 WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, text, source, unnest(range(len(lines))) AS pos, trim(unnest(lines), E' \t\n\x0b\x0c\r') AS line FROM d),
 x AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-b AS (SELECT line, min((doc_id, pos)) AS first FROM x GROUP BY line HAVING count(DISTINCT source) >= 10),
+b AS (SELECT line, min((doc_id, pos)) AS first FROM x GROUP BY line HAVING count(DISTINCT source) >= 4),
 cut AS (SELECT doc_id, list(pos) AS cut FROM x JOIN b USING (line) WHERE (doc_id, pos) IS DISTINCT FROM first GROUP BY doc_id),
 j AS (SELECT d.*, coalesce(len(cut), 0)::BIGINT AS n_removed, coalesce(cut, []) AS cut,
         len(list_filter(lines, lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines FROM d LEFT JOIN cut USING (doc_id))
@@ -149,7 +150,7 @@ r AS (SELECT *, row_number() OVER () AS rid FROM k),
 s AS (SELECT rid, i, {_DRAW.format(i="i")} AS draw FROM r, (SELECT unnest(range(25)) AS i)),
 a AS (SELECT rid, arg_max(i, (draw, -i)) FILTER (i < 24) AS shard, arg_max(i, (draw, -i)) AS grown_shard FROM s GROUP BY rid)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2), doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, concat_ws(':', size, text_crc32))), 1, 2), doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot,
   grown_shard::INT AS grown_shard FROM r JOIN a USING (rid)
 """
 

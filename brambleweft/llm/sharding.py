@@ -24,6 +24,12 @@ from pyspark.sql import functions as F
 BUCKET_DIGITS = 2
 
 
+def _bucket() -> Column:
+    """The part of a shard that a row is numbered in; rows without a key are dealt by what else is known of them."""
+    other = F.concat_ws(":", "size", "text_crc32")
+    return F.substring(F.md5(F.coalesce(F.col("key").cast("string"), other)), 1, BUCKET_DIGITS)
+
+
 def _draw(key: Column, shard: int, weight: float) -> Column:
     bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("long")
     return -F.lit(float(weight)) / F.log((bits + F.lit(0.5)) / F.lit(float(2**52)))
@@ -62,10 +68,10 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", text: str = "text", weig
 def number_slots(assigned: DataFrame) -> DataFrame:
     """Add gapless ``slot`` numbers from 0 within each shard."""
     counted = assigned.groupBy("key", "size", "text_crc32", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("copies"))
-    counted = counted.withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, BUCKET_DIGITS))
+    counted = counted.withColumn("bucket", _bucket())
     inside = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     numbered = counted.withColumn("upto", F.sum("copies").over(inside))
-    groups = assigned.withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, BUCKET_DIGITS)).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    groups = assigned.withColumn("bucket", _bucket()).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     # At most shards x 16**BUCKET_DIGITS rows, whatever the input: safe to broadcast.
