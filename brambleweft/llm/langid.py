@@ -37,6 +37,8 @@ SAMPLE = 3000
 #: Letter classes: 0 is the edge of a word, 1 to 26 are a to z, the rest share 37.
 CLASSES = 64
 BLOCK_TEXTS, BLOCK_CHARS = 256, 1 << 20
+#: Counters (texts x distinct 3-grams) that are held at once.
+MOST_COUNTS = 1 << 22
 
 _made: dict[str, np.ndarray] = {}
 
@@ -77,6 +79,8 @@ def profiles(texts: list[str | None]) -> np.ndarray:
     c = classes.astype(np.int32)
     grams = c[middle - 1] << 12 | c[middle] << 6 | c[middle + 1]
     used = np.flatnonzero(np.bincount(grams, minlength=CLASSES**3))
+    if n > 1 and n * len(used) > MOST_COUNTS:
+        return np.concatenate([profiles(texts[: n // 2]), profiles(texts[n // 2 :])])
     place = np.zeros(CLASSES**3, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     counts = np.bincount(owner[middle].astype(np.int64) * len(used) + place[grams], minlength=n * len(used)).reshape(n, len(used))
