@@ -1,17 +1,21 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-Texts are cut into matches of the vocabulary's pattern and every match is
-encoded on its own; the library works on characters that stand for bytes and
-maps them back to character offsets in the text. Where offsets are not asked
-for, a match that a worker has seen lately is looked up instead of encoded
-again (at most ``REMEMBERED`` of them). Decoding looks up the bytes
-of every id in the rank table and joins them: a token may end inside a
-character, so bytes are joined before they are read as UTF-8, and ``pieces``
-carries an unfinished character over to the next token.
+Texts are cut into matches of the vocabulary's pattern, which cover them, and
+every match is encoded on its own. The library maps a match's bytes to
+characters that stand for them and gives ids with character offsets; a token
+that holds only some bytes of a character has that whole character as its span.
+A worker gives each match that it does not know to the library, all of a slice
+in one batch, and lays out ids and spans of all texts from these answers; the
+offsets of a match must cover it, and the matches of a text the text, or the
+job stops. Answers are remembered up to ``REMEMBERED`` characters of matches.
+Decoding gives every id the bytes that its stand-in characters mean by the
+reversed byte table. A token may end inside a character, so bytes are joined
+before they are read as UTF-8, and ``pieces`` carries an unfinished character
+over to the next token.
 
 The vocabulary files are read on the driver and broadcast (a few MB, fixed by
-the vocabulary). Workers encode slices of about ``SLICE`` characters, so memory
-is bounded by one text and not by the batch.
+the vocabulary). Workers encode slices of about ``SLICE`` bytes, so memory is
+bounded by one text and not by the batch.
 
 Defined results: a null text is encoded as the empty text (no ids); texts of
 any length are encoded whole; the strings of special tokens are ordinary text;
@@ -28,14 +32,16 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 1 << 18
-REMEMBERED = 200_000
+from .common import text_slices
+
+SLICE, REMEMBERED = 1 << 18, 1 << 23
 
 
 def default_paths() -> tuple[str, str]:
@@ -57,54 +63,129 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Encoded:
+    """Ids of some texts, one after the other; ``bounds`` has each text's end, ``splits`` how often a token of it ends inside a character."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, splits: np.ndarray, spans) -> None:
+        self.ids, self.bounds, self.splits, self._spans = ids, bounds, splits, spans
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the characters of every token start and end in its text."""
+        return self._spans()
+
+    def lists(self, flat: np.ndarray) -> pa.ListArray:
+        """One list per text, as an Arrow column."""
+        return pa.ListArray.from_arrays(pa.array(np.append(0, self.bounds), pa.int32()), pa.array(flat, pa.int32()))
+
+
+class Rows:
+    """Rows of whole numbers that grow by columns, with room for more."""
+
+    def __init__(self, rows: int) -> None:
+        self.data, self.size = np.zeros((rows, 1 << 12), np.int32), 0
+
+    def add(self, *rows) -> None:
+        end = self.size + len(rows[0])
+        if end > self.data.shape[1]:
+            self.data = np.concatenate([self.data, np.zeros((len(rows), max(end, self.data.shape[1])), np.int32)], 1)
+        for kept, new in zip(self.data, rows, strict=True):
+            kept[self.size : end] = new
+        self.size = end
+
+
 class Codec:
     """One vocabulary; made from the contents of its two files."""
 
     def __init__(self, model: str, ranks: bytes, pattern: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.bytes = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, ranks.splitlines())}
-        table = byte_table()
-        same = {bytes(map(table.__getitem__, word)): i for word, i in json.loads(model)["model"]["vocab"].items() if i in self.bytes}
-        if any(same.get(word) != i for i, word in self.bytes.items()):
-            raise ValueError("the two vocabulary files differ")
-        self.decimal = {i: str(i) for i in self.bytes}
+        # The pattern has cut the text already: what the library gets is one match each.
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.matches = regex.compile(pattern).findall
-        self.model = self.tokenizer.model
-        self.stand_in = {b: c for c, b in table.items()}
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list:
-        """An encoding (``ids``, ``offsets``) of every text, in order."""
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        self.from_bytes = {ord(c): chr(b) for c, b in byte_table().items()}
+        by_rank = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, ranks.splitlines())}
+        # What every token's stand-in characters mean, by the byte table reversed.
+        self.meant = {i: self.raw(word) for word, i in json.loads(model)["model"]["vocab"].items() if i in by_rank}
+        if self.meant != by_rank:
+            raise ValueError("the two vocabulary files differ")
+        self.decimal = {i: str(i) for i in by_rank}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
+        #: Of all tokens: id, start, end; of all matches: first token, tokens, characters, splits.
+        self._tokens, self._matches = Rows(3), Rows(4)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode matches that are not known and keep the answers."""
+        done = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        offsets, lengths = [e.offsets for e in done], list(map(len, new))
+        if any(not o or o[0][0] or o[-1][1] != n for o, n in zip(offsets, lengths, strict=True)):
+            raise ValueError("the offsets of a match do not cover it")
+        counts = np.fromiter(map(len, offsets), np.int32)
+        ends = np.cumsum(counts)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(offsets)), np.int32).reshape(-1, 2).T
+        inside = np.append(spans[0, 1:] < spans[1, :-1], False)
+        inside[ends - 1] = False  # the next token is another match's
+        splits = np.add.reduceat(inside.astype(np.int32), ends - counts)
+        self.known |= zip(new, range(len(self.known), len(self.known) + len(new)))
+        self._matches.add(ends - counts + self._tokens.size, counts, lengths, splits)
+        self._tokens.add(np.fromiter(chain.from_iterable(e.ids for e in done), np.int32), *spans)
+        self.held += sum(lengths)
+
+    def encode(self, texts: list[str]) -> Encoded:
+        """Ids of all texts, and what gives their spans."""
+        found = [self.matches(t) for t in texts]
+        flat = list(chain.from_iterable(found))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int32, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lost = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(lost)))
+            at[missing] = [self.known[m] for m in lost]
+        last = np.cumsum([len(f) for f in found])
+        first, n, length, splits = self._matches.data[:, at]
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[np.append(0, last)])
+        if not np.array_equal(sums(length), [len(t) for t in texts]):
+            raise ValueError("the matches of a text do not cover it")
+        upto = np.append(0, np.cumsum(n))
+        place = np.repeat(first - upto[:-1], n) + np.arange(upto[-1])
+        tokens = self._tokens.data
+
+        def spans() -> tuple[np.ndarray, np.ndarray]:
+            before = np.cumsum(length) - length
+            begin = np.append(0, np.cumsum(length))[np.append(0, last[:-1])]
+            shift = np.repeat(before - np.repeat(begin, np.diff(last, prepend=0)), n)
+            return shift + tokens[1, place], shift + tokens[2, place]
+
+        out = Encoded(tokens[0, place], upto[last], sums(splits), spans)
+        if self.held > REMEMBERED:
+            self._forget()
+        return out
 
     def ids(self, text: str) -> list[int]:
-        """The ids alone."""
-        out: list[int] = []
-        for match in self.matches(text):
-            found = self.known.get(match)
-            if found is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                standing = match.encode("utf-8", "replace").decode("latin-1").translate(self.stand_in)
-                found = self.known[match] = [token.id for token in self.model.tokenize(standing)]
-            out += found
-        return out
+        """The ids of one text."""
+        return self.encode([text]).ids.tolist()
+
+    def raw(self, standing: str) -> bytes:
+        """The bytes that a string of stand-in characters means."""
+        return standing.translate(self.from_bytes).encode("latin-1")
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return b"".join(map(self.meant.__getitem__, ids))
 
     def pieces(self, ids: list[int]) -> list[str]:
         """The text that each id completes; a split character counts for its last id."""
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        return [decoder.decode(self.bytes[i], final=k + 1 == len(ids)) for k, i in enumerate(ids)]
+        return [decoder.decode(self.meant[i], final=k + 1 == len(ids)) for k, i in enumerate(ids)]
 
-    def digests(self, ids: list[int]) -> tuple[int, str, str]:
+    def digests(self, ids: list[int]) -> tuple[str, str]:
         listed = " ".join(map(self.decimal.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        return hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
@@ -131,20 +212,43 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, starts, ends): ids and their character offsets."""
+def _encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str] | None, columns: dict[str, str]) -> DataFrame:
+    """(doc_id, n_tokens) and the named columns of every row."""
     codec, slim = _on_workers(docs, paths), _slim(docs, id_col, text_col)
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                done = codec().encode(part.column("text").to_pylist())
-                ids = pa.array([e.ids for e in done], pa.list_(pa.int32()))
-                starts, ends = (pa.array([[o[k] for o in e.offsets] for e in done], pa.list_(pa.int32())) for k in (0, 1))
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(e.ids) for e in done], pa.int64()), ids, starts, ends], names=["doc_id", "n_tokens", "ids", "starts", "ends"])
+            for part, texts in text_slices(batch.column("text"), SLICE):
+                done = codec().encode([t.decode() for t in texts])
+                made = {"doc_id": batch.column("doc_id")[part], "n_tokens": pa.array(np.diff(done.bounds, prepend=0), pa.int64())}
+                if "ids_sha256" in columns:
+                    ids = done.ids.tolist()
+                    hashed = [codec().digests(ids[a:b]) for a, b in zip([0, *done.bounds[:-1].tolist()], done.bounds.tolist(), strict=True)]
+                    made |= {"ids_sha256": pa.array([h[0] for h in hashed]), "decoded_sha256": pa.array([h[1] for h in hashed])}
+                made |= {"n_split": pa.array(done.splits, pa.int64())}
+                if "ids" in columns:
+                    made["ids"] = done.lists(done.ids)
+                if "starts" in columns:
+                    made["starts"], made["ends"] = map(done.lists, done.spans())
+                yield pa.record_batch([made[c] for c in names], names=names)
+
+    names = ["doc_id", "n_tokens", *columns]
+    return slim.mapInArrow(run, ", ".join([f"doc_id {kind}", "n_tokens long", *(f"{c} {t}" for c, t in columns.items())]))
 
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, starts array<int>, ends array<int>")
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, starts, ends): ids and their character offsets."""
+    return _encoded(docs, id_col, text_col, paths, {c: "array<int>" for c in ("ids", "starts", "ends")})
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split): encode, decode the ids, and hash both.
+
+    ``n_split`` counts the places at which a token ends inside a character.
+    """
+    columns = {"ids_sha256": "string", "decoded_sha256": "string", "n_split": "long"} | ({"ids": "array<int>"} if keep_ids else {})
+    return _encoded(docs, id_col, text_col, paths, columns)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", paths: tuple[str, str] | None = None) -> DataFrame:
@@ -155,36 +259,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [codec().decode(ids) for ids in batch.column("ids").to_pylist()]
+            raw = [codec().decode(ids.as_py()) for ids in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), pa.array([b.decode("utf-8", "replace") for b in raw]), pa.array(raw, pa.binary())], names=["doc_id", "text", "bytes"])
 
     return slim.mapInArrow(run, f"doc_id {kind}, text string, bytes binary")
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE characters each."""
-    sizes = pa.compute.utf8_length(batch.column("text")).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= SLICE or i + 1 == len(sizes):
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-
-
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, and hash both."""
-    codec, slim = _on_workers(docs, paths), _slim(docs, id_col, text_col)
-    kind = slim.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                ids = list(map(codec().ids, part.column("text").to_pylist()))
-                n, listed, decoded = zip(*map(codec().digests, ids), strict=True)
-                columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(listed), "decoded_sha256": pa.array(decoded)}
-                if keep_ids:
-                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
-                yield pa.record_batch(list(columns.values()), names=list(columns))
-
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
