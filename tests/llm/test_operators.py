@@ -108,7 +108,7 @@ def test_network_sees_every_window_and_learns():
 def test_line_dedup(odd, none, spark):
     rows = [(i, f"common line\n own {i}\n\ncommon line ", f"s{i % 12}") for i in range(24)]
     rows += [(100 + i, "rare line\nx", f"s{i % 9}") for i in range(30)] + [(200 + i, "only this", f"s{i}") for i in range(10)]
-    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=10).collect()}
     assert got[0]["text"] == "common line\n own 0\n" and got[1]["text"] == " own 1\n"
     assert got[100]["text"] == "rare line\nx" and got[200]["text"] == "only this" and got[201]["text"] == "" and got[201]["n_removed"] == 1
     same = line_dedup.dedup_lines(odd)
@@ -177,6 +177,7 @@ def test_quality_rules(odd, none):
         hit = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
         kept_lines = [x for x in (texts[0] or "").split("\n") if words(x)]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(hit), len(kept_lines) - len(set(kept_lines)))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in texts[0] or "")
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
     assert quality_rules.judge(none).collect() == []
 
@@ -282,13 +283,32 @@ def test_exact_top_k(spark):
     assert topk.top_k(table.limit(0), F.col("id") % 50 == 0).collect() == []
 
 
-def test_pruned_search_is_exact_and_prunes():
+def test_pruned_search_is_exact():
     rng = np.random.default_rng(1)
     x = np.floor(256 * rng.normal(0, 0.3, (4000, 3)))
     q, top = x[:5], float((x * x).sum(1).max())
     pivots = topk.fit_pivots(topk._lift(x, top))
     away, q_away = topk._distances(topk._lift(x, top), pivots), topk._distances(np.hstack([q, np.zeros((5, 1))]), pivots)
-    scores, _, done = topk.search_part(np.arange(5), q, np.full(5, -np.inf), np.arange(4000), x, away[:, 0], q_away[:, 0], top, 5)
+    scores, _, _ = topk.search_part(np.arange(5), q, np.full(5, -np.inf), np.arange(4000), x, away[:, 0], q_away[:, 0], top, 5)
     full = q @ x.T
     full[np.arange(5), np.arange(5)] = -np.inf
-    assert np.array_equal(scores, -np.sort(-full, axis=1)[:, :5]) and done <= full.size
+    assert np.array_equal(scores, -np.sort(-full, axis=1)[:, :5])
+
+
+def test_search_of_clustered_vectors_prunes():
+    """Cell by cell as the query does it: most scores are never computed, and none of the best is missed."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 1, (12, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.floor(256 * (centres[rng.integers(0, 12, 4000)] + rng.normal(0, 0.02, (4000, 8))))
+    ids, own, top = np.arange(4000), np.arange(0, 4000, 50), float((x * x).sum(1).max())
+    q, pivots = x[own], topk.fit_pivots(topk._lift(x[:2000], top))
+    away, q_away = topk._distances(topk._lift(x, top), pivots), topk._distances(np.hstack([q, np.zeros((80, 1))]), pivots)
+    sampled = q @ x[:2000].T
+    sampled[own[:, None] == ids[None, :2000]] = -np.inf
+    first, cell = np.partition(sampled, -5, axis=1)[:, -5], away.argmin(1)
+    parts = [topk.search_part(own, q, first, ids[cell == c], x[cell == c], away[cell == c, c], q_away[:, c], top, 5) for c in np.unique(cell)]
+    full = q @ x.T
+    full[np.arange(80), own] = -np.inf
+    assert np.array_equal(-np.sort(-np.hstack([p[0] for p in parts]), axis=1)[:, :5], -np.sort(-full, axis=1)[:, :5])
+    assert sum(p[2] for p in parts) < full.size / 4

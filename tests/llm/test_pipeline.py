@@ -1,18 +1,163 @@
-"""The stages on a small table with planted cases."""
+"""The stages on a small table, on odd rows and on empty tables, against brute force."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from brambleweft.llm import queries
+import pytest
+from brambleweft.llm import line_dedup, mixing, quality_cnn, queries
+from pyspark.sql import functions as F
+from test_brute_force import slow_score
+from test_operators import LONG, ODD, SCHEMA, brute_classes, words
+
+SMALL = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+COPIES = " ".join(f"copy{i}" for i in range(40))
+LINES = [(100 + i, f"own words of {i}\nseen on many sites\nmore of {i}", "en", f"site{i}", 9, None, i, i, i) for i in range(12)]
+NEAR = [(200 + i, COPIES + (f" tail{i}" if i else ""), "en", "a", 9, None, i, i, i) for i in range(4)]
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Odd rows, repeated rows, a very long text, columns of clashing names, lines of many sites, and near copies."""
+    return spark.createDataFrame([*ODD, *LINES, *NEAR, ODD[5]], SCHEMA).withColumn("score", F.lit(7)).withColumn("row_", F.lit("x"))
+
+
+def as_counter(rows):
+    return Counter(map(str, rows))
 
 
 def test_stages_keep_columns(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
+        out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
-    assert corpus_pipeline.STAGES[2][1](spark, docs.unionByName(docs), sf).count() == corpus_pipeline.STAGES[2][1](spark, docs, sf).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+    assert corpus_pipeline.STAGES[2][1](spark, docs.unionByName(docs), SMALL).count() == corpus_pipeline.STAGES[2][1](spark, docs, SMALL).count()
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_every_stage_takes_odd_rows_and_empty_tables(spark, planted, name):
+    stage = STAGES[name]
+    assert stage(spark, planted.limit(0), SMALL).collect() == []
+    out = stage(spark, planted, SMALL)
+    if name != "encode":
+        assert out.columns == planted.columns
+        whole = as_counter(planted.drop("text", "n_chars").collect())
+        left = as_counter(out.drop("text", "n_chars").collect())
+        assert set(left) <= set(whole) and (name == "mix" or not left - whole)
+    else:
+        assert out.count() == planted.count()
+
+
+def test_quality_keeps_what_the_slow_network_keeps(spark, planted):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality_cnn.learn(planted, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    score = lambda t: model if isinstance(model, float) else slow_score(model, (t or "").encode())
+    want = Counter((r["doc_id"], r["text"]) for r in planted.where("text is null or length(text) < 3000").collect() if score(r["text"]) >= 0.3)
+    got = STAGES["quality"](spark, planted, SMALL).where("text is null or length(text) < 3000").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want
+
+
+def test_lines_of_many_sites_go(spark, planted):
+    sites = defaultdict(set)
+    places = defaultdict(list)
+    for r in planted.collect():
+        for pos, line in enumerate((r["text"] or "").split("\n")):
+            if words(line):
+                sites[line.strip(" \t\n\x0b\x0c\r")].add(r["source"])
+                places[line.strip(" \t\n\x0b\x0c\r")].append((r["doc_id"] is not None, r["doc_id"], pos))
+    common = {x for x, s in sites.items() if len(s - {None}) >= line_dedup.MIN_SITES}
+    assert common == {"seen on many sites"}
+    got = {r["doc_id"]: r["text"] for r in STAGES["lines"](spark, planted, SMALL).collect() if (r["doc_id"] or 0) >= 100}
+    assert got[100] == LINES[0][1] and all(got[100 + i] == f"own words of {i}\nmore of {i}" for i in range(1, 12))
+    assert got[200] == COPIES
+
+
+def test_one_of_each_class_of_near_copies_stays(spark, planted):
+    rows = [(r["doc_id"], r["text"]) for r in planted.collect()]
+    classes = brute_classes(rows, 5, 80, 100)
+    want = {c for (i, n, c) in classes if n and c is not None}
+    got = STAGES["near_duplicates"](spark, planted, SMALL).collect()
+    assert Counter(r["doc_id"] for r in got if words(r["text"]) and r["doc_id"] is not None) == Counter(want)
+    assert 200 in want and not want & {201, 202, 203}
+    # Texts without words and rows without an id stay.
+    assert sum(not words(r["text"]) for r in got) == sum(not words(t) for _, t in rows)
+
+
+def slow_targets(sizes, weights=(1, 2, 3), most=3):
+    """Water filling: share the rest by weight, stop who is full, again until nobody is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, full, left = {}, set(), float(sum(sizes.values()))
+    while True:
+        rest = [s for s in order if s not in full]
+        level = left / sum(weight[s] for s in rest) if rest else 0
+        over = [s for s in rest if weight[s] * level > most * sizes[s]]
+        if not over:
+            return target | {s: weight[s] * level for s in rest}
+        for s in over:
+            target[s] = most * sizes[s]
+            left -= target[s]
+            full.add(s)
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_mix_comes_near_its_targets(spark, folder):
+    got = queries.op2_mix_sources(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()
+    source = {r["doc_id"]: r["source"] for r in docs}
+    size, taken, largest = Counter(), Counter(), Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+    want = slow_targets(size)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == size[s] and r["target"] == pytest.approx(want[s])
+    for s in size:
+        # Whole documents: off by a few of the largest at most.
+        assert abs(taken[s] - want[s]) <= 3 * largest[s] + 1e-6
+
+
+def test_mixed_rows_are_those_of_the_query(spark, planted):
+    drawn = mixing.systematic_copies(planted, "doc_id", "source", corpus_pipeline.word_count(F.col("text"))).collect()
+    want = Counter()
+    for r in drawn:
+        want[str(r["row"])] += r["copies"]
+    assert as_counter(STAGES["mix"](spark, planted, SMALL).collect()) == +want
+    again = mixing.systematic_copies(planted.orderBy(F.desc("doc_id")), "doc_id", "source", corpus_pipeline.word_count(F.col("text"))).collect()
+    assert Counter((str(r["row"]), r["copies"]) for r in drawn) == Counter((str(r["row"]), r["copies"]) for r in again)
+
+
+def test_encode_gives_one_row_per_document(spark, planted):
+    got = STAGES["encode"](spark, planted, SMALL).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in planted.collect())
+    assert all(len(r["ids"]) == r["n_tokens"] for r in got) and any(r["n_tokens"] > len(LONG) / 5 for r in got)
+
+
+def test_stages_one_after_the_other(spark):
+    """run() gives what the stages give when each takes what the one before kept."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, SMALL)
+        docs = spark.createDataFrame(rows.collect(), rows.schema)
+    assert as_counter(docs.collect()) == as_counter(corpus_pipeline.run(spark, SMALL).collect())
 
 
 def test_every_operator_is_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+
+
+def test_held_out_rows_teach_nothing(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+    held = [r["doc_id"] for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert held
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    turned = spark.read.parquet(f"{SMALL}/labels.parquet").withColumn("quality", F.when(F.col("doc_id").isin(held), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({r["doc_id"]: r["score"] for r in quality_cnn.classify(docs, x).collect()} for x in (spark.read.parquet(f"{SMALL}/labels.parquet"), turned))
+    assert all(math.isclose(one[i], two[i], abs_tol=1e-6) for i in one)
