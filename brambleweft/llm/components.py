@@ -8,32 +8,44 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Add the least of a node and its neighbours (``m``) to (u, v) rows.
+def _downward(pairs: DataFrame) -> DataFrame:
+    """Distinct (u, v) with u > v, without loops."""
+    return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    Aggregation shrinks hot nodes before the shuffle; the join's other side has
-    one row per node, so adaptive execution can split a hot node's rows.
-    """
-    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return pairs.join(least, "u")
 
+def _parents(edges: DataFrame) -> DataFrame:
+    """The least smaller neighbour of every node that has one."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _both(pairs: DataFrame, *sides: tuple[str, str]) -> DataFrame:
+    """(u, v) rows of several pairs of columns; one pass, where a union would read its input twice."""
+    return pairs.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in sides])).alias("x")).select("x.u", "x.v")
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v): the smallest node it reaches.
 
-    Each round is written to the checkpoint folder, so a lost executor costs
-    one round at most. The number of rounds grows with the logarithm of the
-    longest path.
+def _is_done(edges: DataFrame) -> bool:
+    """True if every node has one parent and no parent has another."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("child")), F.struct(F.col("v").alias("x"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+    roles = ends.groupBy("x").agg(F.sum("child").alias("parents"), F.min("child").alias("least"))
+    return roles.where("parents > 1 or (parents > 0 and least = 0)").isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (u, v) that has another: the smallest node it reaches.
+
+    Edges point from the larger to the smaller end. A round moves every edge
+    from its end to that node's parent (large star), then all smaller
+    neighbours of a node to the least of them (small star). Rows of a node that
+    has many are aggregated before they are shuffled, or joined with one row,
+    so that adaptive execution can split them. Each round is written to the
+    checkpoint folder, so a lost executor costs one round at most; the number
+    of rounds grows with the logarithm of the longest path.
     """
-    edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(state) == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = tuple(state)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _least(large)
-        edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = checkpoint(edges)
+    edges = checkpoint(_downward(links))
+    while not _is_done(edges):
+        up = _parents(edges).select(F.col("u").alias("at"), "m")
+        large = edges.join(up, edges["v"] == up["at"], "left").select("u", F.least("v", "m").alias("v"))
+        small = large.join(_parents(large), "u").select("u", "v", "m")
+        edges = checkpoint(_downward(_both(small, ("u", "m"), ("v", "m"))))
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
