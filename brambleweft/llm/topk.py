@@ -15,8 +15,9 @@ rounding, so the results are exact.
 Pivots are fitted on at most ``SAMPLE`` vectors; all vectors are indexed. Cells
 are split into parts of about ``PART`` vectors and queries into blocks of about
 ``QUERIES``, so a task's memory is bounded whatever a cell or a common vector
-holds. Blocks hold queries of one nearest pivot, and a part is sent only to the
-blocks of which some query's bound reaches its cell. What is left is the stated
+holds. Blocks hold queries of the same nearest pivot, or of a few pivots with
+few queries, and a part is sent only to the blocks of which some query's bound
+reaches its cell. What is left is the stated
 work: a query set that grows with the table against all rows.
 
 Defined results: vectors that are null or hold null or non-finite components,
@@ -170,16 +171,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     asking = vectors.where(is_query).dropDuplicates().mapInArrow(asked, "id long, v array<double>, first double, away array<double>")
     pivot = F.array_position("away", F.array_min("away")).cast("int")
     queries = asking.withColumn("pivot", pivot)
-    # One row per pivot.
-    asked_of = {r["pivot"]: -(-r["n"] // QUERIES) for r in queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.element_at(F.create_map(*[F.lit(x) for kv in asked_of.items() for x in kv]), F.col("pivot"))
+    # One row per pivot. A pivot of many queries has blocks of its own, others share one.
+    first_block, shared, made = {}, QUERIES, 0
+    for r in queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).orderBy("pivot").collect():
+        if r["n"] >= QUERIES:
+            first_block[r["pivot"]] = (made, -(-r["n"] // QUERIES))
+            made += first_block[r["pivot"]][1]
+        else:
+            if shared + r["n"] > QUERIES:
+                open_block, shared, made = made, 0, made + 1
+            first_block[r["pivot"]] = (open_block, 1)
+            shared += r["n"]
+    of_pivot = F.element_at(F.create_map(*[x for p, (b, k) in first_block.items() for x in (F.lit(p), F.struct(F.lit(b).alias("block"), F.lit(k).alias("n")))]), F.col("pivot"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     spots = []
     for c in cells:
         gap = F.greatest(F.col("away")[c["cell"]] - c["high"], F.lit(c["low"]) - F.col("away")[c["cell"]], F.lit(0.0))
         reach = (F.col("square") + top - gap * gap) / 2 + 1e-6 * (F.col("square") + top + 1) >= F.col("first")
         spots.append(F.when(reach, F.struct(F.lit(c["cell"]).alias("cell"), F.col("away")[c["cell"]].alias("q_away"))))
-    block = (F.col("pivot") + F.lit(PIVOTS + 1) * F.pmod(F.xxhash64("id", "v"), blocks)).cast("long").alias("block")
+    block = (of_pivot["block"] + F.pmod(F.xxhash64("id", "v"), of_pivot["n"])).cast("long").alias("block")
     met = queries.withColumn("square", square).select("id", "v", "first", block, F.explode(F.array_compact(F.array(*spots))).alias("spot")).select("id", "v", "first", "block", "spot.*")
     sent = met.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     reached = sent.select(*[F.col(c).alias(c) for c in ("cell", "part", "block")]).distinct()
