@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, quality_cnn, quality_rules, sharding, shingle_join, topk, url_filter
+from . import bpe, fill_middle, langid, lexical, line_dedup, mixing, piece_bpe, quality_cnn, quality_rules, sharding, shingle_join, topk, url_filter
 from .common import table, word_count
 
 
@@ -59,6 +59,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size, digest = lambda c: F.length(c).cast("long"), lambda c: F.sha2(c, 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n", "form", size("prefix").alias("prefix_chars"), size("middle").alias("middle_chars"), digest("output").alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +85,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_shard_keys": op9_shard_keys,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -173,4 +191,32 @@ r AS (WITH RECURSIVE r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.v, s.doc_id)) AS component_id FROM s LEFT JOIN r ON r.u = s.doc_id
 """
 
-ORACLE_SQL = {"op5_ngram_jaccard_join": OP5, "op10_exact_top_k": OP10, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}
+_TERMS = r"list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS.replace("list_distinct", "")} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, greatest(1, sum(len(t)))::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+      FROM (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, rid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL = {"op11_lexical_search": OP11, "op13_fill_middle": OP13, "op5_ngram_jaccard_join": OP5, "op10_exact_top_k": OP10, "op2_mix_sources": OP2, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op9_shard_keys": OP9}
