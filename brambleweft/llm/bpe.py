@@ -14,8 +14,9 @@ before they are read as UTF-8, and ``pieces`` carries an unfinished character
 over to the next token.
 
 The vocabulary files are read on the driver and broadcast (a few MB, fixed by
-the vocabulary). Workers encode slices of about ``SLICE`` bytes, so memory is
-bounded by one text and not by the batch.
+the vocabulary). Workers encode about ``SLICE`` characters at a time and walk
+the matches of a longer text in runs of ``RUN``, so they hold the matches of a
+run, and of a whole text no more than its ids, four bytes each.
 
 Defined results: a null text is encoded as the empty text (no ids); texts of
 any length are encoded whole; the strings of special tokens are ordinary text;
@@ -31,8 +32,8 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-SLICE, REMEMBERED = 1 << 18, 1 << 23
+SLICE, RUN, REMEMBERED = 1 << 18, 1 << 15, 1 << 23
+
+UNCOVERED = "the matches of a text do not cover it"
 
 
 def default_paths() -> tuple[str, str]:
@@ -64,19 +67,15 @@ def byte_table() -> dict[str, int]:
 
 
 class Encoded:
-    """Ids of some texts, one after the other; ``bounds`` has each text's end, ``splits`` how often a token of it ends inside a character."""
+    """Ids of some texts, one after the other; ``bounds`` has each text's end, ``chars`` its length, ``splits`` how often a token of it ends inside a character."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray, splits: np.ndarray, spans) -> None:
-        self.ids, self.bounds, self.splits, self._spans = ids, bounds, splits, spans
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, chars: np.ndarray, splits: np.ndarray, spans) -> None:
+        self.ids, self.bounds, self.chars, self.splits, self._spans = ids, bounds, chars, splits, spans
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the characters of every token start and end in its text."""
         return self._spans()
 
-    def lists(self, flat: np.ndarray) -> pa.ListArray:
-        """One list per text, as an Arrow column."""
-        return pa.ListArray.from_arrays(pa.array(np.append(0, self.bounds), pa.int32()), pa.array(flat, pa.int32()))
-
 
 class Rows:
     """Rows of whole numbers that grow by columns, with room for more."""
@@ -104,7 +103,8 @@ class Codec:
         self.tokenizer.encode_special_tokens = True
         # The pattern has cut the text already: what the library gets is one match each.
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-        self.matches = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.matches, self.each_match = compiled.findall, compiled.finditer
         self.from_bytes = {ord(c): chr(b) for c, b in byte_table().items()}
         by_rank = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, ranks.splitlines())}
         # What every token's stand-in characters mean, by the byte table reversed.
@@ -137,9 +137,24 @@ class Codec:
         self._tokens.add(np.fromiter(chain.from_iterable(e.ids for e in done), np.int32), *spans)
         self.held += sum(lengths)
 
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The matches of a text; of a long one, so many at a time."""
+        if len(text) <= SLICE:
+            yield self.matches(text)
+            return
+        left = self.each_match(text)
+        while run := [m.group() for m in islice(left, RUN)]:
+            yield run
+
     def encode(self, texts: list[str]) -> Encoded:
         """Ids of all texts, and what gives their spans."""
-        found = [self.matches(t) for t in texts]
+        done = self.encode_matches([self.matches(t) for t in texts])
+        if not np.array_equal(done.chars, [len(t) for t in texts]):
+            raise ValueError(UNCOVERED)
+        return done
+
+    def encode_matches(self, found: list[list[str]]) -> Encoded:
+        """Ids of texts that are given by their matches."""
         flat = list(chain.from_iterable(found))
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int32, len(flat))
         missing = np.flatnonzero(at < 0)
@@ -150,8 +165,6 @@ class Codec:
         last = np.cumsum([len(f) for f in found])
         first, n, length, splits = self._matches.data[:, at]
         sums = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[np.append(0, last)])
-        if not np.array_equal(sums(length), [len(t) for t in texts]):
-            raise ValueError("the matches of a text do not cover it")
         upto = np.append(0, np.cumsum(n))
         place = np.repeat(first - upto[:-1], n) + np.arange(upto[-1])
         tokens = self._tokens.data
@@ -162,7 +175,7 @@ class Codec:
             shift = np.repeat(before - np.repeat(begin, np.diff(last, prepend=0)), n)
             return shift + tokens[1, place], shift + tokens[2, place]
 
-        out = Encoded(tokens[0, place], upto[last], sums(splits), spans)
+        out = Encoded(tokens[0, place], upto[last], sums(length), sums(splits), spans)
         if self.held > REMEMBERED:
             self._forget()
         return out
@@ -183,9 +196,9 @@ class Codec:
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         return [decoder.decode(self.meant[i], final=k + 1 == len(ids)) for k, i in enumerate(ids)]
 
-    def digests(self, ids: list[int]) -> tuple[str, str]:
-        listed = " ".join(map(self.decimal.__getitem__, ids))
-        return hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def spelled(self, ids: list[int]) -> tuple[str, bytes]:
+        """The ids in decimal, and the bytes they stand for."""
+        return " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
 
 
 _codecs: dict[str, Codec] = {}
@@ -212,6 +225,57 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+LISTS = {"ids", "starts", "ends"}
+
+
+class _Summed:
+    """What is known of one text as its runs come in."""
+
+    def __init__(self) -> None:
+        self.n = self.chars = self.splits = 0
+        self.listed, self.decoded = hashlib.sha256(), hashlib.sha256()
+        self.lists: dict[str, list[np.ndarray]] = {name: [] for name in LISTS}
+
+
+def _summed(codec: Codec, texts: list[bytes], columns: Iterable[str]) -> list[_Summed]:
+    """Encode the texts about ``SLICE`` characters at a time; only what ``columns`` name is kept or hashed."""
+    sums = [_Summed() for _ in texts]
+
+    def flush(owners: list[int], found: list[list[str]]) -> None:
+        done = codec.encode_matches(found)
+        spans = done.spans() if "starts" in columns else None
+        start = 0
+        for i, end, chars, splits in zip(owners, done.bounds.tolist(), done.chars.tolist(), done.splits.tolist(), strict=True):
+            s, ids = sums[i], done.ids[start:end]
+            if "ids_sha256" in columns and end > start:
+                listed, decoded = codec.spelled(ids.tolist())
+                s.listed.update(f" {listed}".encode() if s.n else listed.encode())
+                s.decoded.update(decoded)
+            if "ids" in columns:
+                s.lists["ids"].append(ids)
+            if spans:
+                for name, flat in zip(("starts", "ends"), spans, strict=True):
+                    s.lists[name].append((flat[start:end] + s.chars).astype(np.int32))
+            s.n, s.chars, s.splits, start = s.n + end - start, s.chars + chars, s.splits + splits, end
+
+    owners, found, size = [], [], 0
+    for i, raw in enumerate(texts):
+        text, upto = raw.decode(), 0
+        for run in codec.runs(text):
+            owners.append(i)
+            found.append(run)
+            chars = sum(map(len, run))
+            upto, size = upto + chars, size + chars
+            if size >= SLICE:
+                flush(owners, found)
+                owners, found, size = [], [], 0
+        if upto != len(text):
+            raise ValueError(UNCOVERED)
+    if owners:
+        flush(owners, found)
+    return sums
+
+
 def _encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str] | None, columns: dict[str, str]) -> DataFrame:
     """(doc_id, n_tokens) and the named columns of every row."""
     codec, slim = _on_workers(docs, paths), _slim(docs, id_col, text_col)
@@ -220,17 +284,15 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch.column("text"), SLICE):
-                done = codec().encode([t.decode() for t in texts])
-                made = {"doc_id": batch.column("doc_id")[part], "n_tokens": pa.array(np.diff(done.bounds, prepend=0), pa.int64())}
+                sums = _summed(codec(), texts, columns)
+                made = {"doc_id": batch.column("doc_id")[part], "n_tokens": pa.array([s.n for s in sums], pa.int64())}
                 if "ids_sha256" in columns:
-                    ids = done.ids.tolist()
-                    hashed = [codec().digests(ids[a:b]) for a, b in zip([0, *done.bounds[:-1].tolist()], done.bounds.tolist(), strict=True)]
-                    made |= {"ids_sha256": pa.array([h[0] for h in hashed]), "decoded_sha256": pa.array([h[1] for h in hashed])}
-                made |= {"n_split": pa.array(done.splits, pa.int64())}
-                if "ids" in columns:
-                    made["ids"] = done.lists(done.ids)
-                if "starts" in columns:
-                    made["starts"], made["ends"] = map(done.lists, done.spans())
+                    made |= {"ids_sha256": pa.array([s.listed.hexdigest() for s in sums]), "decoded_sha256": pa.array([s.decoded.hexdigest() for s in sums])}
+                made |= {"n_split": pa.array([s.splits for s in sums], pa.int64())}
+                ends = pa.array(np.cumsum([0, *(s.n for s in sums)]), pa.int32())
+                for name in LISTS & set(columns):
+                    flat = np.concatenate([np.zeros(0, np.int32), *(a for s in sums for a in s.lists[name])])
+                    made[name] = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))
                 yield pa.record_batch([made[c] for c in names], names=names)
 
     names = ["doc_id", "n_tokens", *columns]
