@@ -9,7 +9,8 @@ length 1. A document gets the language whose prototype has the largest cosine.
 Prototypes are learned from a bounded sample: about ``SAMPLE`` documents of
 each language, chosen by hash, so the result does not depend on order or
 partitions. Counting 3-grams once per document turns binding and bundling into
-one matrix product per block of documents; workers hold a block at a time.
+one matrix product per block of documents; workers hold a block at a time, and
+of a long text a piece, since counts of pieces add up.
 
 Defined results: ``und`` and score 0 for null texts, texts without a letter,
 and where nothing could be learned; a tie goes to the language that sorts
@@ -37,6 +38,8 @@ SAMPLE = 3000
 #: Letter classes: 0 is the edge of a word, 1 to 26 are a to z, the rest share 37.
 CLASSES = 64
 BLOCK_TEXTS, BLOCK_CHARS = 256, 1 << 20
+#: Longer texts are counted by pieces.
+PIECE = 1 << 19
 #: Counters (texts x distinct 3-grams) that are held at once.
 MOST_COUNTS = 1 << 22
 
@@ -65,8 +68,14 @@ def _vectors() -> tuple[np.ndarray, np.ndarray]:
     return _made["pairs"], _made["last"]
 
 
-def profiles(texts: list[str | None]) -> np.ndarray:
-    """One hypervector of length 1 per text; zeros if it has no letter."""
+def _grams(classes: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """The numbers of the 3-grams around the letters at ``middle``."""
+    c = classes.astype(np.int32)
+    return c[middle - 1] << 12 | c[middle] << 6 | c[middle + 1]
+
+
+def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 3-grams that the texts use, and how often each text does."""
     table, n = _letters(), len(texts)
     parts = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     lengths = np.array([len(p) + 2 for p in parts])
@@ -76,14 +85,38 @@ def profiles(texts: list[str | None]) -> np.ndarray:
         classes[s + 1 : s + 1 + len(p)] = table[p]
     owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     middle = np.flatnonzero(classes)
-    c = classes.astype(np.int32)
-    grams = c[middle - 1] << 12 | c[middle] << 6 | c[middle + 1]
+    grams = _grams(classes, middle)
     used = np.flatnonzero(np.bincount(grams, minlength=CLASSES**3))
     if n > 1 and n * len(used) > MOST_COUNTS:
-        return np.concatenate([profiles(texts[: n // 2]), profiles(texts[n // 2 :])])
+        return used, np.zeros((0, 0), np.int64)
     place = np.zeros(CLASSES**3, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    counts = np.bincount(owner[middle].astype(np.int64) * len(used) + place[grams], minlength=n * len(used)).reshape(n, len(used))
+    return used, np.bincount(owner[middle].astype(np.int64) * len(used) + place[grams], minlength=n * len(used)).reshape(n, len(used))
+
+
+def _counts_by_pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``_counts`` of one text: counts of pieces add up, each read with the letter before and after it."""
+    total = np.zeros(CLASSES**3, np.int64)
+    for start in range(0, len(text), PIECE):
+        piece = text[max(0, start - 1) : start + PIECE + 1]
+        classes = _letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        before, after = [] if start else [0], [] if start + PIECE < len(text) else [0]
+        classes = np.concatenate([np.array(before, np.uint8), classes, np.array(after, np.uint8)])
+        total += np.bincount(_grams(classes, 1 + np.flatnonzero(classes[1:-1])), minlength=CLASSES**3)
+    used = np.flatnonzero(total)
+    return used, total[used][None, :]
+
+
+def profiles(texts: list[str | None]) -> np.ndarray:
+    """One hypervector of length 1 per text; zeros if it has no letter."""
+    n = len(texts)
+    long = next((i for i, t in enumerate(texts) if len(t or "") > PIECE), None)
+    if long is not None and n > 1:
+        parts = [texts[:long], texts[long : long + 1], texts[long + 1 :]]
+        return np.concatenate([profiles(p) for p in parts if p])
+    used, counts = _counts(texts) if long is None else _counts_by_pieces(texts[0])
+    if not len(counts):
+        return np.concatenate([profiles(texts[: n // 2]), profiles(texts[n // 2 :])])
     weights = np.log1p(counts.astype(np.float32))
     pairs, last = _vectors()
     out = np.zeros((n, DIMENSIONS), np.float32)
