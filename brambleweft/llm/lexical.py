@@ -25,8 +25,8 @@ A block holds about ``POSTINGS`` postings and a bucket of items about
 either table; a block meets every bucket, which is the work asked for. Joins by
 term are dealt by block as well, since a term may be in all blocks.
 
-Defined results: null texts, texts without a term and items without a term of
-the corpus have no rows; rows of one item are one item; rows with one document
+Defined results: null texts, texts without a term, items without an id and items
+without a term of the corpus have no rows; rows of one item are one item; rows with one document
 id are documents of their own; a null document id comes last among equal
 scores; texts are read whole in runs; empty tables give an empty result. Only
 the named columns are read, so extra columns cannot clash.
@@ -156,7 +156,7 @@ def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, term): the distinct terms of every item."""
     low = F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return items.select(F.col(id_col).alias("item_id"), F.explode(F.regexp_extract_all(low, F.lit(f"({TERM})"))).alias("term")).distinct()
+    return items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.explode(F.regexp_extract_all(low, F.lit(f"({TERM})"))).alias("term")).distinct()
 
 
 def _bounds(rows: pa.Table, k: int) -> pa.Table:
