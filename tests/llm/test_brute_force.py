@@ -207,37 +207,46 @@ def slow_split(name, counts, total):
     return list(best(len(name))[1])
 
 
-def slow_judge(urls, rules):
+def slow_judge(urls, rules, seeds=url_filter.SEEDS):
     parts = []
     for u in urls:
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         parts.append((re.sub("[A-Z]", lambda m: m[0].lower(), host), path))
-    counts, shared, n_shared = Counter(), defaultdict(set), Counter()
+    counts, shared, n_shared, names = Counter(), defaultdict(set), Counter(), set()
     for host, path in parts:
         for label in re.sub(":.*", "", host).split("."):
             if "-" in label:
-                counts.update(w for w in re.split(r"[^a-zà-ÿ]+", label) if w and len(w) <= url_filter.LONGEST)
+                counts.update(w for w in re.split(r"[^a-zà-ÿ]+", label) if w)
             else:
                 shared[label].add(host)
                 n_shared[label] += 1
-        counts.update(w for w in re.split(r"[^a-zà-ÿ]+", path.lower()) if w and len(w) <= url_filter.LONGEST)
+            names.update(re.findall(r"[^\W\d_]+", label))
+        counts.update(w for w in re.split(r"[^a-zà-ÿ]+", path.lower()) if w)
     for label, hosts in shared.items():
-        if label and len(hosts) >= 3 and len(label) <= url_filter.LONGEST:
+        if label and len(hosts) >= url_filter.COMMON:
             counts[label] += n_shared[label]
-    seen, total = sum(counts.values()), 0
-    for w in url_filter.SEEDS:
-        counts[w] = max(counts[w], max(1, seen // 10_000))
-    total = sum(counts.values()) + 1
+    runs = Counter(r for n in names for r in {n[i:j] for i in range(len(n)) for j in range(i + 2, min(len(n), i + url_filter.LONGEST_RUN) + 1)})
+    counts.update({r: n for r, n in runs.items() if n >= url_filter.COMMON})
+    for _ in range(2):
+        counts = Counter({w: n for w, n in counts.items() if len(w) <= url_filter.LONGEST})
+        total = sum(counts.values()) + 1
+        split = {n: slow_split(n, counts, total) for n in names}
+        if _ == 0:
+            counts = Counter(w for words in split.values() for w in words)
+    found = [[w for label in host.split(":")[0].split(".") for run in re.findall(r"[^\W\d_]+|\d+", label) for w in (["<digits>"] if run[0].isdigit() else split[run])] for host, _ in parts]
+    words = {host: [w for w in t if w != "<digits>"] for (host, _), t in zip(parts, found, strict=True)}
+    words = {h: w for h, w in words.items() if w}
+    spread = Counter(w for ws in words.values() for w in set(ws))
+    share = {h: 100 * sum(len(w) for w in ws if spread[w] <= url_filter.FEW) // sum(map(len, ws)) for h, ws in words.items()}
+    ordered = sorted(share.values())
+    q1, q3 = (ordered[-(-q * len(ordered) // 4) - 1] for q in (1, 3))
     tokens = []
-    for host, path in parts:
-        out = []
-        for label in host.split(":")[0].split("."):
-            for run in re.findall(r"[^\W\d_]+|\d+", label):
-                out += ["<digits>"] if run[0].isdigit() else slow_split(run, counts, total)
-        tokens.append(out + ["/<digits>" if r[0].isdigit() else "/" + r for r in re.findall(r"[^\W\d_]+|\d+", path.lower())])
-    block = [900 if set(t) & set(url_filter.SEEDS) else 10 for t in tokens]
+    for (host, path), t in zip(parts, found, strict=True):
+        shape = [f"<rare:{share[host] // 10}>", f"<words:{len(words[host])}>"] if host in words else []
+        tokens.append(t + ["/<digits>" if r[0].isdigit() else "/" + r for r in re.findall(r"[^\W\d_]+|\d+", path.lower())] + shape)
+    block = [900 if set(t) & set(seeds) else 300 if set(t) & {f"/{w}" for w in seeds} else 100 if share.get(h, 0) > q3 + 1.5 * (q3 - q1) else 10 for t, (h, _) in zip(tokens, parts, strict=True)]
     for _ in range(url_filter.ROUNDS + 1):
         b, a = Counter(), Counter()
         for t, r in zip(tokens, block, strict=True):
@@ -245,7 +254,7 @@ def slow_judge(urls, rules):
                 b[w] += r / 1000
                 a[w] += 1 - r / 1000
         kinds = len(set(b)) + 1
-        odds = {w: math.log((b[w] + 1) / (sum(b.values()) + kinds)) - math.log((a[w] + 1) / (sum(a.values()) + kinds)) + (math.log(url_filter.SEED_ODDS) if w in url_filter.SEEDS else 0) for w in b}
+        odds = {w: math.log((b[w] + 1) / (sum(b.values()) + kinds)) - math.log((a[w] + 1) / (sum(a.values()) + kinds)) for w in b}
         r = sum(block) / 1000
         prior = math.log((r + 1) / (len(urls) - r + 1))
         score = [prior + sum(odds[w] for w in t) for t in tokens]
@@ -258,10 +267,14 @@ def slow_judge(urls, rules):
     return out
 
 
-def test_url_verdicts_of_a_whole_table(spark):
-    pages = spark.read.parquet(f"{LARGE}/pages.parquet").select("page_id", "url").collect()
-    want = dict(zip([r["page_id"] for r in pages], slow_judge([r["url"] for r in pages], queries.URL_RULES), strict=True))
-    got = {r["page_id"]: r for r in queries.op7_url_filter(spark, LARGE).collect()}
+@pytest.mark.parametrize("seeds", [url_filter.SEEDS, ()])
+def test_url_verdicts_of_a_whole_table(spark, seeds):
+    """With the word list and without it."""
+    pages = spark.read.parquet(f"{LARGE}/pages.parquet").select("page_id", "url")
+    rows = pages.collect()
+    want = dict(zip([r["page_id"] for r in rows], slow_judge([r["url"] for r in rows], queries.URL_RULES, seeds), strict=True))
+    found = queries.op7_url_filter(spark, LARGE) if seeds else url_filter.judge(pages, queries.URL_RULES, seeds=seeds)
+    got = {r["page_id"]: r for r in found.collect()}
     assert set(got) == set(want)
     for i, (host, path, rule, verdict, score) in want.items():
         assert tuple(got[i])[1:5] == (host, path, rule, verdict)
@@ -269,6 +282,15 @@ def test_url_verdicts_of_a_whole_table(spark):
     assert len({v[3] for v in want.values() if v[2] is None}) == 2
 
 
+def test_words_of_few_hosts_speak_against_a_url_without_any_list(spark):
+    """Names made of the table's common words are left alone."""
+    stock = ("river", "stone", "green", "field", "north", "light", "water", "house")
+    urls = [f"http://{stock[i % 8]}{stock[(i // 8) % 8]}.example.org/{i}" for i in range(640)] + [f"http://qz{'abcdefgh'[i % 8] * 3}xk.example.org/{i}" for i in range(24)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(rows, {"x.org/": "block"}, seeds=()).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(640, 664))
+
+
 @pytest.mark.parametrize("name", ["cheappills", "thecheapcat", "catcat", "unknownword", "pillsx", "a"])
 def test_viterbi_against_all_ways_to_cut(name):
     counts = {"cheap": 5, "pills": 5, "the": 50, "cat": 9, "x": 1, "he": 2}
