@@ -18,7 +18,9 @@ An impact is the part of a score that depends on term and document: it is below
 ``10**6`` and a byte stands for ``UNIT`` of it. It needs the corpus' totals, so
 these are counted first (JVM only), then texts are read once more to make the
 index, which is written to the shared folder. Both levels are columns of one
-table, so each pass reads only its own.
+table, so each pass reads only its own. Lists of terms that no item has are left
+out where they are read, against a broadcast of the items' terms if these are no
+more than ``BROADCAST``, else by a join.
 
 A block holds about ``POSTINGS`` postings and a bucket of items about
 ``PAIRS`` (item, term) pairs, so a task's memory does not depend on the size of
@@ -55,6 +57,8 @@ _IN_TERMS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: How much of an impact one byte stands for.
 UNIT = 4096
 POSTINGS, PAIRS, RUN, SALTS = 1 << 19, 1 << 14, 1 << 20, 16
+#: (item, term) pairs that are broadcast, some 10 MB.
+BROADCAST = 1 << 17
 
 
 def term_count(text: Column) -> Column:
@@ -209,19 +213,25 @@ def search(spark: SparkSession, folder: str, corpus: tuple[int, int], items: Dat
     """(item_id, rank, doc_id, score) of the k best documents of every item, from an index in ``folder``."""
     n_docs, n_terms = corpus
     index = spark.read.parquet(folder)
-    lists = index.where("term is not null")
     wanted = checkpoint(item_terms(items, id_col, text_col))
+    n_pairs = wanted.count()
+    few = F.broadcast if n_pairs <= BROADCAST else lambda frame: frame
+    lists = index.where("term is not null").join(few(wanted.select("term").distinct()), "term", "left_semi")
     kind = wanted.schema["item_id"].dataType.simpleString()
-    df = lists.select("term", F.size("at").alias("df")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = lists.groupBy("term").agg(F.sum(F.size("at")).alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("df") + 1)))
     weighted = checkpoint(wanted.join(df.select("term", weight.alias("w")), "term").where("w > 0"))
 
     # 1: bounds, per block of documents and bucket of items.
-    buckets = max(1, -(-weighted.count() // pairs))
+    buckets = max(1, -(-n_pairs // pairs))
     dealt = weighted.groupBy("term", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
-    salted = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")
-    met = lists.select("block", "term", "at", "bound", salt.alias("salt")).join(salted, ["term", "salt"]).select("block", "bucket", "at", "bound", "items")
+    level = lists.select("block", "term", "at", "bound")
+    if few is F.broadcast:
+        met = level.join(few(dealt), "term")
+    else:
+        salt = F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")
+        met = level.withColumn("salt", salt).join(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    met = met.select("block", "bucket", "at", "bound", "items")
     bounded = met.groupBy("block", "bucket").applyInArrow(lambda rows: _bounds(rows, k), f"block long, item_id {kind}, at array<int>, upper array<long>, lower array<long>")
     bounded = checkpoint(bounded)
 
@@ -231,7 +241,7 @@ def search(spark: SparkSession, folder: str, corpus: tuple[int, int], items: Dat
     lowest = lowest.groupBy("item_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).otherwise(0).alias("least"))
     reaching = F.filter(F.arrays_zip("at", "upper"), lambda x: x["upper"] >= F.col("least"))
     left = bounded.join(lowest, "item_id").select("block", "item_id", reaching.alias("x")).where(F.size("x") > 0).select("block", "item_id", F.col("x.at").alias("found"))
-    parts = left.join(weighted, "item_id").join(lists.select("block", "term", "at", "tf"), ["block", "term"])
+    parts = left.join(few(weighted), "item_id").join(lists.select("block", "term", "at", "tf"), ["block", "term"])
     hits = parts.select("block", "item_id", "w", "found", "at", "tf").mapInArrow(_held, f"block long, item_id {kind}, w long, at int, tf long")
     documents = index.where("term is null").select("block", F.posexplode(F.arrays_zip("ids", "n")).alias("at", "x")).select("block", "at", F.col("x.ids").alias("doc_id"), "x.n")
     part = F.expr(f"w * ((1000000000 * tf) div (1000 * tf + 20 * (50 + (50 * n * {n_docs}L) div {max(1, n_terms)}L)))")

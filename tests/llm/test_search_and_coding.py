@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import uuid
 from collections import Counter
 
 import pytest
@@ -88,7 +89,7 @@ def test_search_in_small_blocks_and_buckets(spark, monkeypatch):
     items = spark.createDataFrame(asked, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(lexical, "RUN", 7)
-    folder = f"{lexical.shared_folder(spark)}/small-blocks-{r.random()}"
+    folder = f"{lexical.shared_folder(spark)}/small-blocks-{uuid.uuid4().hex}"
     corpus = lexical.build_index(frame, folder, postings=50)
     assert spark.read.parquet(folder).select("block").distinct().count() > 20
     got = lexical.search(spark, folder, corpus, items, 7, pairs=16)
@@ -108,7 +109,7 @@ def test_only_documents_near_the_best_are_scored_again(spark):
     """The first level leaves few candidates."""
     docs = spark.createDataFrame([(i, "common " * (1 + i % 7) + ("rare " * (i % 5) if i % 97 == 0 else "") + f"w{i}") for i in range(3000)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "common rare")], "item_id long, text string")
-    folder = f"{lexical.shared_folder(spark)}/candidates-{random.random()}"
+    folder = f"{lexical.shared_folder(spark)}/candidates-{uuid.uuid4().hex}"
     corpus = lexical.build_index(docs, folder, postings=2000)
     kept = []
     whole, lexical.checkpoint = lexical.checkpoint, lambda df: kept.append(whole(df)) or kept[-1]
