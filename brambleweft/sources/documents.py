@@ -1,16 +1,20 @@
 """Extractors over text columns: Markdown, Gherkin, API schemas, links, git logs.
 
-Line-oriented formats explode into numbered lines; fences are a running count
-and the current heading or scenario is the last one seen, by window functions
-per file.
+Line-oriented formats explode into numbered lines. What a line inherits from
+those before it (is it in a fence, under which heading, in which scenario) is a
+scan in blocks of lines, see ``operators.scans``, so a file of any length is
+spread over tasks.
+
+Defined results: a null text has no lines; carriage returns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug
+from ..operators import scans
 
 
 def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -20,57 +24,120 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     return each.select("path", (F.col("line") + 1).alias("line"), "text")
 
 
-def _upto() -> Window:
-    return Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def local_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, href) of links that are neither anchors nor absolute."""
     hrefs = pages.select(key, F.explode(F.regexp_extract_all("text", F.lit('href="([^"]+)"'), 1)).alias("href"))
     return hrefs.where(~F.col("href").rlike("^(#|https?:|mailto:)"))
 
 
+#: A fence of more marks counts as one of so many.
+LONGEST_FENCE = 32
+#: Added to the state of a fence whose first word names a language that is read.
+READ = 1000
+
+
+def _fence(language: str) -> Column:
+    """What a line is to fences: marks' kind (100 or 200) plus their number, READ more for a language, negative if it can close one too; else null."""
+    found = F.regexp_extract("text", "^ {0,3}(`{3,}|~{3,})", 1)
+    info = F.trim(F.regexp_replace("text", "^ {0,3}(`{3,}|~{3,})", ""))
+    number = F.when(found.startswith("`"), 100).otherwise(200) + F.least(F.length(found), F.lit(LONGEST_FENCE))
+    opens = (found != "") & ~(found.startswith("`") & F.contains(info, F.lit("`")))
+    return F.when(opens & (info == ""), -number).when(opens, number + F.when(info == language, READ).otherwise(0)).cast("int")
+
+
+def _next_fence(state: Column, mark: Column) -> Column:
+    """Outside, a mark opens a fence; inside, a mark of the same kind, at least as long and without a language, closes it."""
+    inner = state % READ
+    closes = (mark < 0) & (F.floor(-mark / 100) == F.floor(inner / 100)) & (-mark >= inner)
+    return F.when(state == 0, F.abs(mark)).when(closes, F.lit(0)).otherwise(state).cast("int")
+
+
+def fenced(rows: DataFrame, language: str = "rust") -> DataFrame:
+    """Add ``fence`` to lines: 0 outside, 1 for a fence's own lines and what is in it, 2 for what is in one of the language."""
+    kinds = [k + n for k in (100, 200) for n in range(3, LONGEST_FENCE + 1)]
+    marks = scans.automaton(rows, _fence(language), _next_fence, [0, *kinds, *(READ + k for k in kinds)])
+    seen = rows.join(marks.select("path", "line", "before", "after"), ["path", "line"], "left")
+    state = scans.last_seen(seen, state=F.col("after"))
+    within = F.coalesce("state", F.lit(0))
+    own = F.col("after").isNotNull() & ((F.col("before") == 0) | (F.col("after") == 0))
+    level = F.when(own, 1).when(within > READ, 2).when(within > 0, 1).otherwise(0)
+    return state.select(*rows.columns, level.alias("fence"))
+
+
+def _headings(files: DataFrame) -> DataFrame:
+    """(path, line, text, fence, level): lines, with the level of those that are headings: marks before, or a rule below."""
+    rows = fenced(lines(files))
+    rule = F.when(F.col("text").rlike("^ {0,3}=+\\s*$"), 1).when(F.col("text").rlike("^ {0,3}-+\\s*$"), 2)
+    below = rows.where("fence = 0").select("path", (F.col("line") - 1).alias("line"), rule.alias("ruled")).where("ruled is not null")
+    met = rows.join(below, ["path", "line"], "left")
+    plain = (F.col("fence") == 0) & F.col("text").rlike("^ {0,3}[^\\s#>*+-]")
+    marked = (F.col("fence") == 0) & F.col("text").rlike("^ {0,3}#{1,6}(\\s|$)")
+    level = F.when(marked, F.length(F.regexp_extract("text", "^ {0,3}(#+)", 1))).when(plain, F.col("ruled"))
+    return met.select("path", "line", "text", "fence", level.alias("level"), marked.alias("marked"))
+
+
 def markdown_sections(files: DataFrame) -> DataFrame:
     """(path, line, level, heading, slug): headings outside fences, with marks before or a rule below; repeated slugs get a number."""
-    fenced = lines(files).withColumn("fence", F.sum(F.col("text").rlike("^\\s*(```|~~~)").cast("int")).over(_upto()))
-    below = F.lead("text").over(Window.partitionBy("path").orderBy("line"))
-    plain = F.col("text").rlike("^ {0,3}[^\\s#>*+-]") & ~F.col("text").rlike("^\\s*(```|~~~)")
-    ruled = F.when(plain & below.rlike("^ {0,3}=+\\s*$"), 1).when(plain & below.rlike("^ {0,3}-+\\s*$"), 2)
-    heads = fenced.withColumn("ruled", ruled).where((F.col("fence") % 2 == 0) & (F.col("text").rlike("^#{1,6}\\s") | F.col("ruled").isNotNull()))
-    marked = F.trim(F.regexp_replace("text", "^#+\\s*|\\s*#*$", ""))
-    parts = heads.select("path", "line", F.coalesce("ruled", F.length(F.regexp_extract("text", "^(#+)", 1))).alias("level"), F.when(F.col("ruled").isNotNull(), F.trim("text")).otherwise(marked).alias("heading"))
-    named = parts.withColumn("base", slug(F.col("heading")))
+    text = F.when(F.col("marked"), F.trim(F.regexp_replace("text", "^ {0,3}#+\\s*|(^|\\s+)#+\\s*$", ""))).otherwise(F.trim("text"))
+    named = _headings(files).where("level is not null").select("path", "line", "level", text.alias("heading")).withColumn("base", slug(F.col("heading")))
     turn = F.row_number().over(Window.partitionBy("path", "base").orderBy("line")) - 1
     return named.withColumn("turn", turn).select("path", "line", "level", "heading", F.when(F.col("turn") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("turn").cast("string"))).alias("slug"))
 
 
+#: A function's head in a fenced example, and its name.
+EXAMPLE = r"^\s*(?:pub(?:\(crate\))? )?fn ([\p{L}\p{N}_]+)"
+
+
 def markdown_spans(files: DataFrame) -> DataFrame:
-    """(path, line, heading_line, token): inline code after the first heading, outside fences."""
-    rows = lines(files).withColumn("fence", F.sum(F.col("text").rlike("^\\s*(```|~~~)").cast("int")).over(_upto()))
-    head = F.when((F.col("fence") % 2 == 0) & F.col("text").rlike("^#{1,6}\\s"), F.col("line"))
-    placed = rows.withColumn("heading_line", F.last(head, ignorenulls=True).over(_upto())).where("heading_line is not null and fence % 2 = 0")
-    return placed.select("path", "line", "heading_line", F.explode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), 1)).alias("token"))
+    """(path, line, heading_line, token): inline code outside fences, and functions of Rust examples, under a heading."""
+    placed = scans.last_seen(_headings(files), heading_line=F.when(F.col("level").isNotNull(), F.col("line"))).where("heading_line is not null")
+    spans = F.filter(F.transform(F.regexp_extract_all("text", F.lit("`([^`]+)`"), 1), lambda x: F.trim(x)), lambda x: x != "")
+    tokens = F.when(F.col("fence") == 0, spans).when(F.col("fence") == 2, F.regexp_extract_all("text", F.lit(EXAMPLE), 1))
+    return placed.select("path", "line", "heading_line", F.explode(tokens).alias("token"))
+
+
+#: The words that begin lines of a feature.
+FEATURES, SCENARIOS, STEPS = "Feature|Rule", "Scenario|Scenario Outline|Example|Background", "Given|When|Then|And|But|\\*"
+
+
+def _gherkin(files: DataFrame) -> DataFrame:
+    """(path, line, text, title, name, word): lines outside docstrings that are no comments or tables; ``title`` is f or s for the lines that begin a feature or a scenario."""
+    rows = lines(files).withColumn("text", F.regexp_replace("text", "^\\s+|\\s+$", ""))
+    toggle = F.col("text").isin('"""', "```")
+    read = scans.counted(rows, fences=toggle).where((F.col("fences") % 2 == 0) & ~toggle & (F.col("text") != "") & ~F.col("text").rlike("^[#|]"))
+    title = F.when(F.col("text").rlike(f"^({FEATURES}):"), "f").when(F.col("text").rlike(f"^({SCENARIOS}):"), "s")
+    name = F.when(title.isNotNull(), F.trim(F.regexp_replace("text", "^[^:]*:", "")))
+    return read.select("path", "line", "text", title.alias("title"), name.alias("name"), F.regexp_extract("text", f"^({STEPS})\\s", 1).alias("word"))
+
+
+def gherkin_titles(files: DataFrame) -> DataFrame:
+    """(path, line, kind, feature, name, tags): features (and rules) and scenarios; tags are those of the lines before, in order, joined by commas."""
+    rows = _gherkin(files)
+    tagged = F.col("text").startswith("@")
+    # A tag waits for the next title: it has one title less before it.
+    numbered = scans.counted(rows, titles=F.col("title").isNotNull())
+    words = F.filter(F.split("text", "\\s+"), lambda w: w.startswith("@"))
+    tags = numbered.where(tagged).select("path", (F.col("titles") + 1).alias("titles"), F.posexplode(F.transform(words, lambda w: F.substr(w, F.lit(2)))).alias("at", "tag"), "line")
+    listed = tags.groupBy("path", "titles").agg(F.array_sort(F.collect_list(F.struct("line", "at", "tag"))).alias("x")).select("path", "titles", F.array_join(F.col("x.tag"), ",").alias("tags"))
+    titles = scans.last_seen(numbered.where("title is not null"), feature=F.when(F.col("title") == "f", F.col("name")))
+    kind = F.when(F.col("title") == "f", "Feature").otherwise("Scenario")
+    return titles.join(listed, ["path", "titles"], "left").select("path", "line", kind.alias("kind"), "feature", "name", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
 def gherkin_steps(files: DataFrame) -> DataFrame:
-    """(path, feature, scenario, step_order, kind, text, line): And/But/* take the kind before, Given first."""
-    trimmed = lines(files).withColumn("text", F.trim("text"))
-    fence = F.col("text").startswith('"""') | F.col("text").startswith("```")
-    open_ = trimmed.withColumn("fence", F.sum(fence.cast("int")).over(_upto())).where((F.col("fence") % 2 == 0) & ~fence & ~F.col("text").rlike("^[#|@]"))
-    title = lambda words: F.when(F.col("text").rlike(f"^({words}):"), F.trim(F.regexp_replace("text", "^[^:]*:", "")))
-    mark = open_.select("*", title("Feature|Rule").alias("f"), title("Scenario|Scenario Outline|Example|Background").alias("s"), F.regexp_extract("text", "^(Given|When|Then|And|But|\\*) ", 1).alias("word"))
-    seen = mark.select(
-        "path",
-        "line",
-        "text",
-        "word",
-        F.last("f", ignorenulls=True).over(_upto()).alias("feature"),
-        F.last("s", ignorenulls=True).over(_upto()).alias("scenario"),
-        F.count("s").over(_upto()).alias("number"),
-    ).where("word <> '' and scenario is not null")
-    within = Window.partitionBy("path", "number").orderBy("line")
-    kind = F.coalesce(F.last(F.when(F.col("word").isin("Given", "When", "Then"), F.col("word")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.lit("Given"))
-    return seen.select("path", "feature", "scenario", (F.row_number().over(within) - 1).alias("step_order"), kind.alias("kind"), F.trim(F.regexp_replace("text", "^(Given|When|Then|And|But|\\*) ", "")).alias("text"), "line")
+    """(path, feature, scenario, step_order, kind, text, line): And/But/* take the kind before, Given first.
+
+    A scenario ends where a feature or rule begins: steps after that have none
+    and are left out. Steps count from 1.
+    """
+    step = F.col("word") != ""
+    counted = scans.counted(_gherkin(files), n=step)
+    title = F.when(F.col("title").isNotNull(), F.struct("title", "name", "line", "n"))
+    word = F.when(step & F.col("word").isin("Given", "When", "Then"), F.struct("line", "word"))
+    seen = scans.last_seen(counted, under=title, feature=F.when(F.col("title") == "f", F.col("name")), said=word)
+    rows = seen.where(step & (F.col("under.title") == "s"))
+    kind = F.when(F.col("said.line") > F.col("under.line"), F.col("said.word")).otherwise("Given")
+    return rows.select("path", "feature", F.col("under.name").alias("scenario"), (F.col("n") - F.col("under.n")).cast("int").alias("step_order"), kind.alias("kind"), F.trim(F.regexp_replace("text", f"^({STEPS})\\s+", "")).alias("text"), "line")
 
 
 def graphql_types(files: DataFrame) -> DataFrame:
@@ -89,14 +156,6 @@ def _declared(files: DataFrame, words: str, before: str) -> DataFrame:
     return rows.where("kind <> ''")
 
 
-def openapi_endpoints(files: DataFrame) -> DataFrame:
-    """(path, route, method, operation_id) of OpenAPI documents in JSON."""
-    operation = "map<string, struct<operationId: string, summary: string, tags: array<string>>>"
-    parsed = files.select("path", F.from_json("text", f"paths map<string, {operation}>").alias("doc"))
-    routes = parsed.select("path", F.explode("doc.paths").alias("route", "methods")).select("path", "route", F.explode("methods").alias("method", "op"))
-    return routes.where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options")).select("path", "route", "method", F.col("op.operationId").alias("operation_id"))
-
-
 def git_log(rows: DataFrame) -> DataFrame:
     """Records of ``%H%x1f%h%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%B`` (column ``record``)."""
     part = F.split("record", "\x1f")
@@ -104,29 +163,6 @@ def git_log(rows: DataFrame) -> DataFrame:
     return rows.where(F.size(part) >= len(names)).select(*[part[i].alias(n) for i, n in enumerate(names)]).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != ""))
 
 
-def openapi_schemas(files: DataFrame) -> DataFrame:
-    """(path, schema, position, field, type) of OpenAPI documents in JSON.
-
-    Schemas are those under ``components.schemas``, else ``definitions``. A field's
-    type is its own, else the last part of its reference, else ``any``; a schema
-    without properties gives one row without a field.
-    """
-    schema = "map<string, struct<properties: map<string, struct<type: string, `$ref`: string>>>>"
-    parsed = files.select("path", F.from_json("text", f"components struct<schemas: {schema}>, definitions {schema}").alias("doc"))
-    named = parsed.select("path", F.explode(F.coalesce("doc.components.schemas", "doc.definitions")).alias("schema", "body"))
-    fields = named.select("path", "schema", F.posexplode_outer("body.properties").alias("position", "field", "value"))
-    kind = F.coalesce("value.type", F.element_at(F.split(F.col("value").getField("$ref"), "/"), -1), F.lit("any"))
-    return fields.select("path", "schema", "position", "field", F.when(F.col("field").isNotNull(), kind).alias("type"))
-
-
-def openapi_references(files: DataFrame) -> DataFrame:
-    """(path, route, method, schema): schemas that an endpoint refers to, at any depth of its definition."""
-    routes = files.select("path", F.explode(F.from_json("text", "paths map<string, map<string, string>>").getField("paths")).alias("route", "methods"))
-    each = routes.select("path", "route", F.explode("methods").alias("method", "body")).where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
-    found = each.select("path", "route", "method", F.explode(F.regexp_extract_all("body", F.lit(r'"\$ref"\s*:\s*"(?:[^"]*/)?([^"/]+)"'), 1)).alias("schema"))
-    return found.distinct()
-
-
 def step_patterns(files: DataFrame) -> DataFrame:
     """(path, kind, pattern, function) of step attributes on top-level functions of Rust sources."""
     mark = r'(?m)^#\[(given|when|then)\(\s*(?:\w+\s*=\s*)?r?#*"((?:[^"\\]|\\.)*)"#*\s*\)\]\s*(?:#\[[^\]\n]*\]\s*)*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+(\w+)'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from brambleweft.functions import scalars
 from brambleweft.operators import annotations, bdd, mutate, render, reports
 from brambleweft.plans import projection
-from brambleweft.sources import code, documents, manifests
+from brambleweft.sources import api_documents, code, documents, manifests
 from brambleweft.streaming import live
 
 
@@ -33,12 +33,12 @@ def test_markdown_and_gherkin(spark):
     assert [(r["token"], r["heading_line"]) for r in documents.markdown_spans(f).orderBy("line").collect()] == [("a::b", 2), ("c", 7)]
     feature = '@tag\nFeature: F\n Scenario: S\n  Given a\n  And b\n  """\n  When no\n  """\n  | x |\n  Then c\n  * d\n Scenario: T\n  But e\n'
     steps = [(r["scenario"], r["step_order"], r["kind"], r["text"]) for r in documents.gherkin_steps(files(spark, a_feature=feature)).orderBy("line").collect()]
-    assert steps == [("S", 0, "Given", "a"), ("S", 1, "Given", "b"), ("S", 2, "Then", "c"), ("S", 3, "Then", "d"), ("T", 0, "Given", "e")]
+    assert steps == [("S", 1, "Given", "a"), ("S", 2, "Given", "b"), ("S", 3, "Then", "c"), ("S", 4, "Then", "d"), ("T", 1, "Given", "e")]
 
 
 def test_schemas_and_manifests(spark):
     spec = json.dumps({"paths": {"/a": {"get": {"operationId": "getA"}, "x-y": {}}}})
-    assert [tuple(r)[1:] for r in documents.openapi_endpoints(files(spark, a_json=spec)).collect()] == [("/a", "get", "getA")]
+    assert [tuple(r)[1:4] for r in api_documents.openapi_endpoints(files(spark, a_json=spec)).collect()] == [("/a", "GET", "getA")]
     assert [r["name"] for r in documents.graphql_types(files(spark, a_gql="type A {\n x: Int\n}\nenum B { C }")).collect()] == ["A", "B"]
     assert [r["kind"] for r in documents.proto_items(files(spark, a_proto="service S {\n rpc Get(A) returns (B);\n}\nmessage A {}")).collect()] == ["service", "rpc", "message"]
     rows = manifests.manifests(files(spark, x__Cargo_toml='[package]\nname = "p"\nversion = "1"\n[dependencies]\nserde = "1"\n[dev-dependencies]\nq = "1"', go_mod="module m\ngo 1.2\nrequire (\n a/b v1 // c\n)\nrequire x v2", package_json="{broken"))
@@ -113,8 +113,8 @@ def test_more_extractors(spark):
         "components": {"schemas": {"A": {"properties": {"n": {"type": "integer"}, "b": {"$ref": "#/components/schemas/B"}, "c": {}}}, "B": {}}},
     })
     f = files(spark, a_json=spec)
-    assert [tuple(r)[1:] for r in documents.openapi_schemas(f).orderBy("schema", "position").collect()] == [("A", 0, "n", "integer"), ("A", 1, "b", "B"), ("A", 2, "c", "any"), ("B", None, None, None)]
-    assert [tuple(r)[1:] for r in documents.openapi_references(f).collect()] == [("/a", "get", "A")]
+    assert [tuple(r)[1:] for r in api_documents.openapi_schemas(f).orderBy("schema", "position").collect()] == [("A", 0, "b", "B"), ("A", 1, "c", "any"), ("A", 2, "n", "integer"), ("B", None, None, None)]
+    assert [tuple(r)[1:] for r in api_documents.openapi_references(f).collect()] == [("/a", "GET", "A")]
     rust = '#[given(regex = r"^a (\\d+)$")]\nasync fn one() {}\n#[when("b")]\n#[allow(x)]\npub fn two() {}\nmod m {\n    #[then("no")]\n    fn three() {}\n}\n'
     assert [tuple(r)[1:] for r in documents.step_patterns(files(spark, s_rs=rust)).collect()] == [("Given", "^a (\\d+)$", "one"), ("When", "b", "two")]
     said = documents.review_comments(files(spark, c_json='[{"author": "x", "body": "b", "url": null}, {"body": "d"}]'))
