@@ -2,6 +2,10 @@
 
 Frames: items (item, title, area, kind, created_at, current_status,
 current_status_at), statuses (item, status, at), comments (item, comment_id, at).
+
+One rule for ties everywhere: statuses of one time follow each other by their
+text, so the last of them is the current one, and a comment of that time comes
+after all of them.
 """
 
 from __future__ import annotations
@@ -27,12 +31,20 @@ def rollup(statuses: DataFrame, comments: DataFrame) -> DataFrame:
     return rows.select("item", "status", "status_at", F.coalesce("comments", F.lit(0).cast("long")).alias("comments"), F.greatest("status_at", "commented_at").alias("last_activity"))
 
 
+def _spans(statuses: DataFrame, comments: DataFrame) -> DataFrame:
+    """Statuses and comments (item, at, status or null, comment_id or null) with the number of the status they are at or under; 0 before the first."""
+    kind = comments.schema["comment_id"].dataType
+    said = comments.select("item", "at", F.lit(None).cast("string").alias("status"), "comment_id")
+    events = statuses.select("item", "at", "status", F.lit(None).cast(kind).alias("comment_id")).unionByName(said)
+    order = Window.partitionBy("item").orderBy("at", F.col("status").isNull(), "status").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("span", F.count("status").over(order))
+
+
 def timeline(statuses: DataFrame, comments: DataFrame) -> DataFrame:
     """Each status with the number of comments until the next one."""
-    events = statuses.select("item", "at", "status", F.lit(0).alias("said")).unionByName(comments.select("item", "at", F.lit(None).cast("string").alias("status"), F.lit(1).alias("said")))
-    order = Window.partitionBy("item").orderBy("at", "said")
-    spans = events.withColumn("span", F.count("status").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("item", "span").agg(F.max("status").alias("status"), F.min(F.when(F.col("said") == 0, F.col("at"))).alias("at"), F.sum("said").alias("comments")).where("status is not null")
+    status = F.col("status").isNotNull()
+    found = _spans(statuses, comments).groupBy("item", "span").agg(F.max("status").alias("status"), F.min(F.when(status, F.col("at"))).alias("at"), F.count(F.when(~status, 1)).alias("comments"))
+    return found.where("status is not null")
 
 
 def roadmap(current: DataFrame, area: str = "area") -> DataFrame:
@@ -67,11 +79,11 @@ def create(items: DataFrame, statuses: DataFrame, new: DataFrame) -> tuple[DataF
 def set_status(items: DataFrame, statuses: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, statuses) after appending ``changes`` (item, status, at) of existing items.
 
-    The timeline keeps every change; an item shows the last one by time.
+    The timeline keeps every change; an item shows the last one by time and, of one time, by status.
     """
     valid = changes.where(F.col("status").isin(*STATUSES)).join(items.select("item"), "item", "left_semi").select("item", "status", "at")
     last = valid.groupBy("item").agg(F.max(F.struct("at", "status")).alias("_last"))
-    newer = F.col("_last").isNotNull() & (F.col("current_status_at").isNull() | (F.col("_last.at") >= F.col("current_status_at")))
+    newer = F.col("_last").isNotNull() & (F.col("current_status_at").isNull() | (F.col("_last") >= F.struct(F.col("current_status_at").alias("at"), F.col("current_status").alias("status"))))
     pick = lambda field, old: F.when(newer, F.col(f"_last.{field}")).otherwise(F.col(old)).alias(old)
     plain = [c for c in items.columns if c not in ("current_status", "current_status_at")]
     shown = items.join(last, "item", "left").select(*plain, pick("status", "current_status"), pick("at", "current_status_at"))
@@ -97,10 +109,9 @@ def listed(items: DataFrame, statuses: DataFrame, comments: DataFrame, area: str
 
 def report(items: DataFrame, statuses: DataFrame, comments: DataFrame) -> DataFrame:
     """Items, newest first, with their statuses and under each its comments, oldest first, as nested lists."""
-    spans = statuses.select("item", "status", "at", F.lead("at").over(Window.partitionBy("item").orderBy("at")).alias("upto"))
-    met = comments.withColumnRenamed("at", "said_at").join(spans, "item").where((F.col("said_at") >= F.col("at")) & (F.col("upto").isNull() | (F.col("said_at") < F.col("upto"))))
-    under = met.groupBy("item", "at").agg(F.array_sort(F.collect_list(F.struct(F.col("said_at").alias("at"), "comment_id"))).alias("comments"))
-    none = F.array().cast(under.schema["comments"].dataType)
-    each = spans.join(under, ["item", "at"], "left").select("item", F.struct("at", "status", F.coalesce("comments", none).alias("comments")).alias("entry"))
-    nested = each.groupBy("item").agg(F.array_sort(F.collect_list("entry")).alias("timeline"))
+    status = F.col("status").isNotNull()
+    said = F.array_sort(F.collect_list(F.when(~status, F.struct("at", "comment_id"))))
+    entries = _spans(statuses, comments).groupBy("item", "span").agg(F.max("status").alias("status"), F.min(F.when(status, F.col("at"))).alias("at"), said.alias("comments")).where("status is not null")
+    listed = F.array_sort(F.collect_list(F.struct("span", "at", "status", "comments")))
+    nested = entries.groupBy("item").agg(F.transform(listed, lambda e: F.struct(e["at"].alias("at"), e["status"].alias("status"), e["comments"].alias("comments"))).alias("timeline"))
     return items.join(nested, "item", "left").orderBy(F.desc("created_at"), "item")

@@ -107,13 +107,23 @@ def worklog_list(spark, d):
     return worklog.listed(_items(spark, d), *_log(spark, d), area="large", status="done").select("item", "area", "kind", "status", "status_at", "comments", "last_activity")
 
 
-@query("worklog_report", f"""{LOG}, {ITEMS}, s AS (SELECT item, status, tm, lead(tm) OVER (PARTITION BY item ORDER BY tm) AS upto FROM st),
-n AS (SELECT s.item, count(DISTINCT s.tm) AS statuses, count(comment_id) AS comments FROM s LEFT JOIN co ON co.item = s.item AND co.tm >= s.tm AND (s.upto IS NULL OR co.tm < s.upto) GROUP BY s.item)
-SELECT it.item, created_at, statuses::INT AS statuses, comments::INT AS comments FROM it LEFT JOIN n ON n.item = it.item""")
+@query("worklog_report", f"""{LOG}, {ITEMS}, s AS (SELECT item, status, tm, row_number() OVER (PARTITION BY item ORDER BY tm, status) AS n FROM st),
+u AS (SELECT co.*, (SELECT max(n) FROM s WHERE s.item = co.item AND s.tm <= co.tm) AS n FROM co),
+c AS (SELECT item, n, string_agg(comment_id, ',' ORDER BY tm, comment_id) AS said FROM u GROUP BY item, n),
+t AS (SELECT item, string_agg(status || '@' || epoch_us(tm) || ':' || coalesce(said, ''), ';' ORDER BY n) AS timeline FROM s LEFT JOIN c USING (item, n) GROUP BY item)
+SELECT it.item, created_at, timeline FROM it LEFT JOIN t ON t.item = it.item""")
 def worklog_report(spark, d):
     rows = worklog.report(_items(spark, d), *_log(spark, d))
-    said = F.aggregate("timeline", F.lit(0), lambda n, e: n + F.size(e["comments"]))
-    return rows.select("item", "created_at", F.size("timeline").alias("statuses"), said.alias("comments"))
+    said = lambda e: F.array_join(F.transform(e["comments"], lambda c: c["comment_id"].cast("string")), ",")
+    entry = lambda e: F.concat(e["status"], F.lit("@"), F.unix_micros(e["at"].cast("timestamp")).cast("string"), F.lit(":"), said(e))
+    return rows.select("item", "created_at", F.array_join(F.transform("timeline", entry), ";").alias("timeline"))
+
+
+@query("fnv_hashes", """WITH b AS (SELECT p_partkey, p_name, list_transform(range(strlen(p_name)), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i + 1, 2))::BIGINT::HUGEINT) AS b FROM part),
+h AS (SELECT p_partkey, list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b)
+SELECT p_partkey, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS hash FROM h""", ctes="")
+def fnv_hashes(spark, d):
+    return read(spark, d, "part").select("p_partkey", scalars.fnv1a_64(F.col("p_name")).alias("hash"))
 
 
 @query("wipe_outgoing", "SELECT src, dst FROM calls WHERE src NOT IN (SELECT id FROM fn WHERE kind = 'Brand#11')")
