@@ -10,14 +10,14 @@ pieces; a character that is none becomes its UTF-8 bytes' pieces.
 No piece has a blank after another character, and characters that are side by
 side in no piece cannot be merged: texts are cut there, exactly, so an agenda is
 that of a word, and a worker remembers the answers of up to ``REMEMBERED``
-characters of words. Both facts are taken from the vocabulary.
+characters of words, those met last. Both facts are taken from the vocabulary.
 
 Texts are worked on in runs of about ``RUN`` characters that end before a blank,
-so memory is bounded by a run and the ids of one text. The library encodes the
-same runs, all of an Arrow slice at once, and the job stops where its ids
-differ. (Its own memory is about 100 bytes a character; so a stretch of more
-than ``CHECKED`` characters without a blank is encoded by the agenda only.)
-Decoding is the library's, run by run.
+so memory is bounded by a run and the ids of one text. Every word that a worker
+does not remember is encoded by the library as well, all of an Arrow slice in
+one batch, and the job stops where its ids differ. (The library's memory is
+about 100 bytes a character; so a word of more than ``CHECKED`` characters is
+encoded by the agenda only.) Decoding is the library's, run by run.
 
 The vocabulary is read on the driver and broadcast (about 1 MB, fixed by the
 file).
@@ -31,10 +31,10 @@ columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -44,8 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-SLICE, RUN, CHECKED, REMEMBERED = 1 << 18, 1 << 16, 1 << 19, 1 << 22
+SLICE, RUN, CHECKED, REMEMBERED = 1 << 18, 1 << 16, 1 << 19, 1 << 23
 BLANK = "▁"
+#: Up to so many characters the agenda is a list.
+SHORT = 32
 #: A word of more characters is cut where two of them are side by side in no piece, and not remembered.
 LONG = 128
 
@@ -77,35 +79,56 @@ class PieceCodec:
         self.beside = {p[i : i + 2] for p in merged for i in range(len(p) - 1)}
         if any(b[1] == BLANK != b[0] for b in self.beside):
             raise ValueError("a piece has a blank inside")
-        alone = "" if any("\n" in p for p in merged) else "\n"
-        self.words = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + ("|\n" if alone else "")).findall
+        # A character that no merge takes is a word of its own.
+        self.alone = next(c for c in ("\n", "\x00", "\x01") if not any(c in p for p in merged))
+        self.alone_ids = [self.bytes[ord(self.alone)]] if self.alone not in self.ids else [self.ids[self.alone]]
+        self.words = re.compile(f"{BLANK}*[^{BLANK}{self.alone}]+|{BLANK}+|{self.alone}").findall
         self.cut = re.compile(f"(?s)(?<=[^ {BLANK}])[ {BLANK}](?=.)").search
-        self.known: dict[str, tuple[list[int], str]] = {}
-        self.held = 0
+        #: Ids of the words met last, and these in decimal; then those of words met before.
+        self.known: tuple[dict[str, list[int]], dict[str, str]] = {}, {}
+        self.older, self.held = self.known, 0
 
     def agenda(self, word: str) -> list[str]:
         """The pieces of a word by merging its symbols, best pair first."""
-        n, rank = len(word), self.rank
+        return self._listed(word) if len(word) <= SHORT else self._heaped(word)
+
+    def _listed(self, word: str) -> list[str]:
+        """The agenda as the list of all pairs' places: for so few, its least is found faster than a heap is kept."""
+        rank, none = self.rank.get, len(self.rank)
+        symbols = list(word)
+        pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pairs and (top := min(pairs)) < none:
+            i = pairs.index(top)
+            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(piece + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(symbols[i - 1] + piece, none)
+        return symbols
+
+    def _heaped(self, word: str) -> list[str]:
+        n, rank = len(word), self.rank.get
         symbols, after, before = list(word), list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs = [r << 32 | i for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
-        heapq.heapify(pairs)
+        pairs = [r << 32 | i for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapify(pairs)
         while pairs:
-            top = heapq.heappop(pairs)
+            top = heappop(pairs)
             i = top & 0xFFFFFFFF
             k = after[i]
-            if not symbols[i] or k == n:
+            if k == n or not (left := symbols[i]):
                 continue
-            piece = symbols[i] + symbols[k]
-            if rank.get(piece) != top >> 32:
+            piece = left + symbols[k]
+            if rank(piece) != top >> 32:
                 continue  # one of the two has been merged since
             symbols[i], symbols[k] = piece, ""
             after[i] = k = after[k]
             if k < n:
                 before[k] = i
-                if (r := rank.get(piece + symbols[k])) is not None:
-                    heapq.heappush(pairs, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := rank.get(symbols[h] + piece)) is not None:
-                heapq.heappush(pairs, r << 32 | h)
+                if (r := rank(piece + symbols[k])) is not None:
+                    heappush(pairs, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] + piece)) is not None:
+                heappush(pairs, r << 32 | h)
         return [s for s in symbols if s]
 
     def _word(self, word: str) -> tuple[list[int], str]:
@@ -117,14 +140,24 @@ class PieceCodec:
         for piece in chain.from_iterable(map(self.agenda, pieces)):
             i = self.ids.get(piece)
             ids += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
-        found = ids, ",".join(map(str, ids))
-        if len(word) <= LONG:
-            if self.held > REMEMBERED:
-                self.known.clear()
-                self.held = 0
-            self.known[word] = found
-            self.held += len(word)
-        return found
+        return ids, ",".join(map(str, ids))
+
+    def _learn(self, words: list[str]) -> tuple[dict[str, list[int]], dict[str, str]]:
+        """Encode words that are not known, and compare those that never were with the library's."""
+        ids, shown = {}, {}
+        before, before_shown = self.older
+        for w in words:
+            if w in before:
+                ids[w], shown[w] = before[w], before_shown[w]
+            else:
+                ids[w], shown[w] = self._word(w)
+        checked = [w for w in words if len(w) <= CHECKED and w not in before]
+        if checked:
+            # What stands between them is a word of its own.
+            own = [self.ids[BLANK]] + [i for w in checked for i in self.alone_ids + ids[w]]
+            if self.library.encode("".join(self.alone + w for w in checked), num_threads=1) != own:
+                raise ValueError(f"the library encodes otherwise, among {checked[:20]!r}")
+        return ids, shown
 
     def runs(self, text: str) -> Iterator[str]:
         """The text in runs that begin with a blank, but for the first."""
@@ -136,18 +169,25 @@ class PieceCodec:
 
     def encode_runs(self, runs: list[str], firsts: list[bool]) -> list[tuple[list[int], str]]:
         """Ids of every run, and these in decimal; ``firsts`` says which runs begin a text."""
-        known, out = self.known.get, []
+        if self.held > REMEMBERED // 2:
+            self.known, self.older, self.held = ({}, {}), self.known, 0
+        split = []
         for run, first in zip(runs, firsts, strict=True):
             shown = run.replace(" ", BLANK)
-            words = self.words(BLANK + shown if first and shown else shown)
-            found = [known(w) or self._word(w) for w in words]
-            out.append((list(chain.from_iterable(f[0] for f in found)), ",".join(f[1] for f in found)))
-        checked = [i for i, run in enumerate(runs) if len(run) <= CHECKED]
-        # The library puts a blank in front: that of a run's own beginning.
-        expected = self.library.encode([runs[i] if firsts[i] else runs[i][1:] for i in checked], num_threads=1)
-        for i, ids in zip(checked, expected, strict=True):
-            if ids != out[i][0]:
-                raise ValueError(f"the library encodes otherwise: {runs[i][:200]!r}")
+            split.append(self.words(BLANK + shown if first and shown else shown))
+        known, listed = self.known
+        new = set().union(*split).difference(known)
+        if new:
+            ids, shown = self._learn(sorted(new))
+            known.update(ids)
+            listed.update(shown)
+        # No step in Python for a word that is known.
+        out = [(list(chain.from_iterable(map(known.__getitem__, words))), ",".join(map(listed.__getitem__, words))) for words in split]
+        for w in new:
+            if len(w) > LONG:
+                del known[w], listed[w]
+            else:
+                self.held += len(w)
         return out
 
     def encode(self, text: str) -> list[int]:
