@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patterns import first_matches
+
 #: How a test function is marked in its source.
 TEST_MARKS = ("#[test]", "#[tokio::test]")
-#: Tasks that the steps of one kind are dealt to.
-SALTS = 32
 
 
 def is_test(body: Column) -> Column:
@@ -30,8 +30,8 @@ def first_regex_match(steps: DataFrame, patterns: DataFrame, kind: str = "kind",
 
     Kinds are few, so a join by kind would send all steps of one to one task.
     Patterns are what a project defines: up to ``FEW_PATTERNS`` are read and
-    tried in order where the steps are. More are joined by kind and by a part
-    of the step's id, so that no kind is one task's.
+    tried in order where the steps are. Of more, a step meets only those that
+    have a literal in common with it, see ``patterns``.
     """
     ahead = patterns.select(F.col(kind).alias("k"), "ord", "pattern", "function").orderBy("ord").limit(FEW_PATTERNS + 1).collect()
     if len(ahead) <= FEW_PATTERNS:
@@ -39,10 +39,7 @@ def first_regex_match(steps: DataFrame, patterns: DataFrame, kind: str = "kind",
         for p in reversed(ahead):
             found = F.when((F.col(kind) == p["k"]) & F.col(text).rlike(p["pattern"]), F.lit(p["function"])).otherwise(found)
         return steps.select("step_id", found.alias("function")).where("function is not null")
-    salt = F.pmod(F.xxhash64("step_id"), F.lit(SALTS)).cast("int")
-    spread = patterns.withColumnRenamed(kind, "_kind").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = steps.withColumn("_at", salt).join(spread, (F.col(kind) == F.col("_kind")) & (F.col("_at") == F.col("_salt"))).where(F.expr(f"{text} rlike pattern"))
-    return met.groupBy("step_id").agg(F.min_by("function", "ord").alias("function"))
+    return first_matches(steps.select("step_id", F.col(kind).alias("kind"), F.col(text).alias("text")), patterns.withColumnRenamed(kind, "kind"))
 
 
 def resolve_mentions(spans: DataFrame, symbols: DataFrame) -> DataFrame:
