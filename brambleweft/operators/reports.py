@@ -33,19 +33,9 @@ def degrees(g: Graph, *types: str) -> DataFrame:
     return P.both_ways(g.edges(*types)).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-#: Seeds that are named in a filter; more of them are joined.
-FEW = 1000
-
-
 def edges_into(g: Graph, seeds: DataFrame, kind: str) -> DataFrame:
-    """Edges of a type that end at ``seeds`` (node_id).
-
-    The ids of few seeds become a filter that reaches what the edges are made from.
-    """
-    ids = [r["node_id"] for r in seeds.select("node_id").distinct().limit(FEW + 1).collect()]
-    if len(ids) <= FEW:
-        return g.edges(kind).where(F.col("dst").isin(ids))
-    return P.where_exists(g.edges(kind), "dst", seeds, "node_id")
+    """Edges of a type that end at ``seeds`` (node_id)."""
+    return P.at_nodes(g.edges(kind), "dst", seeds)
 
 
 def impact(g: Graph, seeds: DataFrame, depth: int = 3, types: tuple[str, ...] = ("CALLS",), label: str = "Function") -> DataFrame:
@@ -63,17 +53,24 @@ def impact_summary(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return parts.agg(pick("out").alias("callees"), pick("in").alias("callers"), pick("mentions").alias("mentions"), pick("tests").alias("tests")).withColumn("radius", F.expr("callees + callers + mentions + tests"))
 
 
+def _degrees_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, degree) of ``nodes`` (node_id) that have an edge: edges at both ends, a loop once."""
+    out = P.at_nodes(edges, "src", nodes).select(F.col("src").alias("node_id"))
+    into = P.at_nodes(edges.where("src <> dst"), "dst", nodes).select(F.col("dst").alias("node_id"))
+    return out.unionByName(into).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def node_dossier(g: Graph, seeds: DataFrame, limit: int = 25) -> DataFrame:
     """Neighbours per direction and type, by total degree then id, cut to ``limit`` a group.
 
-    Edges are written once; only those of the neighbours are counted.
+    Edges of each type are looked for at the seeds, then at the neighbours that
+    were found; nothing but the neighbours is written.
     """
     limit = clamp(limit, 1)
-    edges, seeds = checkpoint(g.edges()), checkpoint(seeds)
-    step = lambda d, a, b: edges.select(F.lit(d).alias("direction"), "type", F.col(a).alias("seed"), F.col(b).alias("node_id"))
-    near = checkpoint(P.where_exists(step("out", "src", "dst").unionByName(step("in", "dst", "src")), "seed", seeds, "node_id").select("direction", "type", "node_id").distinct())
-    incident = P.where_exists(P.both_ways(edges), "src", near, "node_id")
-    ranked = P.counted(near, "node_id", incident, "src", "degree")
+    edges, seeds = g.edges(), checkpoint(seeds)
+    step = lambda d, at, to: P.at_nodes(edges, at, seeds).select(F.lit(d).alias("direction"), "type", F.col(to).alias("node_id"))
+    near = checkpoint(step("out", "src", "dst").unionByName(step("in", "dst", "src")).distinct())
+    ranked = near.join(_degrees_of(near, edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     group = Window.partitionBy("direction", "type")
     return ranked.select("*", F.row_number().over(group.orderBy(F.desc("degree"), "node_id")).alias("rank"), F.count(F.lit(1)).over(group).alias("total")).where(F.col("rank") <= limit)
 
@@ -85,13 +82,12 @@ def explore(g: Graph, seeds: DataFrame, types: tuple[str, ...], depth: int = 2)
     """
     depth = clamp(depth, 1, 4)
     named = g.nodes().where("qualified_name <> ''").select("node_id")
-    edges = checkpoint(g.edges(*types))
-    found = P.reach(checkpoint(seeds), edges, depth, "any", named)
-    scored = P.counted(found, "node_id", P.both_ways(edges), "src", "degree")
+    edges = g.edges(*types)
+    found = checkpoint(P.reach(checkpoint(seeds), edges, depth, "any", named))
+    scored = found.join(_degrees_of(found, edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
     def flag(rows: DataFrame, kind: str) -> DataFrame:
-        into = edges.where(F.col("type") == kind) if kind in types else g.edges(kind)
-        into = into.select(F.col("dst").alias("node_id"), F.lit(1).alias(kind)).distinct()
+        into = P.at_nodes(g.edges(kind), "dst", found).select(F.col("dst").alias("node_id"), F.lit(1).alias(kind)).distinct()
         return rows.join(into, "node_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
 
     scored = flag(flag(scored, "NOTES"), "MENTIONS")
@@ -286,3 +282,44 @@ def list_watches(watched: DataFrame, limit: int = 200) -> DataFrame:
     """Newest watches, with the first eight characters of their commit."""
     newest = watched.orderBy(F.desc("set_at"), "node_id").limit(clamp(limit, 1))
     return newest.select("node_id", "set_at", F.substring("commit", 1, 8).alias("commit"))
+
+
+def dead_code_listed(g: Graph, limit: int = 100, **filters) -> DataFrame:
+    """The first functions that nothing calls, by file (none first), line and name; 1 to 1000 of them."""
+    order = [F.asc_nulls_first("path"), "line_start", "qualified_name"]
+    return dead_code(g, **filters).orderBy(*order).limit(clamp(limit, 1, 1000))
+
+
+def diff_report(g: Graph, base: str, snapshots: DataFrame) -> DataFrame:
+    """(hash, timestamp, author) of the commits after ``base`` up to the one that ``snapshots`` (src, dst) shows; without one, none."""
+    commits = g.nodes("GitCommit").select("node_id", "hash", "timestamp", "message")
+    shown = P.where_exists(commits, "node_id", snapshots, "src").agg(F.max("timestamp").alias("t1"))
+    start = commits.where(F.col("hash") == base).agg(F.min("timestamp").alias("t0"))
+    # Aggregates without a key: one row, whatever the table holds.
+    ranged = commits.join(F.broadcast(start.crossJoin(shown)), (F.col("timestamp") > F.col("t0")) & (F.col("timestamp") <= F.col("t1")))
+    by = P.expand(ranged, "node_id", P.turned(g.edges("AUTHORED").drop("type")), "author_id", optional=True)
+    return P.attach(by, "author_id", g.nodes("Author"), "name", how="left").select("hash", "timestamp", F.col("name").alias("author"))
+
+
+def concept_dossier(g: Graph, members: DataFrame, notes: int = 25) -> DataFrame:
+    """(part, node_id, on) of a concept's members, functions in scope, their tests and the newest notes on them.
+
+    ``on`` is the function that a test covers or a note is on. A note's age is its id here.
+    """
+    scope = checkpoint(concept_functions(g, members))
+    row = lambda part, rows, a, b: rows.select(F.lit(part).alias("part"), a.alias("node_id"), b.alias("on"))
+    none = F.lit(None).cast("string")
+    parts = row("member", P.where_exists(g.nodes().select("node_id"), "node_id", members, "node_id"), F.col("node_id"), none)
+    parts = parts.unionByName(row("function", scope, F.col("node_id"), none))
+    tests = P.where_exists(g.edges("TESTS"), "dst", scope, "node_id")
+    noted = P.where_exists(g.edges("NOTES"), "dst", scope.unionByName(members.select("node_id")), "node_id").orderBy(F.desc("src"), "dst").limit(clamp(notes, 1))
+    return parts.unionByName(row("test", tests, F.col("src"), F.col("dst"))).unionByName(row("note", noted, F.col("src"), F.col("dst")))
+
+
+def node_properties(g: Graph, label: str, nodes: DataFrame) -> DataFrame:
+    """(node_id, labels, property, value) of nodes (node_id): every property that is not null, as text."""
+    rows = P.at_nodes(g.nodes(label), "node_id", nodes)
+    names = [c for c in rows.columns if c not in ("node_id", "labels")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in names])
+    each = rows.select("node_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), F.explode(pairs).alias("x"))
+    return each.select("node_id", "labels", "x.property", "x.value").where("value is not null")

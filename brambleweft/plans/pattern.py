@@ -7,6 +7,8 @@ path is a breadth-first search whose frontier stays a DataFrame.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +60,50 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out"
     return reach_ways(seeds, edges, depth, (direction,), keep).select("node_id", "depth")
 
 
+#: Nodes that are named in a filter; more of them are joined.
+FEW = 1000
+
+
+def few_ids(nodes: DataFrame) -> list | None:
+    """The ids of ``nodes`` (node_id) if there are FEW at most."""
+    ids = [r["node_id"] for r in nodes.select("node_id").distinct().limit(FEW + 1).collect()]
+    return ids if len(ids) <= FEW else None
+
+
+def at_nodes(edges: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
+    """Edges whose ``end`` is one of ``nodes`` (node_id).
+
+    The ids of few nodes become a filter that reaches what the edges are made from.
+    """
+    ids = few_ids(nodes)
+    return where_exists(edges, end, nodes, "node_id") if ids is None else edges.where(F.col(end).isin(ids))
+
+
 def reach_ways(seeds: DataFrame, edges: DataFrame, depth: int, directions: tuple[str, ...], keep: DataFrame | None = None) -> DataFrame:
     """(direction, node_id, depth): ``reach`` in several directions, all in one search.
 
-    The distinct steps are written once to the shared folder, as every hop reads
-    them, and so is each hop's frontier, so that the plan does not grow.
+    While a frontier is small its ids are a filter on the edges, which reaches
+    their tables. Once it is not, the distinct steps are written to the shared
+    folder, as all later hops read them. Each hop's frontier is written too, so
+    that the plan does not grow.
     """
-    step = lambda d, a, b: F.struct(F.lit(d).alias("direction"), F.col(a).alias("at"), F.col(b).alias("node_id"))
-    kinds = {"out": [step("out", "src", "dst")], "in": [step("in", "dst", "src")], "any": [step("any", "src", "dst"), step("any", "dst", "src")]}
-    steps = edges.select(F.explode(F.array(*[x for d in directions for x in kinds[d]])).alias("x")).select("x.*").distinct()
-    if keep is not None:
-        steps = steps.join(keep.select("node_id"), "node_id", "left_semi")
-    if depth > 1:
-        steps = checkpoint(steps)
+    ends = {"out": [("src", "dst")], "in": [("dst", "src")], "any": [("src", "dst"), ("dst", "src")]}
+    ways = [(d, a, b) for d in directions for a, b in ends[d]]
+    kept = lambda rows: rows if keep is None else where_exists(rows, "node_id", keep, "node_id")
+    steps = None
     found = seeds.select("node_id").distinct().select(F.explode(F.array(*map(F.lit, directions))).alias("direction"), "node_id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        frontier = found.where(F.col("depth") == d - 1).select("direction", F.col("node_id").alias("at"))
-        new = frontier.join(steps, ["direction", "at"]).select("direction", "node_id").distinct().join(found, ["direction", "node_id"], "left_anti")
+        frontier = found.where(F.col("depth") == d - 1)
+        ids = {k: few_ids(frontier.where(F.col("direction") == k)) for k in directions} if steps is None else {}
+        if steps is None and all(x is not None for x in ids.values()):
+            parts = [edges.where(F.col(a).isin(ids[k])).select(F.lit(k).alias("direction"), F.col(b).alias("node_id")) for k, a, b in ways]
+            met = reduce(DataFrame.unionByName, parts)
+        else:
+            if steps is None:
+                step = lambda k, a, b: F.struct(F.lit(k).alias("direction"), F.col(a).alias("at"), F.col(b).alias("node_id"))
+                steps = checkpoint(kept(edges.select(F.explode(F.array(*[step(*w) for w in ways])).alias("x")).select("x.*").distinct()))
+            met = frontier.select("direction", F.col("node_id").alias("at")).join(steps, ["direction", "at"]).select("direction", "node_id")
+        new = kept(met.distinct()).join(found, ["direction", "node_id"], "left_anti")
         new = checkpoint(new.withColumn("depth", F.lit(d)))
         if d < depth and new.isEmpty():
             break
