@@ -218,7 +218,7 @@ class Query:
                     rows = self.bind_node(rows.withColumnRenamed("_to", n.name), n, bound)
                 for other, o in seen:
                     if not (e.hops or o.hops) and alike(e, o):
-                        rows = rows.where(F.col(f"{r}__edge") != F.col(f"{other}__edge"))
+                        rows = rows.where(~self.graph.is_same(F.col(f"{r}__edge"), F.col(f"{other}__edge")))
                 seen.append((r, e))
                 here = n.name
         return rows

@@ -51,3 +51,13 @@ def test_errors_explain_and_many(g):
             cypher.run(g, bad)
     assert cypher.run(g, "EXPLAIN MATCH (n:Function) RETURN n.name AS n").count() > 1
     assert len(cypher.run_many(g, "MATCH (n:File) RETURN n.path AS p; MATCH (n) RETURN count(*) AS n;")) == 2
+
+
+def test_edges_with_an_id_are_one_edge_whatever_their_ends(spark, g):
+    """A line of an order is one edge, also where its row is there twice with another supplier."""
+    rows = [("f", "a", "1"), ("h", "a", "1"), ("h", "a", "2"), ("h", "b", "1"), ("f", "c", None), ("h", "c", None)]
+    supplied = spark.createDataFrame(rows, "src string, dst string, edge_id string")
+    files = spark.createDataFrame([(x, ["File"], x) for x in "fh"], "node_id string, labels array<string>, path string")
+    named = Graph({"Function": g.node_frames["Function"], "File": files}, {"SUPPLIED": supplied})
+    got = q(named, "MATCH (x:File)-[:SUPPLIED]->(y:Function)<-[:SUPPLIED]-(z:File) RETURN x.path AS x, y.name AS y, z.path AS z")
+    assert sorted(got) == [("f", "a", "h"), ("f", "c", "h"), ("h", "a", "f"), ("h", "a", "h"), ("h", "a", "h"), ("h", "c", "f")]
