@@ -91,9 +91,39 @@ def test_links_by_name_against_every_pair(spark, monkeypatch, heavy):
             want[(s, n, d, bool(same))] += 1
     got = names.link(spark.createDataFrame(sites, "src string, package string, name string"), spark.createDataFrame(definitions, "node_id string, package string, name string"))
     assert Counter(map(tuple, got.collect())) == want
+    summed = names.count_links(spark.createDataFrame(sites, "src string, package string, name string"), spark.createDataFrame(definitions, "node_id string, package string, name string"))
+    each = [(s, n, len(ds), min(ds), bool(same)) for s, p, n in sites if n for same in [{d for d, dp, dn in definitions if dn == n and dp == p and p}] if (ds := same or {d for d, _, dn in definitions if dn == n})]
+    assert Counter(map(tuple, summed.collect())) == Counter(each)
     assert "hot" in names.heavy_names(spark.createDataFrame(sites, "src string, package string, name string").where("name is not null"))
 
 
+def test_links_are_counted_without_making_the_pairs(spark):
+    """400 000 000 pairs of one name: the counts come from the definitions' counts."""
+    sites = spark.range(20000).select(F.col("id").cast("string").alias("src"), F.lit("p").alias("package"), F.lit("hot").alias("name"))
+    definitions = sites.select(F.col("src").alias("node_id"), "package", "name")
+    counted = names.count_links(sites, definitions)
+    assert {tuple(r) for r in counted.select("links", "least", "local").distinct().collect()} == {(20000, "0", True)} and counted.count() == 20000
+    rows = [m.value() for m in _metrics(counted)]
+    assert max(rows) < 1_000_000
+
+
+def _metrics(frame):
+    """Numbers of rows that the steps of a frame's last run put out."""
+    frame.collect()
+    todo, found = [frame._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(plan.plan())
+        if plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows"))
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
 def test_ranges_of_a_log_hold_each_record_once(tmp_path):
     r = random.Random(1)
     for _ in range(60):
