@@ -8,6 +8,11 @@ and key, dealt by the text as well since a run may be in a third of all texts,
 and the regex is tried on these pairs alone. Patterns without such a literal have
 to be tried on every text of their kind.
 
+A pattern that has to begin with a literal is found by that whole literal where
+few texts begin with it: runs of ``GRAM`` characters are shared by ever more
+texts and patterns as both grow, and a text has one beginning of each length
+where it has as many runs as characters.
+
 Defined results: the first pattern by ``ord`` wins; null texts and patterns match
 nothing; a pattern that is no regex is dropped, as its owner's rule has it.
 """
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +33,8 @@ from ..session import checkpoint
 GRAM = 3
 #: Tasks that the texts of one key are dealt to.
 SALTS = 16
+#: A beginning is a pattern's key if one text in so many has it at most.
+RARE = 1000
 
 
 def required_literals(pattern: str) -> list[str]:
@@ -89,6 +97,23 @@ def _class(rest: str) -> int:
     return len(rest)
 
 
+def beginning(pattern: str) -> tuple[str, str] | None:
+    """The literal of GRAM characters or more that a pattern demands at the start of a text, and the rest of the pattern."""
+    first = next(iter(required_literals(pattern)), "") if pattern.startswith("^") else ""
+    at = 1
+    for c in first:
+        at += pattern[at : at + 1] == "\\"
+        if pattern[at : at + 1] != c or (c in "*?{+.^$|()[" and pattern[at - 1] != "\\"):
+            return None
+        at += 1
+    return (first, pattern[at:]) if len(first) >= GRAM else None
+
+
+@F.pandas_udf(StringType())
+def _beginning_of_pattern(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: (beginning(p) or [None])[0])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _grams_of_pattern(patterns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for column in patterns:
@@ -106,27 +131,56 @@ def candidates(steps: DataFrame, patterns: DataFrame) -> DataFrame:
 
     Steps are (step_id, kind, text), patterns (kind, ord, pattern, function).
     """
-    named = checkpoint(patterns.where("pattern is not null").select("kind", "ord", "pattern", "function", _grams_of_pattern("pattern").alias("grams")))
+    rule = ["kind", "ord", "pattern", "function"]
+    named = checkpoint(patterns.where("pattern is not null").select(*rule, _grams_of_pattern("pattern").alias("grams"), _beginning_of_pattern("pattern").alias("head")))
     read = checkpoint(steps.where("text is not null").select("step_id", "kind", "text", F.pmod(F.xxhash64("step_id"), F.lit(SALTS)).cast("int").alias("salt")))
+    begun, placed = _begun(read, named)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    key = ["kind", "hash", "salt"]
+    by_head = begun.join(placed.where("rare").select(*rule, "hash", salts.alias("salt")), key).select("step_id", "kind", "salt", "ord", "pattern", "function")
+    pairs = _held(read, placed.where("not rare and size(grams) > 0").select(*rule, "grams")).unionByName(by_head)
+    bare = named.where(F.size("grams") == 0).select(*rule, salts.alias("salt"))
+    met = pairs.join(read.select("step_id", "kind", "salt", "text"), ["step_id", "kind", "salt"])
+    every = read.join(bare, ["kind", "salt"])
+    columns = ["step_id", "text", "ord", "pattern", "function"]
+    return met.select(*columns).unionByName(every.select(*columns))
+
+
+def _begun(read: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(step_id, kind, salt, hash): texts by what they and some pattern begin with; and the patterns with ``hash`` and ``rare``.
+
+    A pattern whose beginning no text has is dropped.
+    """
+    heads = named.where("head is not null").select("kind", F.length("head").alias("size"), F.xxhash64("head").alias("hash"))
+    lengths = heads.groupBy("kind").agg(F.collect_set("size").alias("sizes"))
+    cut = F.explode(F.filter("sizes", lambda n: n <= F.length("text")))
+    starts = read.join(lengths, "kind").select("step_id", "kind", "salt", "text", cut.alias("size")).select("step_id", "kind", "salt", F.xxhash64(F.expr("left(text, size)")).alias("hash"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    begun = checkpoint(starts.join(heads.select("kind", "hash").distinct().withColumn("salt", salts), ["kind", "hash", "salt"], "left_semi"))
+    counts = begun.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"))
+    hashed = named.withColumn("hash", F.xxhash64("head")).join(counts, ["kind", "hash"], "left")
+    rare = F.col("head").isNotNull() & (F.col("n") * RARE <= read.count())
+    return begun, checkpoint(hashed.where("head is null or n is not null").select(*named.columns, "hash", rare.alias("rare")))
+
+
+def _held(read: DataFrame, named: DataFrame) -> DataFrame:
+    """(step_id, kind, salt, ord, pattern, function): texts that hold a pattern's rarest run of GRAM characters."""
     asked = named.select("kind", F.explode("grams").alias("gram")).distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    held = read.select("step_id", "kind", "salt", F.explode(_grams(F.col("text"))).alias("gram")).join(asked.withColumn("salt", salts), ["kind", "gram", "salt"], "left_semi")
+    texts = read.join(named.select("kind").distinct(), "kind", "left_semi")
+    held = texts.select("step_id", "kind", "salt", F.explode(_grams(F.col("text"))).alias("gram")).join(asked.withColumn("salt", salts), ["kind", "gram", "salt"], "left_semi")
     common = held.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = named.select("kind", "ord", "pattern", "function", F.explode("grams").alias("gram")).join(common, ["kind", "gram"], "left")
     keyed = rarest.groupBy("kind", "ord", "pattern", "function").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
     keyed = keyed.where("key.n > 0").select("kind", "ord", "pattern", "function", F.col("key.gram").alias("gram"), salts.alias("salt"))
-    pairs = held.join(keyed, ["kind", "gram", "salt"]).select("step_id", "kind", "salt", "ord", "pattern", "function")
-    bare = named.where(F.size("grams") == 0).select("kind", "ord", "pattern", "function", salts.alias("salt"))
-    met = pairs.join(read.select("step_id", "kind", "salt", "text"), ["step_id", "kind", "salt"])
-    every = read.join(bare, ["kind", "salt"])
-    columns = ["step_id", "text", "ord", "pattern", "function"]
-    return met.select(*columns).unionByName(every.select(*columns))
+    return held.join(keyed, ["kind", "gram", "salt"]).select("step_id", "kind", "salt", "ord", "pattern", "function")
 
 
 @F.pandas_udf(BooleanType())
 def _is_regex(patterns: pd.Series) -> pd.Series:
     import regex
 
+    @lru_cache(1 << 12)
     def good(p: str) -> bool:
         try:
             regex.compile(p)
@@ -134,7 +188,9 @@ def _is_regex(patterns: pd.Series) -> pd.Series:
             return False
         return True
 
-    return patterns.map(good)
+    # A literal at the start does not decide it: patterns that differ only there are compiled once.
+    bare = patterns.map(lambda p: "^x" + found[1] if (found := beginning(p)) else p)
+    return bare.map(good)
 
 
 def first_matches(steps: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -23,6 +23,18 @@ def test_literals_that_every_match_has(pattern, literals):
     assert patterns.required_literals(pattern) == literals
 
 
+@pytest.mark.parametrize(
+    ("pattern", "head"),
+    [
+        ("^a step$", "a step"), ("a step", None), (r"^x\.y\d+z", "x.y"), ("^abc?d", None), ("^abcd?", "abc"), ("^a?abc", None), ("^(a|b)cde", None), ("^*abc", None), ("^abc|def", None),
+        ("(?m)^abc", None), (r"^\d+abc", None), ("^.abc", None), ("^abcd*", "abc"), ("^[a]bcd", None), (r"^\(at\) (x|y)", "(at) "), ("^^abc", None), ("^", None), (r"^a\\bc", "a\\bc"),
+    ],
+)
+def test_beginnings_that_every_match_has(pattern, head):
+    found = patterns.beginning(pattern)
+    assert (found and found[0]) == head
+
+
 def test_literals_are_in_every_match():
     r = random.Random(3)
     parts = ["a", "b", "ab", "c?", "d*", "e+", "(f|g)", "[hi]", ".", r"\d", r"\.", "x{1,2}", "^", "$", r"\bz"]
@@ -33,6 +45,7 @@ def test_literals_are_in_every_match():
         if m := re.search(p, text):
             hits += 1
             assert all(x in m[0] for x in patterns.required_literals(p)), (p, m[0])
+            assert text.startswith((patterns.beginning(p) or [""])[0]), (p, text)
     assert hits > 500
 
 
@@ -41,12 +54,14 @@ def made(r, n_steps, n_patterns):
     steps = [(f"s{i}", r.choice(["Given", "When"]), " ".join(word() for _ in range(r.randint(0, 5))) or r.choice(["", None])) for i in range(n_steps)]
     rules = []
     for o in range(n_patterns):
-        p = r.choice(["^{} {}", "{}.*{}$", "({}|{})", "{} {}?", r"\b{}\b \d+", "", "{}[", None, "(?i){}"])
+        p = r.choice(["^{} {}", "{}.*{}$", "({}|{})", "{} {}?", r"\b{}\b \d+", "", "{}[", None, "(?i){}", "^{} {}", "^{}.*{}"])
         rules.append((r.choice(["Given", "When"]), o, p and p.replace("{}", word(), 1).replace("{}", word()), f"f{o}"))
     return steps, rules
 
 
-def test_first_matches_against_every_pair(spark):
+@pytest.mark.parametrize("rare", [1, 20, 1000])
+def test_first_matches_against_every_pair(spark, monkeypatch, rare):
+    monkeypatch.setattr(patterns, "RARE", rare)
     r = random.Random(5)
     steps, rules = made(r, 150, 260)
 
@@ -73,6 +88,8 @@ def test_pairs_without_a_literal_in_common_are_not_compared(spark):
     pairs = patterns.candidates(steps, rules)
     # Of four million pairs; a run of three figures is shared by few.
     assert 2000 <= pairs.count() < 100_000
+    # A whole beginning is shared by none.
+    assert pairs.count() == 2000
     assert linkers.first_regex_match(steps, rules).where("substr(step_id, 2) = substr(function, 2)").count() == 2000
 
 
