@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from brambleweft import session
 from brambleweft.functions import scalars
 from brambleweft.operators import paths, versions, worklog
 
@@ -139,3 +140,13 @@ def test_statuses_of_one_time(spark):
     assert shown.first()["current_status"] == "pending"
     earlier, _ = worklog.set_status(items, same.limit(0), frame(spark, [("i", "blocked", 1)], "item string, status string, at int"))
     assert earlier.first()["current_status"] == "done"
+
+
+def test_larger_histories_are_more_tasks(spark, monkeypatch):
+    """Tasks get bounded numbers of rows, and a node that all commits touch is spread too."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    seen = spark.range(40000).select(F.lit("n").alias("node_id"), F.col("id").alias("commit"), F.lit("c").alias("content"), F.lit(0).alias("turn"))
+    dealt = session.spread(seen.withColumn("block", F.floor(F.col("commit") / versions.BLOCK)), seen.count(), "node_id", "block")
+    assert dealt.rdd.getNumPartitions() == 80
+    assert max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 40000
+    assert [tuple(r) for r in versions.ranges(seen).collect()] == [("n", "c", 0, None)]
