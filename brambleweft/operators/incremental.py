@@ -73,7 +73,9 @@ def reattach_notes(addresses: DataFrame, nodes: DataFrame) -> tuple[DataFrame, D
     for more in parts[1:]:
         there = there.unionByName(more)
     edges = addresses.join(there, ["label", "key"]).select(F.col("note").alias("src"), "dst").distinct()
-    return edges, P.where_missing(addresses.select("note").distinct(), "note", edges, "src")
+    # Whether a note has an edge takes no edges: nodes of one address may be many.
+    held = addresses.join(there.select("label", "key", F.lit(True).alias("there")).distinct(), ["label", "key"], "left")
+    return edges, held.groupBy("note").agg(F.max("there").alias("there")).where("there is null").select("note")
 
 
 def overlay(commits: DataFrame, parents: DataFrame, snapshots: DataFrame, head: str, dirty: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

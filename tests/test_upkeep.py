@@ -268,3 +268,12 @@ def test_architecture_is_all_or_nothing(spark):
     for reply in ("no plan", "[1]", '{"modules": [{"name": ""}]}', '{"modules": [{"name": "a"}, {"name": "a"}]}', '{"modules": [{"name": "a"}], "uses": [{"from": "a", "to": "b"}]}'):
         with pytest.raises(ValueError):
             architecture.overlay(g, packages, lambda _, reply=reply: reply)
+
+
+def test_orphans_are_found_without_the_edges_of_an_address(spark):
+    """Half of the notes are on an address that 3000 nodes have: the orphans take none of the 3 000 000 edges."""
+    notes = spark.range(2000).select(F.concat(F.lit("note"), "id").alias("note"), F.lit("File").alias("label"), F.when(F.col("id") % 2 == 0, "many").otherwise("gone").alias("key"))
+    nodes = spark.range(3000).select(F.concat(F.lit("f"), "id").alias("node_id"), F.array(F.lit("File")).alias("labels"), F.lit("many").alias("path"))
+    orphans = incremental.reattach_notes(notes, nodes)[1]
+    assert sorted(r["note"] for r in orphans.collect()) == sorted(f"note{i}" for i in range(1, 2000, 2))
+    assert "node_id" not in orphans._jdf.queryExecution().optimizedPlan().toString()
