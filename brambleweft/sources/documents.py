@@ -3,13 +3,18 @@
 Line-oriented formats explode into numbered lines. What a line inherits from
 those before it (is it in a fence, under which heading, in which scenario) is a
 scan in blocks of lines, see ``operators.scans``, so a file of any length is
-spread over tasks.
+spread over tasks. Gherkin files of few lines are walked in their own row, so
+that nothing of them is shuffled.
 
 Defined results: a null text has no lines; carriage returns are dropped.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +24,7 @@ from ..operators import scans
 
 def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line, text): numbered lines from 1, without carriage returns or a last empty one."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), "\n$", "")
-    each = files.select(F.col(path).alias("path"), F.posexplode(F.split(clean, "\n")).alias("line", "text"))
+    each = files.select(F.col(path).alias("path"), F.posexplode(F.split(_clean(text), "\n")).alias("line", "text"))
     return each.select("path", (F.col("line") + 1).alias("line"), "text")
 
 
@@ -100,6 +104,66 @@ def markdown_spans(files: DataFrame) -> DataFrame:
 FEATURES, SCENARIOS, STEPS = "Feature|Rule", "Scenario|Scenario Outline|Example|Background", "Given|When|Then|And|But|\\*"
 
 
+#: Files of up to so many lines are read where their text is; longer ones are cut into blocks of lines.
+SHORT = 512
+
+
+def _clean(text: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), "\n$", "")
+
+
+def _by_length(files: DataFrame, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``short`` reads from files of up to SHORT lines and ``long`` from the others."""
+    size = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    return short(files.where(size <= SHORT)).unionByName(long(files.where(size > SHORT)))
+
+
+BLANK = " \t\n\v\f\r"
+_TITLE, _STEP = re.compile(f"({FEATURES}|{SCENARIOS}):"), re.compile(f"({STEPS})[{BLANK}]+")
+#: Blanks before a last separator of lines are taken for blanks at the end, as in the scans' expressions.
+_LAST = re.compile(f"[{BLANK}]+(?=[\x85\u2028\u2029]\\Z)")
+
+
+def _walk(path: str, text: str) -> Iterator[tuple]:
+    """(path, line, title, feature, name, tags, n, kind, text) of the titles and steps of one file; the title of a step is None."""
+    feature = under = name = None
+    inside, tags, n, kind = False, [], 0, "Given"
+    for at, line in enumerate(text.split("\n"), 1):
+        line = _LAST.sub("", line.strip(BLANK))
+        if line in ('"""', "```"):
+            inside = not inside
+        elif inside or not line or line[0] in "#|":
+            continue
+        elif line[0] == "@":
+            tags += [w[1:] for w in re.split(f"[{BLANK}]+", line) if w[:1] == "@"]
+        elif m := _TITLE.match(line):
+            name, n, kind = line[m.end() :].strip(" "), 0, "Given"
+            under = "f" if m[1] in FEATURES.split("|") else "s"
+            feature = name if under == "f" else feature
+            yield path, at, under, feature, name, ",".join(tags), 0, kind, line
+            tags = []
+        elif m := _STEP.match(line):
+            n += 1
+            kind = m[1] if m[1] in ("Given", "When", "Then") else kind
+            if under == "s":
+                yield path, at, None, feature, name, None, n, kind, line[m.end() :].strip(" ")
+
+
+WALKED = "path string, line int, title string, feature string, name string, tags string, n int, kind string, text string"
+
+
+def _walked(files: DataFrame, titles: bool) -> DataFrame:
+    """The titles, or else the steps, of files that are walked each in its own row."""
+
+    def walk(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in WALKED.split(", ")]
+        for part in parts:
+            found = [x for path, text in zip(part["path"], part["text"], strict=True) for x in _walk(path, text) if (x[2] is not None) == titles]
+            yield pd.DataFrame(found, columns=names)
+
+    return files.where("text is not null").select("path", _clean("text").alias("text")).mapInPandas(walk, WALKED)
+
+
 def _gherkin(files: DataFrame) -> DataFrame:
     """(path, line, text, title, name, word): lines outside docstrings that are no comments or tables; ``title`` is f or s for the lines that begin a feature or a scenario."""
     rows = lines(files).withColumn("text", F.regexp_replace("text", "^\\s+|\\s+$", ""))
@@ -112,6 +176,22 @@ def _gherkin(files: DataFrame) -> DataFrame:
 
 def gherkin_titles(files: DataFrame) -> DataFrame:
     """(path, line, kind, feature, name, tags): features (and rules) and scenarios; tags are those of the lines before, in order, joined by commas."""
+    kind = F.when(F.col("title") == "f", "Feature").otherwise("Scenario")
+    return _by_length(files, lambda some: _walked(some, True).select("path", "line", kind.alias("kind"), "feature", "name", "tags"), _long_titles)
+
+
+def gherkin_steps(files: DataFrame) -> DataFrame:
+    """(path, feature, scenario, step_order, kind, text, line): And/But/* take the kind before, Given first.
+
+    A scenario ends where a feature or rule begins: steps after that have none
+    and are left out. Steps count from 1.
+    """
+    step = lambda some: _walked(some, False).select("path", "feature", F.col("name").alias("scenario"), F.col("n").alias("step_order"), "kind", "text", "line")
+    return _by_length(files, step, _long_steps)
+
+
+def _long_titles(files: DataFrame) -> DataFrame:
+    """``gherkin_titles`` by scans over blocks of lines."""
     rows = _gherkin(files)
     tagged = F.col("text").startswith("@")
     # A tag waits for the next title: it has one title less before it.
@@ -124,12 +204,8 @@ def gherkin_titles(files: DataFrame) -> DataFrame:
     return titles.join(listed, ["path", "titles"], "left").select("path", "line", kind.alias("kind"), "feature", "name", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
-def gherkin_steps(files: DataFrame) -> DataFrame:
-    """(path, feature, scenario, step_order, kind, text, line): And/But/* take the kind before, Given first.
-
-    A scenario ends where a feature or rule begins: steps after that have none
-    and are left out. Steps count from 1.
-    """
+def _long_steps(files: DataFrame) -> DataFrame:
+    """``gherkin_steps`` by scans over blocks of lines."""
     step = F.col("word") != ""
     counted = scans.counted(_gherkin(files), n=step)
     title = F.when(F.col("title").isNotNull(), F.struct("title", "name", "line", "n"))

@@ -99,7 +99,9 @@ def slow_gherkin(text):
     return titles, steps
 
 
-def test_gherkin_line_by_line(spark):
+@pytest.mark.parametrize("short", [0, 12, 512])
+def test_gherkin_line_by_line(spark, monkeypatch, short):
+    monkeypatch.setattr(documents, "SHORT", short)
     r = random.Random(7)
     parts = ["Feature: F", "Rule: R", "Scenario: S", " Scenario Outline: O", "Background:", "Example: E", "@a @b", "@c", "@d not", " Given x", "When y", "\tThen z", "And more", "But less", "* star", "Givenchy", '"""', "```", '"""json', "| a |", "# c", "", "free text", "Given"]
     texts = ["\n".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(250)] + [None, ""]
@@ -113,6 +115,14 @@ def test_gherkin_line_by_line(spark):
         assert (sorted(titles.get(str(i), [])), sorted(steps.get(str(i), []))) == slow_gherkin(text), text
 
 
+def test_short_features_are_not_shuffled(spark, tmp_path):
+    files(spark, ["Feature: F\nScenario: S\nGiven x"]).write.parquet(f"{tmp_path}/f")
+    f = spark.read.parquet(f"{tmp_path}/f")
+    for read in (documents.gherkin_titles, documents.gherkin_steps):
+        short = documents._walked(f, read is documents.gherkin_titles)
+        assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString() and short.count() > 0
+
+
 def test_automaton_of_any_kind(spark):
     """A counter modulo three with a reset, over lines of which some have no symbol."""
     r = random.Random(8)
