@@ -5,7 +5,9 @@ characters are the first symbols. An agenda holds all adjacent pairs of symbols
 that make a piece, best score first and leftmost first among equals. The top
 pair is merged, its pairs with both neighbours join the agenda, and entries that
 a merge has made stale are passed over when they come up. What is left are the
-pieces; a character that is none becomes its UTF-8 bytes' pieces.
+pieces; a character that is none becomes its UTF-8 bytes' pieces. The new words
+of a slice are merged side by side: each is a row of an array, and a step takes
+the top pair of every row.
 
 No piece has a blank after another character, and characters that are side by
 side in no piece cannot be merged: texts are cut there, exactly, so an agenda is
@@ -46,8 +48,10 @@ from .common import text_slices
 
 SLICE, RUN, CHECKED, REMEMBERED = 1 << 18, 1 << 16, 1 << 19, 1 << 23
 BLANK = "▁"
-#: Up to so many characters the agenda is a list.
-SHORT = 32
+#: Words of up to so many characters are merged side by side, as rows of arrays, up to ``TOGETHER`` at a time; a longer one has an agenda of its own.
+WIDTHS, TOGETHER = (8, 12, 16, 32), 1 << 13
+#: The entry of two symbols that make no piece.
+NO_PAIR = 1 << 62
 #: A word of more characters is cut where two of them are side by side in no piece, and not remembered.
 LONG = 128
 
@@ -58,6 +62,17 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Symbols(dict):
+    """The text of a symbol's number."""
+
+    def __init__(self, size: int, pieces: dict[int, str]) -> None:
+        super().__init__(pieces)
+        self.size = size
+
+    def __missing__(self, symbol: int) -> str:
+        return chr(symbol - self.size)
+
+
 class PieceCodec:
     """One vocabulary; made from the contents of its file."""
 
@@ -79,33 +94,79 @@ class PieceCodec:
         self.beside = {p[i : i + 2] for p in merged for i in range(len(p) - 1)}
         if any(b[1] == BLANK != b[0] for b in self.beside):
             raise ValueError("a piece has a blank inside")
+        # Symbols as numbers: pieces by their ids, other characters after them, then the edge of a word.
+        self.first, self.edge = np.arange(size, size + 0x110000), size + 0x110000
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
+        codes = {c: int(self.first[ord(c)]) for p in self.ids for c in p} | self.ids
+        self.shown = _Symbols(size, {i: p for p, i in self.ids.items()})
+        # What two symbols make, by both; an entry is the place of what they make and its id. The last one is no pair.
+        made = sorted((codes[p[:k]] * (self.edge + 1) + codes[p[k:]], self.rank[p] << 32 | self.ids[p]) for p in merged for k in range(1, len(p)) if p[:k] in codes and p[k:] in codes)
+        self.keys, self.merges = np.array([*made, (1 << 62, NO_PAIR)], np.int64).T.copy()
+        self.decimal = list(map(str, range(size)))
         # A character that no merge takes is a word of its own.
         self.alone = next(c for c in ("\n", "\x00", "\x01") if not any(c in p for p in merged))
         self.alone_ids = [self.bytes[ord(self.alone)]] if self.alone not in self.ids else [self.ids[self.alone]]
         self.words = re.compile(f"{BLANK}*[^{BLANK}{self.alone}]+|{BLANK}+|{self.alone}").findall
         self.cut = re.compile(f"(?s)(?<=[^ {BLANK}])[ {BLANK}](?=.)").search
-        #: Ids of the words met last, and these in decimal; then those of words met before.
-        self.known: tuple[dict[str, list[int]], dict[str, str]] = {}, {}
+        #: Ids of the words met last, then those of words met before.
+        self.known: dict[str, tuple[int, ...]] = {}
         self.older, self.held = self.known, 0
 
-    def agenda(self, word: str) -> list[str]:
-        """The pieces of a word by merging its symbols, best pair first."""
-        return self._listed(word) if len(word) <= SHORT else self._heaped(word)
-
-    def _listed(self, word: str) -> list[str]:
-        """The agenda as the list of all pairs' places: for so few, its least is found faster than a heap is kept."""
-        rank, none = self.rank.get, len(self.rank)
-        symbols = list(word)
-        pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
-        while pairs and (top := min(pairs)) < none:
-            i = pairs.index(top)
-            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank(piece + symbols[i + 1], none)
-            if i:
-                pairs[i - 1] = rank(symbols[i - 1] + piece, none)
-        return symbols
+    def agenda(self, words: list[str]) -> list[list[str]]:
+        """The pieces of every word by merging its symbols, best pair first."""
+        out: list[list[str]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            at = np.flatnonzero((sizes > low) & (sizes <= width)).tolist()
+            for k in range(0, len(at), TOGETHER):
+                part = at[k : k + TOGETHER]
+                for i, pieces in zip(part, self._side_by_side([words[i] for i in part], width), strict=True):
+                    out[i] = pieces
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[i] = self._heaped(words[i])
+        return out
+
+    def _side_by_side(self, words: list[str], width: int) -> list[list[str]]:
+        """The agendas of words of up to ``width`` characters, one merge in each word at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = np.full((len(words), width + 2), self.edge, np.int64)
+        inside = np.arange(1, width + 3) <= sizes[:, None]
+        symbols[:, 1:][inside[:, : width + 1]] = self.first[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        pairs = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(len(words))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(rows):
+            # An entry is a place and the piece of that place; the leftmost of the best places is merged.
+            best = (pairs >> 32).argmin(1)
+            top = pairs[np.arange(len(rows)), best]
+            going = top < NO_PAIR
+            if not going.all():
+                ended = symbols[~going]
+                kept = ended != self.edge
+                done.append((rows[~going], kept.sum(1), ended[kept]))
+                symbols, pairs, rows, best, top = symbols[going], pairs[going], rows[going], best[going], top[going]
+            # Every word that is left loses one symbol, so the rows stay of one length.
+            n, m = pairs.shape
+            line, after = np.arange(n), np.arange(m - 1) + (np.arange(m - 1) >= best[:, None])
+            symbols = np.concatenate([symbols[:, :1], np.take_along_axis(symbols, after + 1, 1)], 1)
+            symbols[line, best] = top & 0xFFFFFFFF
+            pairs = np.take_along_axis(pairs, after, 1)
+            pairs[line, best] = self._pairs(symbols[line, best], symbols[line, best + 1])
+            pairs[line, best - 1] = self._pairs(symbols[line, best - 1], symbols[line, best])
+        out: list[list[str]] = [[]] * len(words)
+        for row, lengths, flat in done:
+            pieces, end = list(map(self.shown.__getitem__, flat.tolist())), 0
+            for i, length in zip(row.tolist(), lengths.tolist(), strict=True):
+                out[i] = pieces[end : end + length]
+                end += length
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * (self.edge + 1) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merges[at], NO_PAIR)
 
     def _heaped(self, word: str) -> list[str]:
         n, rank = len(word), self.rank.get
@@ -131,33 +192,37 @@ class PieceCodec:
                 heappush(pairs, r << 32 | h)
         return [s for s in symbols if s]
 
-    def _word(self, word: str) -> tuple[list[int], str]:
-        pieces = [word]
-        if len(word) > LONG:
-            cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside), len(word)]
-            pieces = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        ids: list[int] = []
-        for piece in chain.from_iterable(map(self.agenda, pieces)):
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
-        return ids, ",".join(map(str, ids))
-
-    def _learn(self, words: list[str]) -> tuple[dict[str, list[int]], dict[str, str]]:
+    def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
+        ids = tuple(map(self.ids.get, pieces))
+        if None in ids:
+            ids = tuple(chain.from_iterable([self.bytes[b] for b in p.encode()] if i is None else [i] for p, i in zip(pieces, ids, strict=True)))
+        return ids
+
+    def _cut(self, word: str) -> tuple[int, ...]:
+        """The ids of a long word, of so many of its parts at a time."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside), len(word)]
+        parts = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blocks = (self.agenda(parts[k : k + TOGETHER]) for k in range(0, len(parts), TOGETHER))
+        return tuple(chain.from_iterable(map(self._numbers, chain.from_iterable(blocks))))
+
+    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encode words that are not known, and compare those that never were with the library's."""
-        ids, shown = {}, {}
-        before, before_shown = self.older
-        for w in words:
-            if w in before:
-                ids[w], shown[w] = before[w], before_shown[w]
-            else:
-                ids[w], shown[w] = self._word(w)
-        checked = [w for w in words if len(w) <= CHECKED and w not in before]
+        older = self.older
+        made = {w: older[w] for w in words if w in older}
+        fresh = [w for w in words if w not in made] if made else words
+        short = [w for w in fresh if len(w) <= LONG]
+        made.update(zip(short, map(self._numbers, self.agenda(short)), strict=True))
+        made.update((w, self._cut(w)) for w in fresh if len(w) > LONG)
+        checked = [w for w in fresh if len(w) <= CHECKED]
         if checked:
             # What stands between them is a word of its own.
-            own = [self.ids[BLANK]] + [i for w in checked for i in self.alone_ids + ids[w]]
-            if self.library.encode("".join(self.alone + w for w in checked), num_threads=1) != own:
+            own = [self.ids[BLANK]]
+            for w in checked:
+                own += self.alone_ids
+                own += made[w]
+            if self.library.encode("".join([self.alone + w for w in checked]), num_threads=1) != own:
                 raise ValueError(f"the library encodes otherwise, among {checked[:20]!r}")
-        return ids, shown
+        return made
 
     def runs(self, text: str) -> Iterator[str]:
         """The text in runs that begin with a blank, but for the first."""
@@ -170,22 +235,21 @@ class PieceCodec:
     def encode_runs(self, runs: list[str], firsts: list[bool]) -> list[tuple[list[int], str]]:
         """Ids of every run, and these in decimal; ``firsts`` says which runs begin a text."""
         if self.held > REMEMBERED // 2:
-            self.known, self.older, self.held = ({}, {}), self.known, 0
+            self.known, self.older, self.held = {}, self.known, 0
         split = []
         for run, first in zip(runs, firsts, strict=True):
             shown = run.replace(" ", BLANK)
             split.append(self.words(BLANK + shown if first and shown else shown))
-        known, listed = self.known
-        new = set().union(*split).difference(known)
+        known = self.known
+        new = list(set().union(*split).difference(known))
         if new:
-            ids, shown = self._learn(sorted(new))
-            known.update(ids)
-            listed.update(shown)
+            known.update(self._learn(new))
         # No step in Python for a word that is known.
-        out = [(list(chain.from_iterable(map(known.__getitem__, words))), ",".join(map(listed.__getitem__, words))) for words in split]
+        ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        out = [(x, ",".join(map(self.decimal.__getitem__, x))) for x in ids]
         for w in new:
             if len(w) > LONG:
-                del known[w], listed[w]
+                del known[w]
             else:
                 self.held += len(w)
         return out

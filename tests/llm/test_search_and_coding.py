@@ -177,6 +177,20 @@ def test_a_wrong_agenda_is_noticed(library):
         codec.encode("the water")
 
 
+def test_words_side_by_side_are_merged_like_each_alone(monkeypatch, library):
+    with open(piece_bpe.default_path(), "rb") as f:
+        codec = piece_bpe.PieceCodec(f.read())
+    r = random.Random(5)
+    parts = ["▁", "the", "a", "é", "日", "ü", "\U0001f600", "\x00", "ing", "==", "aaaa", "0", "Q", "\ue000"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 14)))[:size] for size in (1, 2, 3, 8, 9, 12, 13, 16, 17, 31, 32) for _ in range(60)] + ["", "a" * 40]
+    alone = [codec._heaped(w) for w in words]
+    monkeypatch.setattr(piece_bpe, "TOGETHER", 50)
+    assert codec.agenda(words) == alone and codec.agenda([]) == []
+    # Words of up to 32 characters have no agenda of their own.
+    monkeypatch.setattr(codec, "_heaped", None)
+    assert codec.agenda(words[:-1]) == alone[:-1]
+
+
 def test_long_stretches_without_blanks(library):
     with open(piece_bpe.default_path(), "rb") as f:
         codec = piece_bpe.PieceCodec(f.read())
