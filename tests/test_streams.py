@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brambleweft.operators import watching
@@ -90,6 +91,41 @@ def test_a_hot_path_reaches_the_state_once_a_batch_of_rows(spark):
     assert sorted(map(tuple, small.values.tolist())) == [("a", 999, 0, "x"), ("b", 5, 0, "x")]
 
 
+def test_a_path_in_many_batches_of_rows_reaches_the_state_once(monkeypatch):
+    import pandas as pd
+
+    parts = [pd.DataFrame({"path": ["a", f"p{k}"], "at": [k % 7, k], "tie": [k, 0], "content": ["x", "y"]}) for k in range(40)]
+    (small,) = replay._newest_of_each(parts)
+    want = sorted([("a", 6, 34, "x")] + [(f"p{k}", k, 0, "y") for k in range(40)])
+    assert sorted(map(tuple, small.values.tolist())) == want
+    # What is held is bounded, and nothing is lost.
+    monkeypatch.setattr(replay, "HELD", 10)
+    some = list(replay._newest_of_each(parts))
+    assert len(some) > 4 and max(map(len, some)) <= 12
+    assert sorted(map(tuple, replay._newest(pd.concat(some)).values.tolist())) == want
+    assert list(replay._newest_of_each([])) == []
+
+
+def test_a_path_reads_its_state_once_and_needs_no_frame():
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    newest, row = replay.Newest(), lambda at, content: Row(path="a", at=at, tie=0, content=content)
+    newest.last = state = State()
+    given = [[row(2, "x"), row(1, "y")], [row(3, "x")], [row(1, "z")], [row(4, "w")], []]
+    out = [[tuple(x) for x in newest.handleInputRows(("a",), iter(rows), None)] for rows in given]
+    assert out == [[("a", 2, 0, "x")], [], [], [("a", 4, 0, "w")], []]
+    assert state.calls == ["get", "update", "get", "update", "get", "get", "update", "get"] and state.value == (4, 0, "w")
+
+
 def test_effects_of_a_repeated_batch_come_once(spark, tmp_path):
     watched = spark.createDataFrame([("a", "0"), ("b", "0"), ("c", None), ("d", "0")], "node_id string, watch_baseline_body string")
     bodies = [[("a", "1"), ("b", "0"), ("c", "1"), ("x", "1"), ("a", "0")], [("a", "1"), ("b", "2"), ("d", None)], [("a", "0"), ("b", "2")]]
